@@ -77,9 +77,13 @@ def nodes(toks: DataFrame) -> DataFrame:
             .agg(F.min("pos").alias("pos"), F.max_by("value", "pos").alias("value")))
 
 
-def flows(lns: DataFrame) -> DataFrame:
+def flows(lns: DataFrame, number: bool = True) -> DataFrame:
     """One flow per line holding any ``:`` token, numbered ``sf0, sf1, ...``
-    over those lines.  Source = token 0, target = token 1 (when they hold ``:``)."""
+    over those lines.  Source = token 0, target = token 1 (when they hold ``:``).
+
+    Numbering is a window per model; a model parsed from one text is one row
+    already, so the window never gathers more than a text.  ``number=False``
+    keeps only ``line_no`` as the flow order (for line tables of any size)."""
     toks = F.split(F.col("line"), ARROW, -1)
     t0, t1 = toks[0], F.when(F.size(toks) > 1, toks[1])
     is_flow = F.exists(toks, lambda x: x.contains(":"))
@@ -91,6 +95,8 @@ def flows(lns: DataFrame) -> DataFrame:
                  lab.alias("edge_label"),
                  (t0.contains(":") & _node_id(t0).isNull()).alias("src_broken"),
                  (t1.contains(":") & _node_id(t1).isNull()).alias("dst_broken")))
+    if not number:
+        return f
     w = Window.partitionBy("model_id").orderBy("line_no")
     f = f.withColumn("edge_no", F.row_number().over(w) - 1)
     return f.withColumn("id", F.concat(F.lit("sf"), F.col("edge_no").cast("string")))
@@ -120,8 +126,7 @@ def elements(nds: DataFrame, fix_inclusive: bool = False) -> DataFrame:
         F.when(k == "event", ev_type.isNotNull()).otherwise(F.lit(True)).alias("valid"))
 
 
-def model_flags(models: DataFrame, els: DataFrame, flw: DataFrame, toks: DataFrame,
-                model_col: str = "model_id") -> DataFrame:
+def model_flags(models: DataFrame, els: DataFrame, flw: DataFrame, toks: DataFrame) -> DataFrame:
     """(model_id, scorable): false when a flow lacks an endpoint, an id is
     broken, or an event is neither start nor end."""
     bad_flow = (flw.where(F.col("sourceRef").isNull() | F.col("targetRef").isNull()
@@ -130,7 +135,7 @@ def model_flags(models: DataFrame, els: DataFrame, flw: DataFrame, toks: DataFra
     bad_el = els.where(~F.col("valid")).select("model_id")
     bad_tok = toks.where(F.col("id_broken")).select("model_id")
     bad = bad_flow.unionByName(bad_el).unionByName(bad_tok).distinct().withColumn("_bad", F.lit(True))
-    return (models.select(F.col(model_col).alias("model_id")).join(bad, "model_id", "left")
+    return (models.select("model_id").join(bad, "model_id", "left")
             .select("model_id", F.col("_bad").isNull().alias("scorable")))
 
 
@@ -138,11 +143,17 @@ def parse_models(models: DataFrame, model_col: str = "model_id", text_col: str =
                  fix_inclusive: bool = False) -> dict[str, DataFrame]:
     """Text -> {'lines', 'tokens', 'nodes', 'elements', 'flows', 'flags'}."""
     lns = lines(models, model_col, text_col)
+    return parse_lines(lns, models.select(F.col(model_col).alias("model_id")), fix_inclusive)
+
+
+def parse_lines(lns: DataFrame, models: DataFrame, fix_inclusive: bool = False,
+                number: bool = True) -> dict[str, DataFrame]:
+    """(model_id, line_no, line) -> parsed tables; ``models`` lists every model_id."""
     toks = tokens(lns)
     nds = nodes(toks)
     els = elements(nds, fix_inclusive)
-    flw = flows(lns)
-    flags = model_flags(models, els, flw, toks, model_col)
+    flw = flows(lns, number)
+    flags = model_flags(models, els, flw, toks)
     return {"lines": lns, "tokens": toks, "nodes": nds, "elements": els, "flows": flw,
             "flags": flags}
 
@@ -181,16 +192,16 @@ def node_text(els: DataFrame) -> DataFrame:
 
 
 def edge_lines(els: DataFrame, flw: DataFrame) -> DataFrame:
-    """(model_id, edge_no, line, complete) with ``src --> dst`` texts.
+    """(model_id, line_no, line, complete) with ``src --> dst`` texts.
 
     ``complete`` is false when an endpoint has no node text (the text writer
     of the reference raises there)."""
     nt = node_text(els)
     s = nt.select("model_id", F.col("id").alias("sourceRef"), F.col("node_text").alias("_s"))
     d = nt.select("model_id", F.col("id").alias("targetRef"), F.col("node_text").alias("_d"))
-    e = (flw.select("model_id", "edge_no", "sourceRef", "targetRef")
+    e = (flw.select("model_id", "line_no", "sourceRef", "targetRef")
          .join(s, ["model_id", "sourceRef"], "left").join(d, ["model_id", "targetRef"], "left"))
-    return e.select("model_id", "edge_no",
+    return e.select("model_id", "line_no",
                     F.concat_ws(" --> ", "_s", "_d").alias("line"),
                     (F.col("_s").isNotNull() & F.col("_d").isNotNull()).alias("complete"))
 
@@ -202,7 +213,7 @@ def model_text(els: DataFrame, flw: DataFrame, models: DataFrame | None = None)
     """
     el = edge_lines(els, flw)
     agg = el.groupBy("model_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("edge_no", "line"))),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))),
                                  lambda x: x["line"]), "\n").alias("_body"),
         F.bool_and("complete").alias("complete"))
     if models is not None:
@@ -276,3 +287,23 @@ def compare_tasks(t1: DataFrame, t2: DataFrame, keys: list[str]) -> DataFrame:
     only1 = a.join(bk, keys + ["_k"], "left_anti").withColumn("status", F.lit("not_ident1"))
     only2 = b.join(ak, keys + ["_k"], "left_anti").withColumn("status", F.lit("not_ident2"))
     return ident.unionByName(only1).unionByName(only2).drop("_k")
+
+
+# The six lists every process object must carry.
+REQUIRED_KEYS = ["tasks", "events", "gateways", "pools", "sequenceFlows", "messageFlows"]
+
+
+def repair_json(df: DataFrame, col: str) -> DataFrame:
+    """Cut generated text to its first ``{`` .. last ``}``, parse it,
+    and count the required list keys that are missing (to be added as []).
+
+    Adds ``json`` (NULL on error), ``error`` and ``added_keys``."""
+    js = F.regexp_extract(F.col(col), "(?s)(\\{.*\\})", 1)
+    d = df.withColumn("_js", js)
+    ok = (F.col("_js") != "") & F.try_parse_json(F.col("_js")).isNotNull()
+    keys = F.json_object_keys(F.col("_js"))
+    req = F.array(*[F.lit(k) for k in REQUIRED_KEYS])
+    return (d.withColumn("error", ~ok)
+            .withColumn("json", F.when(ok, F.col("_js")))
+            .withColumn("added_keys", F.when(ok, F.size(F.array_except(req, keys))))
+            .drop("_js"))

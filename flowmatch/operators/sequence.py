@@ -33,7 +33,8 @@ def with_successor(df: DataFrame, group_cols: list[str], order_cols: list[str],
     b = "_bucket"
     keys = group_cols + [b]
     d = df.withColumn(b, bucket)
-    rec = F.struct(*[F.col(c) for c in order_cols + payload_cols])
+    fields = order_cols + [c for c in payload_cols if c not in order_cols]
+    rec = F.struct(*[F.col(c) for c in fields])
     w_in = Window.partitionBy(*keys).orderBy(*order_cols)
     d = d.withColumn("_nxt", F.lead(rec).over(w_in))
     heads = d.groupBy(*keys).agg(F.min(rec).alias("_head"))
@@ -44,5 +45,5 @@ def with_successor(df: DataFrame, group_cols: list[str], order_cols: list[str],
     nxt = F.coalesce(F.col("_nxt"), F.col("_next_head"))
     d = d.select(*df.columns, *[nxt[c].alias(prefix + c) for c in payload_cols])
     heads = heads.select(*group_cols, "is_first_bucket",
-                         *[F.col("_head")[c].alias(c) for c in order_cols + payload_cols])
+                         *[F.col("_head")[c].alias(c) for c in fields])
     return d, heads

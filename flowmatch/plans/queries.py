@@ -7,28 +7,14 @@ SQL over the pre-registered views.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flowmatch.operators import score as S
 from flowmatch.plans import oracle as O
 from flowmatch.plans import traces as T
+from flowmatch.plans.registry import ORACLES, QUERIES, register  # noqa: F401
 from flowmatch.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return deco
-
 
 # --------------------------------------------------------------------------
 # Trace scoring
@@ -66,3 +52,7 @@ for _m in ("jaccard", "precision", "recall", "f1"):
         q.__name__ = f"q_trace_{m}"
         return q
     register(f"q_trace_{_m}", _trace_sql(O.score_select(_m)))(_mk(_m))
+
+
+# Further query families register themselves on import.
+from flowmatch.plans import q_parse  # noqa: E402,F401

@@ -77,3 +77,33 @@ def next_week_pairs(events: DataFrame) -> DataFrame:
          .where(F.col("next_week").isNotNull()))
     return p.select("user_id", "week", "next_week",
                     model_key("week").alias("m1"), model_key("next_week").alias("m2"))
+
+
+# Ids of the synthetic start and end nodes of a trace text.
+START_ID, END_ID = "-1", "-2"
+
+
+def trace_lines(events: DataFrame, bucket_unit: str = "minute") -> DataFrame:
+    """A trace written in the model-text grammar, one row per line:
+    (model_id, line_no, line).  No trace is gathered into one string: each
+    event writes the line of its outgoing flow, the first event also the
+    start line.  ``line_no`` is (0,,) for the start line, (1, ts, event_id)
+    for event lines, so it sorts in trace order."""
+    ev = trace_events(events)
+    steps, heads = with_successor(ev, ["user_id", "week"], ["ts", "event_id"],
+                                  ["event_id", "event_type"],
+                                  bucket=F.date_trunc(bucket_unit, F.col("ts")))
+    node = lambda i, t: F.concat(i.cast("string"), F.lit(":task:("), t, F.lit(")"))
+    nxt = F.when(F.col("next_event_id").isNull(), F.lit(END_ID + ":endevent:((endevent))")) \
+           .otherwise(node(F.col("next_event_id"), F.col("next_event_type")))
+    body = steps.select(
+        model_key().alias("model_id"),
+        F.struct(F.lit(1).alias("r"), F.col("ts"), F.col("event_id")).alias("line_no"),
+        F.concat(node(F.col("event_id"), F.col("event_type")), F.lit("-->"), nxt).alias("line"))
+    start = heads.where("is_first_bucket").select(
+        model_key().alias("model_id"),
+        F.struct(F.lit(0).alias("r"), F.lit(None).cast(ev.schema["ts"].dataType).alias("ts"),
+                 F.lit(None).cast("long").alias("event_id")).alias("line_no"),
+        F.concat(F.lit(START_ID + ":startevent:((startevent))-->"),
+                 node(F.col("event_id"), F.col("event_type"))).alias("line"))
+    return body.unionByName(start)
