@@ -56,3 +56,5 @@ for _m in ("jaccard", "precision", "recall", "f1"):
 
 # Further query families register themselves on import.
 from flowmatch.plans import q_parse  # noqa: E402,F401
+from flowmatch.plans import q_validate  # noqa: E402,F401
+from flowmatch.plans import q_match  # noqa: E402,F401
