@@ -67,13 +67,33 @@ def meaning_ok(meaning: Column) -> Column:
             .otherwise((m != "NA") & (F.lower(m) != "false"))
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
+def carry_forward(df: DataFrame, keys: list[str], order: str, cols: list[str],
+                  bucket: Column | None = None) -> DataFrame:
     """Fill NULLs of ``cols`` with the last non-NULL value earlier in the
-    group (the reference's stale-variable behaviour, opt-in)."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    group (the reference's stale-variable behaviour, opt-in).
+
+    With ``bucket`` (a monotone function of ``order``) the running window
+    runs per (group, bucket) and only one row per bucket crosses buckets, so
+    a huge group is never sorted in one task."""
+    run = Window.unboundedPreceding
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(run, 0)
+        for c in cols:
+            df = df.withColumn(c, F.last(F.col(c), ignorenulls=True).over(w))
+        return df
+    d = df.withColumn("_b", bucket)
+    w_in = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(run, 0)
     for c in cols:
-        df = df.withColumn(c, F.last(F.col(c), ignorenulls=True).over(w))
-    return df
+        d = d.withColumn(c, F.last(F.col(c), ignorenulls=True).over(w_in))
+    tails = d.groupBy(*keys, "_b").agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_t_{c}") for c in cols])
+    w_b = Window.partitionBy(*keys).orderBy("_b").rowsBetween(run, -1)
+    for c in cols:
+        tails = tails.withColumn(f"_p_{c}", F.last(F.col(f"_t_{c}"), ignorenulls=True).over(w_b))
+    d = d.join(tails.select(*keys, "_b", *[f"_p_{c}" for c in cols]), keys + ["_b"], "left")
+    for c in cols:
+        d = d.withColumn(c, F.coalesce(F.col(c), F.col(f"_p_{c}")))
+    return d.select(*df.columns)
 
 
 def score_meanings(derived: DataFrame, cands: DataFrame, expected: DataFrame,
