@@ -59,3 +59,4 @@ from flowmatch.plans import q_parse  # noqa: E402,F401
 from flowmatch.plans import q_validate  # noqa: E402,F401
 from flowmatch.plans import q_match  # noqa: E402,F401
 from flowmatch.plans import q_flow  # noqa: E402,F401
+from flowmatch.plans import q_diagram  # noqa: E402,F401
