@@ -385,3 +385,32 @@ def q_gated_scores(spark, sf_dir):
     return out.select("pattern", "user_id", "week", "meaning",
                       B.meaning_ok(F.col("meaning")).alias("meaning_status"),
                       F.col("overall").alias("similarity"))
+
+
+@register("q_incremental_scores", _EXP_SQL + "SELECT pattern, user_id, week, overall AS similarity FROM sc")
+def q_incremental_scores(spark, sf_dir):
+    """Trace texts arrive as files in two batches (earlier weeks, then
+    later weeks); a file stream parses and scores each batch against the
+    expected traces.  The union of the batch outputs equals the batch query."""
+    import uuid
+
+    from flowmatch.session import checkpoint_dir
+    from flowmatch.streaming import incremental as X
+
+    ev, tr, up, pairs = _expected_pairs(spark, sf_dir)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
+    lines = T.trace_lines(ev).select(F.col("model_id")["user_id"].alias("user_id"),
+                                     F.col("model_id")["week"].alias("week"), F.col("line").alias("value"))
+    lo, n = _week_ordinal(ev)
+    cut = F.date_add(F.lit(lo), 14)
+    assign = pairs.select("user_id", "week", "pattern", "m1")
+    exp = assign.select(F.col("m1").alias("model_id")).distinct()
+    counts = S.label_counts(T.trace_labels(ev)).join(exp, "model_id", "left_semi")
+    schema = "value string, user_id bigint, week date"
+    for part in (F.col("week") < cut, F.col("week") >= cut):
+        lines.where(part).write.mode("append").partitionBy("user_id", "week").text(f"{root}/in")
+        q = X.start(spark, f"{root}/in", schema, ["user_id", "week"], assign, counts,
+                    f"{root}/out", f"{root}/ckpt")
+        q.awaitTermination()
+    return (spark.read.parquet(f"{root}/out")
+            .select("pattern", "user_id", "week", F.col("overall").alias("similarity")))
