@@ -28,7 +28,7 @@ def trace_events(events: DataFrame) -> DataFrame:
         "ts", "event_id", "event_type")
 
 
-def trace_steps(events: DataFrame, bucket_unit: str = "minute") -> tuple[DataFrame, DataFrame]:
+def trace_steps(events: DataFrame, bucket_unit: str = "hour") -> tuple[DataFrame, DataFrame]:
     """Events with the next event type of their trace, plus bucket heads."""
     ev = trace_events(events)
     return with_successor(ev, ["user_id", "week"], ["ts", "event_id"], ["event_type"],
@@ -39,7 +39,7 @@ def model_key(week_col: str = "week") -> F.Column:
     return F.struct(F.col("user_id"), F.col(week_col).alias("week"))
 
 
-def trace_labels(events: DataFrame, bucket_unit: str = "minute") -> DataFrame:
+def trace_labels(events: DataFrame, bucket_unit: str = "hour") -> DataFrame:
     """Long label table (model_id, category, label) of every trace (M2)."""
     steps, heads = trace_steps(events, bucket_unit)
     flow = F.concat(F.col("event_type"), F.lit("  "),
@@ -83,7 +83,7 @@ def next_week_pairs(events: DataFrame) -> DataFrame:
 START_ID, END_ID = "-1", "-2"
 
 
-def trace_lines(events: DataFrame, bucket_unit: str = "minute") -> DataFrame:
+def trace_lines(events: DataFrame, bucket_unit: str = "hour") -> DataFrame:
     """A trace written in the model-text grammar, one row per line:
     (model_id, line_no, line).  No trace is gathered into one string: each
     event writes the line of its outgoing flow, the first event also the
