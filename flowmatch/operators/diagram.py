@@ -76,8 +76,8 @@ def flatten_shapes(diagrams: DataFrame, id_col: str = "diagram_id", json_col: st
     (diagram_id, pos array<int>, depth, parent_category, parent_lane, resourceId,
     stencil, category, name_raw, tasktype, outgoing array<string>, target,
     n_children, lane_children array<string>)."""
-    spark = diagrams.sparkSession
-    cat = F.broadcast(stencil_map(spark).withColumnRenamed("stencil", "_st"))
+    # the fixed 66-entry stencil map as a literal map: a lookup, not a join
+    cat = F.create_map(*[F.lit(x) for kv in STENCIL_CATEGORY.items() for x in kv])
     level = diagrams.select(F.col(id_col).alias("diagram_id"), F.array().cast("array<int>").alias("pos"),
                             F.lit(None).cast("string").alias("parent_category"),
                             F.lit(None).cast("string").alias("parent_lane"),
@@ -94,22 +94,21 @@ def flatten_shapes(diagrams: DataFrame, id_col: str = "diagram_id", json_col: st
                      F.col("_s.target.resourceId").alias("target"),
                      F.coalesce(F.col("_s.childShapes"), F.array().cast("array<string>")).alias("children"),
                      F.lit(depth).alias("depth"))
-        s = s.join(cat, F.col("stencil") == F.col("_st"), "left").drop("_st")
+        s = s.withColumn("category", cat[F.col("stencil")])
         s = s.persist()
         out = s if out is None else out.unionByName(s)
-        # descend: children of the diagram, and of lanes that sit in a pool
-        go = s.where((F.col("category") == "Diagram")
+        # descend: children of the diagram and of pools (their lanes), and of
+        # lanes that sit in a pool
+        go = s.where(F.col("category").isin("Diagram", "Pools")
                      | ((F.col("category") == "Lanes") & (F.col("parent_category") == "Pools")))
-        # pools: their children are lanes, visited as shapes of the next level
-        go = go.unionByName(s.where(F.col("category") == "Pools"))
+        # one full pass per level: fills the level's cache and counts what is left
+        if (go.agg(F.sum(F.size("children"))).first()[0] or 0) == 0:
+            break
         nxt = go.select("diagram_id", "pos", F.col("category").alias("parent_category"),
                         F.when(F.col("category") == "Lanes", F.col("resourceId")).alias("parent_lane"),
                         F.posexplode("children").alias("_i", "_js"))
-        nxt = nxt.select("diagram_id", F.concat("pos", F.array(F.col("_i").cast("int"))).alias("pos"),
-                         "parent_category", "parent_lane", "_js")
-        if nxt.isEmpty():
-            break
-        level = nxt
+        level = nxt.select("diagram_id", F.concat("pos", F.array(F.col("_i").cast("int"))).alias("pos"),
+                           "parent_category", "parent_lane", "_js")
     return out.withColumn("n_children", F.size("children"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from flowmatch.operators import diagram as D
 from flowmatch.operators import labels as L
 from flowmatch.plans.registry import register
+from flowmatch.session import spread
 from flowmatch.sources.tables import table
 
 
@@ -44,7 +45,8 @@ def _ref(x):
 
 
 def diagrams(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    c = spread(table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "c_custkey")
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
     d = c.join(n, "c_nationkey").join(r, "n_regionkey")
@@ -214,3 +216,64 @@ def q_stencil_lookup(spark, sf_dir):
     typ = (F.when(F.col("category") == "Gateways", F.coalesce(gw, F.col("stencil")))
            .when(F.col("category").isin("Events", "Activities"), F.col("stencil")))
     return x.select("event_id", "stencil", "category", typ.alias("type"))
+
+
+def _diagram_counts(spark, sf_dir):
+    from flowmatch.operators import score as S
+    _, _, tr = _transformed(spark, sf_dir)
+    ren = lambda df: df.withColumnRenamed("diagram_id", "model_id")
+    labels = L.model_labels(ren(tr["elements"]), ren(tr["flows"]), ren(tr["lanes"]), ren(tr["lane_refs"]))
+    return S.label_counts(labels)
+
+
+_DIAGRAM_LABELS = """
+lab AS (
+  SELECT k, 'task_names' AS category, c_name AS label FROM b
+  UNION ALL SELECT k, 'task_types', CASE WHEN k % 3 = 0 THEN 'Task' ELSE c_mktsegment END FROM b
+  UNION ALL SELECT k, 'event_names', 'begin here' FROM b
+  UNION ALL SELECT k, 'event_types', 'StartNoneEvent' FROM b
+  UNION ALL SELECT k, 'gateway_types', CASE WHEN k % 2 = 0 THEN 'Exclusive' ELSE 'Parallel' END FROM b
+  UNION ALL SELECT k, 'seq_flows', 'begin here  ' || c_name FROM b
+  UNION ALL SELECT k, 'seq_flows', c_name || ' ' || CASE WHEN c_acctbal > 0 THEN 'positive' ELSE '' END
+         || ' ' || CASE WHEN k % 2 = 0 THEN 'Exclusive' ELSE 'Parallel' END FROM b
+  UNION ALL SELECT k, 'seq_flows', CASE WHEN k % 2 = 0 THEN 'Exclusive' ELSE 'Parallel' END || '  ' || r_name FROM b
+  UNION ALL SELECT k, 'mes_flows', 'Bank  ' || c_name FROM b
+  UNION ALL SELECT k, 'lanes', r_name || ' - ' || n_name FROM b
+  UNION ALL SELECT k, 'lanes', 'Bank' FROM b
+  UNION ALL SELECT k, 'lanes_with_refs', r_name || ' - ' || n_name || ' - ' || c_name FROM b
+  UNION ALL SELECT k, 'lanes_with_refs', r_name || ' - ' || n_name || ' - begin here' FROM b
+  UNION ALL SELECT k, 'lanes_with_refs', r_name || ' - ' || n_name || ' - ' ||
+         CASE WHEN k % 2 = 0 THEN 'Exclusive' ELSE 'Parallel' END FROM b),
+cnt AS (SELECT k, category, label, count(*) AS c FROM lab GROUP BY k, category, label),
+pp AS (SELECT * FROM (SELECT c_custkey AS k1,
+                             lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k2
+                      FROM customer) WHERE k2 IS NOT NULL),
+sides AS (
+  SELECT pp.k1, pp.k2, a.category, a.label, a.c AS c1, 0 AS c2 FROM pp JOIN cnt a ON a.k = pp.k1
+  UNION ALL
+  SELECT pp.k1, pp.k2, b.category, b.label, 0 AS c1, b.c AS c2 FROM pp JOIN cnt b ON b.k = pp.k2),
+perlabel AS (SELECT k1, k2, category, label, sum(c1) AS c1, sum(c2) AS c2
+             FROM sides GROUP BY k1, k2, category, label)"""
+
+
+def _diagram_score_sql():
+    from flowmatch.plans import oracle as O
+    return ("WITH " + _BASE + "," + _DIAGRAM_LABELS + ", st AS (" + O.stats_select(["k1", "k2"], "perlabel")
+            + ")\nSELECT k1 AS c_custkey, k2 AS next_custkey, " + O.score_select("dice") + " FROM st")
+
+
+@register("q_diagram_scores", _diagram_score_sql())
+def q_diagram_scores(spark, sf_dir):
+    """B11 + M2-M5 on diagrams: each customer's diagram against the next
+    customer's of the same nation, all ten label categories (lanes, lane
+    references and message flows included)."""
+    from flowmatch.operators import score as S
+    from flowmatch.operators.sequence import with_successor
+    counts = _diagram_counts(spark, sf_dir)
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
+    succ, _ = with_successor(c, ["c_nationkey"], ["c_custkey"], ["c_custkey"],
+                             bucket=F.floor(F.col("c_custkey") / 1024))
+    pairs = succ.where(F.col("next_c_custkey").isNotNull()).select(
+        F.col("c_custkey"), F.col("next_c_custkey").alias("next_custkey"),
+        F.col("c_custkey").alias("m1"), F.col("next_c_custkey").alias("m2"))
+    return S.score_pairs(pairs, counts, pairs_unique=True).drop("m1", "m2")

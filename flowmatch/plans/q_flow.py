@@ -394,21 +394,24 @@ def q_incremental_scores(spark, sf_dir):
     expected traces.  The union of the batch outputs equals the batch query."""
     import uuid
 
-    from flowmatch.session import checkpoint_dir
+    from flowmatch.session import checkpoint_dir, cut_lineage
     from flowmatch.streaming import incremental as X
 
     ev, tr, up, pairs = _expected_pairs(spark, sf_dir)
     root = f"{checkpoint_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
     lines = T.trace_lines(ev).select(F.col("model_id")["user_id"].alias("user_id"),
-                                     F.col("model_id")["week"].alias("week"), F.col("line").alias("value"))
+                                     F.col("model_id")["week"].alias("week"), "line_no",
+                                     F.col("line").alias("value"))
     lo, n = _week_ordinal(ev)
     cut = F.date_add(F.lit(lo), 14)
     assign = pairs.select("user_id", "week", "pattern", "m1")
     exp = assign.select(F.col("m1").alias("model_id")).distinct()
-    counts = S.label_counts(T.trace_labels(ev)).join(exp, "model_id", "left_semi")
-    schema = "value string, user_id bigint, week date"
+    counts = cut_lineage(S.label_counts(T.trace_labels(ev)).join(exp, "model_id", "left_semi"))
+    assign = cut_lineage(assign)
+    schema = ("user_id bigint, line_no struct<r: int, ts: timestamp_ntz, event_id: bigint>, "
+              "value string, week date")
     for part in (F.col("week") < cut, F.col("week") >= cut):
-        lines.where(part).write.mode("append").partitionBy("user_id", "week").text(f"{root}/in")
+        X.write_models(lines.where(part), f"{root}/in", ["user_id", "week"], ["week"])
         q = X.start(spark, f"{root}/in", schema, ["user_id", "week"], assign, counts,
                     f"{root}/out", f"{root}/ckpt")
         q.awaitTermination()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowmatch.operators import listsim as LS
 from flowmatch.plans.registry import register
-from flowmatch.session import bounded_broadcast
+from flowmatch.session import bounded_broadcast, spread
 from flowmatch.sources.tables import table
 
 # Fixed values of the test set-up: vectors per model (two halves of 8), the
@@ -147,7 +147,8 @@ def _doc_metrics_sql():
 
 
 def doc_overlap(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
+        "doc_id", words(F.col("text")).alias("w"))
     items = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("w"))
     ig = bounded_broadcast(grams(items, "item_id").distinct())
     cand = grams(docs, "doc_id").join(ig, "gram").select("doc_id", "item_id").distinct()

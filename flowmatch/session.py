@@ -24,6 +24,9 @@ def get_spark(app: str = "flowmatch", master: str | None = None,
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            b = b.config("spark.driver.memory", os.environ.get("FLOWMATCH_DRIVER_MEMORY", "16g"))
     parts = shuffle_partitions or int(os.environ.get("FLOWMATCH_SHUFFLE_PARTITIONS", "8"))
     b = (b.config("spark.sql.shuffle.partitions", str(parts))
           .config("spark.sql.adaptive.enabled", "true")
@@ -71,3 +74,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread rows before CPU-heavy per-row work (parsing, n-grams) when
+    the input has fewer partitions than the cluster has task slots.
+
+    A small table stored as one row group scans as a single task; on large
+    inputs (many splits) this is a no-op and adds no shuffle."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, *keys) if keys else df.repartition(slots)

@@ -1,8 +1,10 @@
 """Incremental scoring of newly arriving model texts.
 
-A file source streams model lines; partition columns of the file path name
-the model.  A file is a whole model and arrives in one micro-batch, so no
-state crosses batches: each batch is parsed, labelled and scored against
+A file source streams model lines (text files whose partition folders name
+the model, or parquet rows carrying the model keys).  Every model is written
+whole into one file -- ``write_models`` co-locates a model's lines with
+``repartition`` on its keys -- and a file is never split across micro-batches,
+so no state crosses batches: each batch is parsed, labelled and scored against
 the (static) expected models with the same operators as the batch path.
 Each batch's result is written to ``<sink>/batch_id=<n>`` with overwrite,
 so a replayed batch (after a lost executor or driver restart) replaces its
@@ -20,36 +22,51 @@ from flowmatch.operators import score as S
 
 
 def score_batch(batch: DataFrame, key_cols: list[str], assign: DataFrame,
-                expected_counts: DataFrame, method: str = "dice") -> DataFrame:
-    """Parse one batch of (keys..., value) lines and score its models.
+                expected_counts: DataFrame, method: str = "dice") -> tuple[DataFrame, list[DataFrame]]:
+    """Parse one batch of (keys..., line_no, value) lines and score its models.
 
     ``assign`` (keys..., pattern, m1) names each model's expected model;
-    ``expected_counts`` holds the label counts of the expected models."""
+    ``expected_counts`` holds the label counts of the expected models.
+    Returns the scores and the intermediates it persisted (counts and flags
+    feed several branches); the caller unpersists them after writing."""
     model = F.struct(*[F.col(k) for k in key_cols])
-    lns = batch.select(model.alias("model_id"), F.monotonically_increasing_id().alias("line_no"),
-                       F.col("value").alias("line"))
+    lns = batch.select(model.alias("model_id"), "line_no", F.col("value").alias("line"))
     models = lns.select("model_id").distinct()
     p = P.parse_lines(lns, models, number=False)
-    counts = S.label_counts(L.model_labels(p["elements"], L.parsed_flows(p["flows"])))
+    counts = S.label_counts(L.model_labels(p["elements"], L.parsed_flows(p["flows"]))).persist()
+    flags = p["flags"].persist()
     pairs = (models.select(*[F.col("model_id")[k].alias(k) for k in key_cols], F.col("model_id").alias("m2"))
              .join(assign, key_cols))
     # a model of the batch may itself be an expected model: keep one copy of its counts
     exp_ids = expected_counts.select("model_id").distinct()
     allc = counts.join(exp_ids, "model_id", "left_anti").unionByName(expected_counts)
-    sc = S.score_pairs(pairs, allc, method=method,
-                       pairs_unique=True, model_flags=p["flags"])
-    return sc.drop("m1", "m2")
+    sc = S.score_pairs(pairs, allc, method=method, pairs_unique=True, model_flags=flags)
+    return sc.drop("m1", "m2"), [counts, flags]
+
+
+def write_models(lines: DataFrame, path: str, key_cols: list[str], partition_by: list[str],
+                 files: int = 8) -> None:
+    """Append model lines (keys..., line_no, value) so that each model lands in one file."""
+    (lines.repartition(files, *key_cols).write.mode("append")
+     .partitionBy(*partition_by).parquet(path))
 
 
 def start(spark: SparkSession, in_dir: str, schema: str, key_cols: list[str], assign: DataFrame,
-          expected_counts: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
-    """Start the stream; returns the StreamingQuery."""
-    src = (spark.readStream.schema(schema).option("basePath", in_dir)
-           .option("recursiveFileLookup", "false").text(in_dir))
+          expected_counts: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
+          fmt: str = "parquet"):
+    """Start the stream; returns the StreamingQuery.
+
+    ``assign`` and ``expected_counts`` are static: pass them materialised
+    (``session.cut_lineage``) so micro-batches do not recompute them."""
+    r = spark.readStream.schema(schema).option("basePath", in_dir)
+    src = r.text(in_dir) if fmt == "text" else r.parquet(in_dir)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        out = score_batch(batch, key_cols, assign, expected_counts)
+        b = batch.persist()  # the batch feeds several branches of the plan
+        out, held = score_batch(b, key_cols, assign, expected_counts)
         out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        for d in held + [b]:
+            d.unpersist()
 
     w = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
