@@ -247,7 +247,8 @@ def q_approach_compare(spark, sf_dir):
 WITH g AS (SELECT DISTINCT quality, toxic FROM labels),
 m AS (SELECT max(doc_id) AS mx FROM documents),
 grid AS (SELECT quality, toxic, unnest(range(0, (SELECT mx FROM m) + 1)) AS ordinal FROM g)
-SELECT grid.quality, grid.toxic, grid.ordinal, CASE WHEN l.doc_id IS NULL THEN 0.0 ELSE 1.0 END AS similarity
+SELECT grid.quality, grid.toxic, CAST(grid.ordinal AS INTEGER) AS ordinal,
+       CAST(CASE WHEN l.doc_id IS NULL THEN 0.0 ELSE 1.0 END AS DOUBLE) AS similarity
 FROM grid LEFT JOIN labels l ON l.quality = grid.quality AND l.toxic = grid.toxic AND l.doc_id = grid.ordinal""")
 def q_dense_ordinals(spark, sf_dir):
     """Every document ordinal per label group; absent rows score 0."""

@@ -206,8 +206,8 @@ def q_json_repair(spark, sf_dir):
 WITH t AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
 c AS (SELECT l_orderkey, count(*) AS n_tasks,
              count(*) AS n_flows FROM t GROUP BY l_orderkey)
-SELECT o_orderkey, coalesce(n_tasks, 0) AS n_tasks, 0 AS n_events, 0 AS n_gateways,
-       coalesce(n_flows, 0) AS n_flows, 0 AS n_pools, 0 AS n_message_flows
+SELECT o_orderkey, CAST(coalesce(n_tasks, 0) AS INTEGER) AS n_tasks, 0 AS n_events, 0 AS n_gateways,
+       CAST(coalesce(n_flows, 0) AS INTEGER) AS n_flows, 0 AS n_pools, 0 AS n_message_flows
 FROM orders LEFT JOIN c ON c.l_orderkey = o_orderkey""")
 def q_model_json(spark, sf_dir):
     """One six-list JSON document per order (line items as tasks,

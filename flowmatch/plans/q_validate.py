@@ -51,7 +51,7 @@ def q_validate_rules(spark, sf_dir):
 @register("q_validate_status", "WITH " + _EV + """
 SELECT user_id, week,
        CASE WHEN sum(CASE WHEN event_id % 13 IN (0, 1, 2) THEN 1 ELSE 0 END) = 0 THEN 1 ELSE 0 END AS status,
-       sum(CASE WHEN event_id % 13 IN (0, 1, 2) THEN 1 ELSE 0 END) AS n_errors
+       CAST(sum(CASE WHEN event_id % 13 IN (0, 1, 2) THEN 1 ELSE 0 END) AS BIGINT) AS n_errors
 FROM ev GROUP BY user_id, week""")
 def q_validate_status(spark, sf_dir):
     """Status and error count of every faulty trace text."""
