@@ -9,10 +9,12 @@ The global call rate is ``partitions`` x the per-task rate.
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +65,13 @@ def batch_generate(df: DataFrame, prompt_col: str, make_client: Callable[[], Cal
     """Add ``reply``, ``error``, ``attempts`` for ``prompt_col``.
 
     ``make_client()`` runs on the executors and returns ``f(prompt, system)``.
-    Rows with a NULL prompt get no call and NULL results."""
+    Rows with a NULL prompt get no call and NULL results.  The task function
+    (and a client defined in this package) is shipped by value, so executors
+    need no copy of the package; a caller's own client module must be on the
+    executors' path as usual (``--py-files``)."""
+    for name in {__name__, getattr(make_client, "__module__", "")}:
+        if name.startswith("flowmatch") and name in sys.modules:
+            cloudpickle.register_pickle_by_value(sys.modules[name])
     prompts = (df.select(F.col(prompt_col).alias("prompt")).where(F.col("prompt").isNotNull())
                .distinct().repartition(partitions, "prompt"))
     out = prompts.mapInPandas(_run(make_client, system_prompt, min_interval, retries, retry_wait), SCHEMA)
