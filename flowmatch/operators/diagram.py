@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmatch.functions.text import strip
+from flowmatch.session import checkpoint_dir
 
 # Stencil id -> category (66 entries).
 STENCIL_CATEGORY = {
@@ -76,6 +77,7 @@ def flatten_shapes(diagrams: DataFrame, id_col: str = "diagram_id", json_col: st
     (diagram_id, pos array<int>, depth, parent_category, parent_lane, resourceId,
     stencil, category, name_raw, tasktype, outgoing array<string>, target,
     n_children, lane_children array<string>)."""
+    checkpoint_dir(diagrams.sparkSession)
     # the fixed 66-entry stencil map as a literal map: a lookup, not a join
     cat = F.create_map(*[F.lit(x) for kv in STENCIL_CATEGORY.items() for x in kv])
     level = diagrams.select(F.col(id_col).alias("diagram_id"), F.array().cast("array<int>").alias("pos"),
@@ -95,13 +97,15 @@ def flatten_shapes(diagrams: DataFrame, id_col: str = "diagram_id", json_col: st
                      F.coalesce(F.col("_s.childShapes"), F.array().cast("array<string>")).alias("children"),
                      F.lit(depth).alias("depth"))
         s = s.withColumn("category", cat[F.col("stencil")])
-        s = s.persist()
+        # each level is written to the shared checkpoint folder: lineage stays
+        # one level deep and a lost executor does not replay earlier levels
+        s = s.checkpoint(eager=True)
         out = s if out is None else out.unionByName(s)
         # descend: children of the diagram and of pools (their lanes), and of
         # lanes that sit in a pool
         go = s.where(F.col("category").isin("Diagram", "Pools")
                      | ((F.col("category") == "Lanes") & (F.col("parent_category") == "Pools")))
-        # one full pass per level: fills the level's cache and counts what is left
+        # what is left to descend into
         if (go.agg(F.sum(F.size("children"))).first()[0] or 0) == 0:
             break
         nxt = go.select("diagram_id", "pos", F.col("category").alias("parent_category"),
