@@ -50,39 +50,40 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def greedy_match(edges: DataFrame, group_cols: list[str], threshold: float,
-                 max_rounds: int = 10_000, checkpoint_every: int = 8) -> DataFrame:
+                 max_rounds: int = 100_000) -> DataFrame:
     """One-to-one greedy matching of (group..., i1, i2, score) edges.
 
     Returns the matched edges.  Only edges with ``score >= threshold`` can
     match, so they are filtered first; the result equals the sequential
-    greedy over the sorted matrix."""
-    rem = edges.where(F.col("score") >= threshold).select(*group_cols, "i1", "i2", "score")
+    greedy over the sorted matrix.  Each round reads the remaining edges
+    twice (ranking and removal), so both the taken and the remaining edges
+    are checkpointed every round: the plan stays one round deep instead of
+    growing with every round."""
+    spark = edges.sparkSession
+    checkpoint_dir(spark)
+    rem = (edges.where(F.col("score") >= threshold)
+           .select(*group_cols, "i1", "i2", "score").checkpoint(eager=True))
     order = [F.col("score").desc(), F.col("i1").asc(), F.col("i2").asc()]
     w1 = Window.partitionBy(*group_cols, "i1").orderBy(*order)
     w2 = Window.partitionBy(*group_cols, "i2").orderBy(*order)
-    matched = None
-    spark = edges.sparkSession
-    for r in range(max_rounds):
-        if r and r % checkpoint_every == 0:
-            checkpoint_dir(spark)
-            rem = rem.checkpoint(eager=True)
-            if matched is not None:
-                matched = matched.checkpoint(eager=True)
-        ranked = (rem.withColumn("_r1", F.row_number().over(w1))
-                  .withColumn("_r2", F.row_number().over(w2)))
-        take = ranked.where((F.col("_r1") == 1) & (F.col("_r2") == 1)).drop("_r1", "_r2")
-        take = take.persist()
-        if take.isEmpty():
-            take.unpersist()
+    parts = []
+    for _ in range(max_rounds):
+        if rem.isEmpty():
             break
-        matched = take if matched is None else matched.unionByName(take)
-        used1 = take.select(*group_cols, "i1")
-        used2 = take.select(*group_cols, "i2")
-        rem = (rem.join(used1, group_cols + ["i1"], "left_anti")
-               .join(used2, group_cols + ["i2"], "left_anti"))
-    if matched is None:
-        return rem.limit(0)
-    return matched
+        take = (rem.withColumn("_r1", F.row_number().over(w1))
+                .withColumn("_r2", F.row_number().over(w2))
+                .where((F.col("_r1") == 1) & (F.col("_r2") == 1))
+                .drop("_r1", "_r2").checkpoint(eager=True))
+        parts.append(take)
+        rem = (rem.join(take.select(*group_cols, "i1"), group_cols + ["i1"], "left_anti")
+               .join(take.select(*group_cols, "i2"), group_cols + ["i2"], "left_anti")
+               .checkpoint(eager=True))
+    if not parts:
+        return rem
+    out = parts[0]
+    for t in parts[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def similarity_sfa(pairs: DataFrame, items1: DataFrame, items2: DataFrame, sim: DataFrame | None,
@@ -98,10 +99,10 @@ def similarity_sfa(pairs: DataFrame, items1: DataFrame, items2: DataFrame, sim:
     a = items1.select(F.col("model_id").alias("m1"), F.col("i").alias("i1"), F.col("label").alias("l1"))
     b = items2.select(F.col("model_id").alias("m2"), F.col("i").alias("i2"), F.col("label").alias("l2"))
     # exact matches: k-th occurrence of a label on one side with the k-th on the other
-    wa = Window.partitionBy("m1", "l1").orderBy("i1")
-    wb = Window.partitionBy("m2", "l2").orderBy("i2")
-    ka = keys.join(a, "m1").withColumn("_k", F.row_number().over(wa.partitionBy("m1", "m2", "l1")))
-    kb = keys.join(b, "m2").withColumn("_k", F.row_number().over(wb.partitionBy("m1", "m2", "l2")))
+    wa = Window.partitionBy("m1", "m2", "l1").orderBy("i1")
+    wb = Window.partitionBy("m1", "m2", "l2").orderBy("i2")
+    ka = keys.join(a, "m1").withColumn("_k", F.row_number().over(wa))
+    kb = keys.join(b, "m2").withColumn("_k", F.row_number().over(wb))
     exact = ka.join(kb, (ka.m1 == kb.m1) & (ka.m2 == kb.m2) & (ka.l1 == kb.l2) & (ka._k == kb._k)) \
               .select(ka.m1, ka.m2, "i1", "i2")
     n = (keys.join(a.groupBy("m1").agg(F.count(F.lit(1)).alias("n1")), "m1", "left")

@@ -7,7 +7,7 @@ Instead the order key is cut into time buckets:
 1. ``lead`` inside (trace, bucket) -- many small window partitions;
 2. the head (first row) of every bucket, a map-side-combined aggregate;
 3. ``lead`` over the bucket heads of a trace -- at most one row per bucket
-   (10,080 minute buckets in a week), never one row per event;
+   (168 hour buckets in a week with the default unit), never one row per event;
 4. the last row of a bucket takes the head of the next non-empty bucket.
 
 The result is exact: ordering by (bucket, order keys) equals ordering by the

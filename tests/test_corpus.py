@@ -56,3 +56,22 @@ def test_score_goldens(spark, name):
         F.round(F.avg("similarity"), 6).alias("mean"), F.sum((F.col("similarity") == 0).cast("int")).alias("zero"))
     for r in agg.join(dense, ["provider", "pattern"]).collect():
         assert (r.files, r.exact, r.mean, r.m64, r.zero) == SCORES[(name, r.provider, r.pattern)]
+
+
+def test_score_meanings(spark):
+    """M8: derive rows get the gate and the candidate's score; NULL meanings
+    stay NULL unless carried forward."""
+    exp = SM.read_named(spark, os.path.join(CORPUS, "EAO"))
+    cands = SM.read_candidates(spark, os.path.join(CORPUS, "AAO"), "AAO").where(
+        (F.col("provider") == "gemini") & (F.col("pattern") == "AP6"))
+    derived = spark.createDataFrame(
+        [("gemini", "AP6", 1, "move A"), ("gemini", "AP6", 2, None), ("gemini", "AP6", 26, " NA "),
+         ("gemini", "AP6", 27, "False"), ("gemini", "AP6", 63, "x")],
+        "provider string, pattern string, ordinal int, meaning string")
+    out = {r.ordinal: r for r in B.score_meanings(derived, cands, exp).collect()}
+    assert out[2].meaning_status is None and out[2].similarity is None
+    assert out[26].meaning_status is False and out[26].similarity == pytest.approx(0.785714, abs=1e-6)
+    assert out[27].meaning_status is False
+    assert out[1].meaning_status is True and out[1].similarity is not None
+    carried = {r.ordinal: r for r in B.score_meanings(derived, cands, exp, carry=True).collect()}
+    assert carried[2].similarity == out[1].similarity and carried[2].meaning_status is True

@@ -63,3 +63,18 @@ def test_greedy_equals_sequential(spark):
         got.setdefault(r.g, []).append((r.i1, r.i2))
     for g in want:
         assert sorted(got.get(g, [])) == want[g], g
+
+
+def test_greedy_long_chain_checkpoints(spark):
+    """A chain where only one edge is locally dominant per round: 20 rounds,
+    so the lineage-cutting checkpoints inside the loop are exercised."""
+    n = 20
+    rows = []
+    for k in range(n):
+        rows.append((0, k, k, round(1 - 0.01 * (2 * k), 4)))
+        if k + 1 < n:
+            rows.append((0, k + 1, k, round(1 - 0.01 * (2 * k + 1), 4)))
+    e = spark.createDataFrame(rows, "g int, i1 int, i2 int, score double")
+    got = sorted((r.i1, r.i2) for r in LS.greedy_match(e, ["g"], 0.0).collect())
+    assert got == _greedy_py([(s, a, b) for _, a, b, s in rows], 0.0)
+    assert got == [(k, k) for k in range(n)]
