@@ -18,7 +18,7 @@ def _models(spark, texts):
 
 def test_edge_cases(spark):
     texts = {
-        "fence": "```mermaid\nflowchart LR\n0:startevent:((s))-->1:task:(A)\n```",
+        "fence": "```\nflowchart LR\n0:startevent:((s))-->1:task:(A)\n```",
         "empty_type": "flowchart LR\n0:task:(A)-->7:\n7:-->1:task:(B)",
         "bare": "flowchart LR\n0:startevent:((s))-->1:task:(A)\n0-->1",
         "no_arrow": "flowchart LR\n0:startevent:((s))",

@@ -56,3 +56,14 @@ def test_provider_routing():
         pass
     else:
         raise AssertionError("unknown provider accepted")
+
+
+def test_survey_slice_and_summary_sink(spark):
+    cols = [f"c{i}" for i in range(6)] + [f"AP{i}" for i in range(18)] + ["extra"]
+    wide = spark.createDataFrame([tuple(range(len(cols)))], ", ".join(f"{c} int" for c in cols))
+    assert SM.survey_patterns(wide).columns == [f"AP{i}" for i in range(18)]
+    d = tempfile.mkdtemp(prefix="fm-sum-")
+    summ = spark.createDataFrame([("gpt", "AP6", "True,True,True,True", 3)], "provider string, pattern string, outcome string, n long")
+    SM.write_summary(summ, os.path.join(d, "s"))
+    back = spark.read.option("header", True).csv(os.path.join(d, "s")).collect()
+    assert [tuple(r) for r in back] == [("gpt", "AP6", "True,True,True,True", "3")]
