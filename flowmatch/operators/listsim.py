@@ -1,6 +1,6 @@
 """Single-list similarity and fuzzy one-to-one matching.
 
-``list_stats`` scores two multisets of strings per pair by a count join.
+``list_stats`` scores two multisets of strings per pair by stacked counts.
 ``greedy_match`` is the one-to-one matching of scored item pairs: best score
 first, ties by (i1, i2), each item used once, ``score >= threshold``.  It is
 computed as rounds of *locally dominant* edges -- an edge that comes first
@@ -21,16 +21,21 @@ from flowmatch.session import checkpoint_dir
 
 def list_stats(pairs: DataFrame, c1: DataFrame, c2: DataFrame) -> DataFrame:
     """L7 + count join: ``pairs`` (m1, m2, ...), ``c1``/``c2`` (model_id, label,
-    cnt) -> pairs with n1, n2, i (BIGINT).  m1 is the truth list."""
-    t1 = c1.groupBy(F.col("model_id").alias("m1")).agg(F.sum("cnt").cast("long").alias("n1"))
-    t2 = c2.groupBy(F.col("model_id").alias("m2")).agg(F.sum("cnt").cast("long").alias("n2"))
+    cnt) -> pairs with n1, n2, i (BIGINT).  m1 is the truth list.
+
+    Both sides are stacked and summed per (pair, label), then folded per pair,
+    so each count table is read once and no join on labels is needed."""
     keys = pairs.select("m1", "m2").distinct()
-    x = (keys.join(c2.select(F.col("model_id").alias("m2"), "label", F.col("cnt").alias("b")), "m2")
-         .join(c1.select(F.col("model_id").alias("m1"), "label", F.col("cnt").alias("a")), ["m1", "label"])
-         .groupBy("m1", "m2").agg(F.sum(F.least("a", "b")).cast("long").alias("i")))
-    st = (keys.join(t1, "m1", "left").join(t2, "m2", "left").join(x, ["m1", "m2"], "left")
-          .fillna({"n1": 0, "n2": 0, "i": 0}))
-    return pairs.join(st, ["m1", "m2"])
+    s1 = keys.join(c1.select(F.col("model_id").alias("m1"), "label", F.col("cnt").alias("a")), "m1") \
+             .withColumn("b", F.lit(0).cast("long"))
+    s2 = keys.join(c2.select(F.col("model_id").alias("m2"), "label", F.col("cnt").alias("b")), "m2") \
+             .withColumn("a", F.lit(0).cast("long"))
+    per_label = (s1.unionByName(s2).groupBy("m1", "m2", "label")
+                 .agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    st = per_label.groupBy("m1", "m2").agg(
+        F.sum("a").cast("long").alias("n1"), F.sum("b").cast("long").alias("n2"),
+        F.sum(F.least("a", "b")).cast("long").alias("i"))
+    return pairs.join(st, ["m1", "m2"], "left").fillna({"n1": 0, "n2": 0, "i": 0})
 
 
 def metric_columns(digits: int | None = 6) -> list[Column]:

@@ -147,13 +147,14 @@ def _doc_metrics_sql():
 
 
 def doc_overlap(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
-        "doc_id", words(F.col("text")).alias("w"))
+    raw = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = raw.select("doc_id", words(F.col("text")).alias("w"))
     items = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("w"))
     ig = bounded_broadcast(grams(items, "item_id").distinct())
     cand = grams(docs, "doc_id").join(ig, "gram").select("doc_id", "item_id").distinct()
-    dwc = (docs.join(cand.select("doc_id").distinct(), "doc_id", "left_semi")
-           .select(F.col("doc_id").alias("model_id"), F.explode("w").alias("label"))
+    # words of candidate documents only: the semi join runs on the raw text
+    dwc = (raw.join(cand.select("doc_id").distinct(), "doc_id", "left_semi")
+           .select(F.col("doc_id").alias("model_id"), F.explode(words(F.col("text"))).alias("label"))
            .groupBy("model_id", "label").agg(F.count(F.lit(1)).alias("cnt")))
     iwc = (items.select(F.col("item_id").alias("model_id"), F.explode("w").alias("label"))
            .groupBy("model_id", "label").agg(F.count(F.lit(1)).alias("cnt")))
