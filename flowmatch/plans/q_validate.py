@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from flowmatch.operators import validate as V
 from flowmatch.plans import traces as T
 from flowmatch.plans.registry import register
+from flowmatch.session import cut_lineage
 from flowmatch.sources.tables import table
 
 _EV = """ev AS (
@@ -42,7 +43,8 @@ FROM ev WHERE event_id % 13 IN (0, 1, 2)""")
 def q_validate_rules(spark, sf_dir):
     """V1-V12 rule rows of the faulty trace texts."""
     ev = table(spark, sf_dir, "events")
-    lns = faulty_trace_lines(ev).withColumn("line_no", F.col("line_no")["event_id"])
+    # the validator reads its lines from several branches: materialise them once
+    lns = cut_lineage(faulty_trace_lines(ev).withColumn("line_no", F.col("line_no")["event_id"]))
     f = V.validate_lines(lns)
     return f.select(F.col("model_id")["user_id"].alias("user_id"), F.col("model_id")["week"].alias("week"),
                     F.col("line_no").alias("event_id"), "rule", "message")
@@ -56,7 +58,7 @@ FROM ev GROUP BY user_id, week""")
 def q_validate_status(spark, sf_dir):
     """Status and error count of every faulty trace text."""
     ev = table(spark, sf_dir, "events")
-    lns = faulty_trace_lines(ev)
+    lns = cut_lineage(faulty_trace_lines(ev))
     f = V.validate_lines(lns)
     models = T.traces(ev).select(T.model_key().alias("model_id"))
     st = V.validation_status(models, f)
