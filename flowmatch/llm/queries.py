@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowmatch.llm import simhash
+from flowmatch.llm import decontam, simhash
 from flowmatch.llm.common import documents
+from flowmatch.sources.tables import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +30,10 @@ def _query(name: str, sql: str | None = None):
 def op1(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), words=4, max_bits=4)
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@_query("op10_benchmark_decontamination")
+def op10(spark, sf_dir):
+    found = decontam.contamination(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10, gram=5)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
