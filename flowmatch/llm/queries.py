@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowmatch.llm import decontam, simhash
+from flowmatch.llm import decontam, sharding, simhash
 from flowmatch.llm.common import documents
 from flowmatch.sources.tables import table
 
@@ -32,6 +32,13 @@ def op1(spark, sf_dir):
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+@_query("op9_histogram_sort_shards")
+def op9(spark, sf_dir):
+    dealt = sharding.shards(documents(spark, sf_dir, "doc_id", "text"), n_shards=16)
+    return dealt.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"),
+                        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @_query("op10_benchmark_decontamination")
 def op10(spark, sf_dir):
     found = decontam.contamination(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10, gram=5)
