@@ -7,10 +7,14 @@ express the operator.
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowmatch.llm import decontam, sharding, simhash
+from flowmatch.llm import decontam, sharding, simhash, token_files
 from flowmatch.llm.common import documents
+from flowmatch.session import checkpoint_dir
 from flowmatch.sources.tables import table
 
 QUERIES: dict = {}
@@ -32,6 +36,13 @@ def op1(spark, sf_dir):
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+@_query("op6_token_id_files")
+def op6(spark, sf_dir):
+    folder = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    manifest = token_files.write(documents(spark, sf_dir, "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @_query("op9_histogram_sort_shards")
 def op9(spark, sf_dir):
     dealt = sharding.shards(documents(spark, sf_dir, "doc_id", "text"), n_shards=16)
