@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowmatch.llm import decontam, sharding, simhash, token_files
+from flowmatch.llm import bpe, decontam, sharding, simhash, token_files, unigram
 from flowmatch.llm.common import documents
 from flowmatch.session import checkpoint_dir
 from flowmatch.sources.tables import table
@@ -36,6 +36,18 @@ def op1(spark, sf_dir):
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+@_query("op4_byte_bpe_round_trip")
+def op4(spark, sf_dir):
+    both = bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@_query("op5_unigram_token_counts")
+def op5(spark, sf_dir):
+    return unigram.token_counts(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 @_query("op6_token_id_files")
 def op6(spark, sf_dir):
     folder = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
