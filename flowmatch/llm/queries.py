@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowmatch.llm import bpe, decontam, sharding, simhash, token_files, unigram
+from flowmatch.llm import bpe, decontam, quality, sharding, simhash, token_files, unigram
 from flowmatch.llm.common import documents
 from flowmatch.session import checkpoint_dir
 from flowmatch.sources.tables import table
@@ -36,6 +36,14 @@ def op1(spark, sf_dir):
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+@_query("op3_quality_classifier")
+def op3(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scores(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 @_query("op4_byte_bpe_round_trip")
 def op4(spark, sf_dir):
     both = bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
