@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowmatch.llm import bpe, decontam, quality, sharding, simhash, token_files, unigram
+from flowmatch.llm import bpe, cws, decontam, quality, sharding, simhash, token_files, unigram
 from flowmatch.llm.common import documents
 from flowmatch.session import checkpoint_dir
 from flowmatch.sources.tables import table
@@ -36,6 +36,15 @@ def op1(spark, sf_dir):
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+@_query("op2_consistent_weighted_sampling")
+def op2(spark, sf_dir):
+    found = cws.edited_likeness(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_chars", F.col("edited_text_sha256").alias("edited_sha256"),
+                        cws.as_hex("samples").alias("fingerprint"), cws.as_hex("edited_samples").alias("edited_fingerprint"),
+                        cws.likeness("samples", "edited_samples").alias("near_edited"),
+                        cws.likeness("samples", "next_samples").alias("near_next"))
+
+
 @_query("op3_quality_classifier")
 def op3(spark, sf_dir):
     docs = documents(spark, sf_dir, "doc_id", "text")
