@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowmatch.llm import bpe, cws, decontam, quality, sharding, simhash, token_files, unigram
+from flowmatch.llm import bpe, cws, decontam, licenses, quality, sharding, simhash, token_files, unigram
 from flowmatch.llm.common import documents
 from flowmatch.session import checkpoint_dir
 from flowmatch.sources.tables import table
@@ -72,6 +72,12 @@ def op6(spark, sf_dir):
     return token_files.read(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@_query("op7_license_scan", licenses.scan_sql())
+def op7(spark, sf_dir):
+    found = licenses.scan(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_sentences", *[F.concat_ws(",", c).alias(c) for c in ("sentence_ids", "licences", "unmatched")])
+
+
 @_query("op9_histogram_sort_shards")
 def op9(spark, sf_dir):
     dealt = sharding.shards(documents(spark, sf_dir, "doc_id", "text"), n_shards=16)
