@@ -1,33 +1,60 @@
-"""The corpus pipeline: stages over ``documents`` that each call one operator
-of ``flowmatch.llm`` and write what they keep.
+"""The corpus pipeline: five stages over ``documents``, each of which calls one
+operator of ``flowmatch.llm``, is written as Parquet and reread by the next.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowmatch.llm import simhash
+from flowmatch.llm import bpe, decontam, pii, quality, simhash
+from flowmatch.llm.common import documents
+from flowmatch.session import checkpoint_dir
+from flowmatch.sources.tables import table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (its smallest doc_id)."""
+    """One document of each near-duplicate group stays: its smallest doc_id."""
     return simhash.one_of_each(docs, words=4, max_bits=4)
 
 
-STAGES = [("simhash near-dedup", simhash_near_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten words in a row of a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"), window=10, gram=5)
 
-# SQL has no form of the classifier or of fingerprint groups; the tests hold
-# the stages against brute-force versions.
-ORACLE_SQL = None
 
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced."""
+    return pii.pseudonymise(docs, key="corpus key")
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table, each written and reread."""
-    import uuid
 
-    from flowmatch.llm.common import documents
-    from flowmatch.session import checkpoint_dir
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the texts (little-endian 32 bit), and the bytes that they decode to."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
 
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("simhash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("pii surrogates", pii_surrogates),
+    ("byte-level bpe", byte_bpe),
+]
+
+# SQL can express neither the classifier nor chains of near fingerprints;
+# tests/llm holds the stages against brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents`` table."""
     docs = documents(spark, sf_dir)
     folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):

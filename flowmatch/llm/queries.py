@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowmatch.llm import bpe, cws, decontam, licenses, quality, sharding, simhash, token_files, unigram
+from flowmatch.llm import bpe, cws, decontam, licenses, pii, quality, sharding, simhash, token_files, unigram
 from flowmatch.llm.common import documents
 from flowmatch.session import checkpoint_dir
 from flowmatch.sources.tables import table
@@ -78,6 +78,11 @@ def op7(spark, sf_dir):
     return found.select("doc_id", "n_sentences", *[F.concat_ws(",", c).alias(c) for c in ("sentence_ids", "licences", "unmatched")])
 
 
+@_query("op8_pii_surrogates")
+def op8(spark, sf_dir):
+    return pii.pseudonymise(documents(spark, sf_dir, "doc_id", "text"), key="corpus key")
+
+
 @_query("op9_histogram_sort_shards")
 def op9(spark, sf_dir):
     dealt = sharding.shards(documents(spark, sf_dir, "doc_id", "text"), n_shards=16)
