@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowmatch.functions.text import strip
 from flowmatch.operators import labels as L
 from flowmatch.operators import parse as P
 from flowmatch.operators import score as S
@@ -18,7 +19,6 @@ from flowmatch.session import bounded_broadcast
 # The comparison settings of both batch comparisons.
 DEFAULT_METHOD = "dice"
 DEFAULT_THRESHOLD = 0.95
-ORDINALS = 64
 
 
 def model_counts(models: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,29 +29,41 @@ def model_counts(models: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def score_against_expected(cands: DataFrame, expected: DataFrame, key: str = "pattern",
-                           method: str = DEFAULT_METHOD, digits: int | None = 6) -> DataFrame:
+                           method: str = DEFAULT_METHOD, digits: int | None = 6,
+                           vectors: DataFrame | None = None,
+                           threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Each candidate (key, model_id, text, ...) against the expected
     model (key, model_id, text) of its key.  Adds ``similarity`` (= overall;
-    0 for unscorable pairs) and ``is_exact``."""
+    0 for unscorable pairs) and ``is_exact``.  With ``vectors`` (label, vector)
+    labels also match by cosine similarity from ``threshold`` on."""
     exp = bounded_broadcast(expected.select(key, F.col("model_id").alias("m1")))
     pairs = (cands.drop("text").withColumnRenamed("model_id", "m2").join(exp, key))
     models = (cands.select("model_id", "text")
               .unionByName(expected.select("model_id", "text")))
     counts, flags = model_counts(models)
     out = S.score_pairs(pairs, counts, method=method, pairs_unique=True, model_flags=flags,
-                        digits=digits)
+                        digits=digits, vectors=vectors, threshold=threshold)
     return (out.withColumnRenamed("overall", "similarity")
             .select(*[c for c in pairs.columns if c != "m1"], "similarity", "is_exact")
             .withColumnRenamed("m2", "model_id"))
 
 
-def dense_ordinals(scores: DataFrame, keys: list[str], n: int = ORDINALS,
+def dense_ordinals(scores: DataFrame, keys: list[str], n: int,
                    ordinal: str = "ordinal", value: str = "similarity") -> DataFrame:
     """Every ordinal 0..n-1 per key group; a missing model scores 0.
 
-    The scaffold is generated per group with ``sequence`` (no cross join)."""
+    ``n`` is the caller's list length; scored rows with an ordinal outside it
+    are kept too.  The missing rows are made in blocks of ordinals, so neither
+    a row nor a task holds all ordinals of a group."""
+    block = 1024
     groups = scores.select(*keys).distinct()
-    scaffold = groups.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(ordinal))
+    blocks = groups.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(max(0, (n - 1) // block)))).alias("_b"))
+    blocks = blocks.repartition(*keys, "_b")
+    scaffold = blocks.select(*keys, F.explode(F.sequence(
+        F.col("_b") * block, F.least((F.col("_b") + 1) * block, F.lit(n)) - 1)).alias(ordinal)) \
+        if n > 0 else blocks.select(*keys, F.col("_b").alias(ordinal)).where("false")
+    scaffold = scaffold.unionByName(scores.where((F.col(ordinal) < 0) | (F.col(ordinal) >= n)).select(
+        *keys, F.col(ordinal).cast(scaffold.schema[ordinal].dataType).alias(ordinal)).distinct())
     s = scores.select(*keys, ordinal, value, *[c for c in ("is_exact",) if c in scores.columns])
     out = scaffold.join(s, keys + [ordinal], "left").withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
     if "is_exact" in scores.columns:
@@ -60,9 +72,9 @@ def dense_ordinals(scores: DataFrame, keys: list[str], n: int = ORDINALS,
 
 
 def meaning_ok(meaning: Column) -> Column:
-    """A usable meaning is non-NULL and, trimmed, neither ``NA`` nor ``false``
+    """A usable meaning is non-NULL and, without white space round it, neither ``NA`` nor ``false``
     (any case).  NULL in, NULL out."""
-    m = F.trim(meaning)
+    m = strip(meaning)
     return F.when(meaning.isNull(), F.lit(None).cast("boolean")) \
             .otherwise((m != "NA") & (F.lower(m) != "false"))
 
@@ -98,12 +110,13 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, cols: list[str],
 
 def score_meanings(derived: DataFrame, cands: DataFrame, expected: DataFrame,
                    keys: tuple[str, str] = ("provider", "pattern"), ordinal: str = "ordinal",
-                   method: str = DEFAULT_METHOD, carry: bool = False) -> DataFrame:
+                   method: str = DEFAULT_METHOD, carry: bool = False, vectors: DataFrame | None = None,
+                   threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """M8: derive rows (keys, ordinal, mapping, epap, user, meaning) get
     ``meaning_status`` and ``similarity`` of the candidate with the same keys
     and ordinal.  A NULL meaning gives NULL status and similarity unless
     ``carry`` repeats the previous row's values."""
-    sc = score_against_expected(cands, expected, key=keys[1], method=method)
+    sc = score_against_expected(cands, expected, key=keys[1], method=method, vectors=vectors, threshold=threshold)
     sc = sc.select(*keys, ordinal, "similarity")
     d = derived.withColumn("meaning_status", meaning_ok(F.col("meaning")))
     d = d.join(sc, list(keys) + [ordinal], "left")

@@ -71,12 +71,12 @@ def stencil_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "stencil string, category string")
 
 
-def flatten_shapes(diagrams: DataFrame, id_col: str = "diagram_id", json_col: str = "json",
-                   max_depth: int = 32) -> DataFrame:
+def flatten_shapes(diagrams: DataFrame, id_col: str = "diagram_id", json_col: str = "json") -> DataFrame:
     """B1/B2: every shape reached by the flattener, one row each:
     (diagram_id, pos array<int>, depth, parent_category, parent_lane, resourceId,
     stencil, category, name_raw, tasktype, outgoing array<string>, target,
-    n_children, lane_children array<string>)."""
+    n_children).  One round for each level of nesting, until nothing is left
+    to descend into; a level's text is written once, for the next round only."""
     checkpoint_dir(diagrams.sparkSession)
     # the fixed 66-entry stencil map as a literal map: a lookup, not a join
     cat = F.create_map(*[F.lit(x) for kv in STENCIL_CATEGORY.items() for x in kv])
@@ -84,8 +84,8 @@ def flatten_shapes(diagrams: DataFrame, id_col: str = "diagram_id", json_col: st
                             F.lit(None).cast("string").alias("parent_category"),
                             F.lit(None).cast("string").alias("parent_lane"),
                             F.col(json_col).alias("_js"))
-    out = None
-    for depth in range(max_depth):
+    out, depth = None, 0
+    while True:
         s = level.withColumn("_s", F.from_json("_js", SHAPE_SCHEMA))
         s = s.select("diagram_id", "pos", "parent_category", "parent_lane",
                      F.col("_s.resourceId").alias("resourceId"), F.col("_s.stencil.id").alias("stencil"),
@@ -96,24 +96,26 @@ def flatten_shapes(diagrams: DataFrame, id_col: str = "diagram_id", json_col: st
                      F.col("_s.target.resourceId").alias("target"),
                      F.coalesce(F.col("_s.childShapes"), F.array().cast("array<string>")).alias("children"),
                      F.lit(depth).alias("depth"))
-        s = s.withColumn("category", cat[F.col("stencil")])
+        s = s.withColumns({"category": cat[F.col("stencil")], "n_children": F.size("children")})
+        # descend: children of the diagram and of pools (their lanes), and of
+        # lanes that sit in a pool; other children are counted but not kept
+        into = (F.col("category").isin("Diagram", "Pools")
+                | ((F.col("category") == "Lanes") & (F.col("parent_category") == "Pools")))
+        s = s.withColumn("children", F.when(into & (F.col("n_children") > 0), F.col("children")))
         # each level is written to the shared checkpoint folder: lineage stays
         # one level deep and a lost executor does not replay earlier levels
         s = s.checkpoint(eager=True)
-        out = s if out is None else out.unionByName(s)
-        # descend: children of the diagram and of pools (their lanes), and of
-        # lanes that sit in a pool
-        go = s.where(F.col("category").isin("Diagram", "Pools")
-                     | ((F.col("category") == "Lanes") & (F.col("parent_category") == "Pools")))
-        # what is left to descend into
-        if (go.agg(F.sum(F.size("children"))).first()[0] or 0) == 0:
-            break
+        rows = s.drop("children")
+        out = rows if out is None else out.unionByName(rows)
+        go = s.where(F.col("children").isNotNull())
+        if go.isEmpty():
+            return out
         nxt = go.select("diagram_id", "pos", F.col("category").alias("parent_category"),
                         F.when(F.col("category") == "Lanes", F.col("resourceId")).alias("parent_lane"),
                         F.posexplode("children").alias("_i", "_js"))
         level = nxt.select("diagram_id", F.concat("pos", F.array(F.col("_i").cast("int"))).alias("pos"),
                            "parent_category", "parent_lane", "_js")
-    return out.withColumn("n_children", F.size("children"))
+        depth += 1
 
 
 def elements(shapes: DataFrame) -> DataFrame:
@@ -222,12 +224,24 @@ def to_json(tr: dict[str, DataFrame], diagrams: DataFrame) -> DataFrame:
                                                   .alias("elemRefs"))).alias("lanes")))
     pools = els.where(F.col("list") == "pools").join(
         lanes_.withColumnRenamed("pool_id", "id"), ["diagram_id", "id"], "left")
-    parts = [lst(els, "tasks", ["id", "name", "type"]), lst(els, "events", ["id", "name", "type"]),
-             lst(els, "gateways", ["id", "name", "type"]), lst(pools, "pools", ["id", "name", "lanes"]),
-             lst(flows, "sequenceFlows", ["id", "sourceRef", "targetRef", "condition"]),
-             lst(flows, "messageFlows", ["id", "sourceRef", "targetRef", "condition"])]
+    pools = pools.withColumn("lanes", F.coalesce("lanes", F.array().cast(pools.schema["lanes"].dataType)))
+    # a message flow's text is its label, a sequence flow's its condition
+    flows = flows.withColumn("label", F.col("condition"))
+    parts = {"tasks": lst(els, "tasks", ["id", "name", "type"]), "events": lst(els, "events", ["id", "name", "type"]),
+             "gateways": lst(els, "gateways", ["id", "name", "type"]), "pools": lst(pools, "pools", ["id", "name", "lanes"]),
+             "sequenceFlows": lst(flows, "sequenceFlows", ["id", "sourceRef", "targetRef", "condition"]),
+             "messageFlows": lst(flows, "messageFlows", ["id", "sourceRef", "targetRef", "label"])}
     d = diagrams.select("diagram_id")
-    for p in parts:
+    for p in parts.values():
         d = d.join(p, "diagram_id", "left")
-    return d.select("diagram_id", F.to_json(F.struct(*LIST_ORDER[:4], "sequenceFlows", "messageFlows"))
-                    .alias("json"))
+    six = [F.coalesce(n, F.array().cast(p.schema[n].dataType)).alias(n) for n, p in parts.items()]
+    return d.select("diagram_id", F.to_json(F.struct(*six)).alias("json"))
+
+
+def scorable_flags(diagrams: DataFrame, shapes: DataFrame, tr: dict[str, DataFrame]) -> DataFrame:
+    """(model_id, scorable) of every diagram: one with a structural
+    finding, or a flow whose source no element names, can not be scored."""
+    bad = violations(shapes).select("diagram_id").unionByName(
+        tr["flows"].where(F.col("sourceRef").isNull()).select("diagram_id")).distinct()
+    d = diagrams.select("diagram_id").join(bad.withColumn("_bad", F.lit(True)), "diagram_id", "left")
+    return d.select(F.col("diagram_id").alias("model_id"), F.col("_bad").isNull().alias("scorable"))

@@ -4,6 +4,9 @@ Each distinct prompt is generated once: prompts are de-duplicated, spread
 over ``partitions`` tasks by hash, generated by ``mapInPandas`` (the client
 is built once per task, calls are paced and retried there), and joined back.
 Failures are data: ``reply`` is NULL and ``error`` holds the message.
+``generate_to_table`` makes the replies a durable step: they are appended to a
+table as they come, prompts already in it are not asked again, and later
+actions read the table instead of calling the client.
 The global call rate is ``partitions`` x the per-task rate.
 """
 
@@ -15,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ MIN_INTERVAL_S = 3.0
 RETRY_WAIT_S = 70.0
 RETRIES = 2
 
+CHUNK = 8  # replies that a task hands over at a time
+
 SCHEMA = "prompt string, reply string, error string, attempts int"
 
 
@@ -33,6 +39,7 @@ def _run(make_client: Callable[[], Callable[[str, str], str]], system_prompt: st
         last = 0.0
         for pdf in batches:
             replies, errors, attempts = [], [], []
+            asked = []
             for prompt in pdf["prompt"]:
                 err, rep, k = None, None, 0
                 while k <= retries:
@@ -54,11 +61,69 @@ def _run(make_client: Callable[[], Callable[[str, str], str]], system_prompt: st
                 replies.append(rep if err is None else None)
                 errors.append(err)
                 attempts.append(k)
-            yield pd.DataFrame({"prompt": pdf["prompt"], "reply": replies, "error": errors,
-                                "attempts": attempts})
+                asked.append(prompt)
+                if len(asked) == CHUNK:
+                    yield pd.DataFrame({"prompt": asked, "reply": replies, "error": errors, "attempts": attempts})
+                    replies, errors, attempts, asked = [], [], [], []
+            if asked:
+                yield pd.DataFrame({"prompt": asked, "reply": replies, "error": errors, "attempts": attempts})
     return gen
 
 
+def _ship(make_client: Callable) -> None:
+    """Send the task function (and a client defined in this package) by value."""
+    for name in {__name__, getattr(make_client, "__module__", "")}:
+        if name.startswith("flowmatch") and name in sys.modules:
+            cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
+def generate_to_table(df: DataFrame, prompt_col: str, make_client: Callable[[], Callable[[str, str], str]],
+                      path: str, system_prompt: str = "", partitions: int = 8, min_interval: float = MIN_INTERVAL_S,
+                      retries: int = RETRIES, retry_wait: float = RETRY_WAIT_S) -> DataFrame:
+    """T1-T4 and W10 as a durable step: ask every prompt that the reply table
+    at ``path`` does not answer yet, append the replies, and return ``df`` with
+    ``reply``, ``error`` and ``attempts`` read from the table.
+
+    A prompt whose earlier call failed is asked again; its newest answer
+    counts.  The calls happen once, in this write; actions on the result only
+    read."""
+    _ship(make_client)
+    spark = df.sparkSession
+    prompts = df.select(F.col(prompt_col).alias("prompt")).where(F.col("prompt").isNotNull()).distinct()
+    try:
+        known = spark.read.parquet(path)
+    except AnalysisException:
+        known = None
+    if known is not None:
+        prompts = prompts.join(known.where("error is null").select("prompt").distinct(), "prompt", "left_anti")
+    out = prompts.repartition(partitions, "prompt").mapInPandas(
+        _run(make_client, system_prompt, min_interval, retries, retry_wait), SCHEMA)
+    out.withColumn("asked_at", F.current_timestamp()).write.mode("append").parquet(path)
+    replies = spark.read.schema(SCHEMA + ", asked_at timestamp").parquet(path)
+    best = F.max_by(F.struct("reply", "error", "attempts"), F.struct(F.col("error").isNull(), "asked_at"))
+    replies = replies.groupBy(F.col("prompt").alias(prompt_col)).agg(best.alias("_r")).select(prompt_col, "_r.*")
+    return df.join(replies, prompt_col, "left")
+
+
+def generate_by_provider(df: DataFrame, prompt_col: str, provider_col: str, clients: dict[str, Callable],
+                         **settings) -> DataFrame:
+    """Each row's prompt goes to the client of its provider.  ``clients``
+    maps provider names to ``make_client``; a row with another provider gets
+    no call and the error ``unknown provider``."""
+    parts = []
+    for name, make_client in clients.items():
+        mine = df.where(F.lower(provider_col) == name.lower())
+        parts.append(batch_generate(mine, prompt_col, make_client, **settings))
+    names = [n.lower() for n in clients]
+    rest = df.where(~F.coalesce(F.lower(provider_col).isin(names), F.lit(False)))
+    parts.append(rest.withColumns({"reply": F.lit(None).cast("string"), "error": F.lit("unknown provider"),
+                                   "attempts": F.lit(0)}))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def batch_generate(df: DataFrame, prompt_col: str, make_client: Callable[[], Callable[[str, str], str]],
                    system_prompt: str = "", partitions: int = 8, min_interval: float = MIN_INTERVAL_S,
                    retries: int = RETRIES, retry_wait: float = RETRY_WAIT_S) -> DataFrame:
@@ -69,9 +134,7 @@ def batch_generate(df: DataFrame, prompt_col: str, make_client: Callable[[], Cal
     (and a client defined in this package) is shipped by value, so executors
     need no copy of the package; a caller's own client module must be on the
     executors' path as usual (``--py-files``)."""
-    for name in {__name__, getattr(make_client, "__module__", "")}:
-        if name.startswith("flowmatch") and name in sys.modules:
-            cloudpickle.register_pickle_by_value(sys.modules[name])
+    _ship(make_client)
     prompts = (df.select(F.col(prompt_col).alias("prompt")).where(F.col("prompt").isNotNull())
                .distinct().repartition(partitions, "prompt"))
     out = prompts.mapInPandas(_run(make_client, system_prompt, min_interval, retries, retry_wait), SCHEMA)

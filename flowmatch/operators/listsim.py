@@ -54,43 +54,68 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (F.sqrt(na) * F.sqrt(nb))
 
 
-def greedy_match(edges: DataFrame, group_cols: list[str], threshold: float,
-                 max_rounds: int = 100_000) -> DataFrame:
-    """One-to-one greedy matching of (group..., i1, i2, score) edges.
-
-    Returns the matched edges.  Only edges with ``score >= threshold`` can
-    match, so they are filtered first; the result equals the sequential
-    greedy over the sorted matrix.  Each round reads the remaining edges
-    twice (ranking and removal), so both the taken and the remaining edges
-    are checkpointed every round: the plan stays one round deep instead of
-    growing with every round."""
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    rem = (edges.where(F.col("score") >= threshold)
-           .select(*group_cols, "i1", "i2", "score").checkpoint(eager=True))
+def greedy_counts(edges: DataFrame, group_cols: list[str], threshold: float) -> DataFrame:
+    """L11 on labels with multiplicities: ``edges`` (group..., i1, i2, score,
+    a, b), ``a`` / ``b`` being how many items i1 / i2 stand for (the same on
+    all edges of a label).  Returns the taken edges with ``m`` matches each.
+
+    Equal to the sequential greedy over single items (best score first, ties
+    by i1, i2, each item once, ``score >= threshold``): taking an edge uses
+    min(a, b) items of both ends, which exhausts one of them.  Each round takes
+    every edge that comes first among the remaining edges of both its ends,
+    and writes one checkpoint; the loop ends when no edge is left."""
+    checkpoint_dir(edges.sparkSession)
     order = [F.col("score").desc(), F.col("i1").asc(), F.col("i2").asc()]
-    w1 = Window.partitionBy(*group_cols, "i1").orderBy(*order)
-    w2 = Window.partitionBy(*group_cols, "i2").orderBy(*order)
-    parts = []
-    for _ in range(max_rounds):
-        if rem.isEmpty():
+    by1, by2 = Window.partitionBy(*group_cols, "i1"), Window.partitionBy(*group_cols, "i2")
+    rem = edges.where(F.col("score") >= threshold).select(*group_cols, "i1", "i2", "score", "a", "b")
+    rounds = []
+    while True:
+        first = (F.row_number().over(by1.orderBy(*order)) == 1) & (F.row_number().over(by2.orderBy(*order)) == 1)
+        marked = rem.withColumn("m", F.when(first, F.least("a", "b"))).checkpoint(eager=True)
+        if marked.isEmpty():
             break
-        take = (rem.withColumn("_r1", F.row_number().over(w1))
-                .withColumn("_r2", F.row_number().over(w2))
-                .where((F.col("_r1") == 1) & (F.col("_r2") == 1))
-                .drop("_r1", "_r2").checkpoint(eager=True))
-        parts.append(take)
-        rem = (rem.join(take.select(*group_cols, "i1"), group_cols + ["i1"], "left_anti")
-               .join(take.select(*group_cols, "i2"), group_cols + ["i2"], "left_anti")
-               .checkpoint(eager=True))
-    if not parts:
-        return rem
-    out = parts[0]
-    for t in parts[1:]:
-        out = out.unionByName(t)
+        rounds.append(marked.where(F.col("m").isNotNull()))
+        # an end has one taken edge a round at most, so max() finds what it used
+        rem = (marked.withColumn("a", F.col("a") - F.coalesce(F.max("m").over(by1), F.lit(0)))
+               .withColumn("b", F.col("b") - F.coalesce(F.max("m").over(by2), F.lit(0)))
+               .where("a > 0 and b > 0").drop("m"))
+    out = marked  # no rows
+    for taken in rounds:
+        out = out.unionByName(taken)
     return out
 
 
+def greedy_match(edges: DataFrame, group_cols: list[str], threshold: float) -> DataFrame:
+    """One-to-one greedy matching of (group..., i1, i2, score) edges;
+    returns the matched edges."""
+    one = F.lit(1).cast("long")
+    return (greedy_counts(edges.withColumns({"a": one, "b": one}), group_cols, threshold)
+            .select(*group_cols, "i1", "i2", "score"))
+
+
+def label_similarity(label_pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``label_pairs`` (l1, l2) -> (l1, l2, score), each distinct pair
+    computed once from ``vectors`` (label, vector), one encoding per distinct
+    label.  A label without a vector is similar to none but itself."""
+    v = vectors.dropDuplicates(["label"])
+    return (label_pairs.select("l1", "l2").distinct()
+            .join(v.select(F.col("label").alias("l1"), F.col("vector").alias("_v1")), "l1")
+            .join(v.select(F.col("label").alias("l2"), F.col("vector").alias("_v2")), "l2")
+            .select("l1", "l2", cosine(F.col("_v1"), F.col("_v2")).alias("score")))
+
+
+def similar_counts(left: DataFrame, keys: list[str], vectors: DataFrame, threshold: float) -> DataFrame:
+    """Items matched by similarity alone: ``left`` (keys..., label, a, b) holds
+    what the exact matching of two lists left on either side (one of a, b is
+    0); returns (keys..., i) with the size of the greedy matching."""
+    s1 = left.where("a > 0").select(*keys, F.col("label").alias("l1"), "a")
+    s2 = left.where("b > 0").select(*keys, F.col("label").alias("l2"), "b")
+    cand = s1.join(s2, keys)
+    sims = label_similarity(cand, vectors).where(F.col("score") >= threshold)
+    edges = cand.join(sims, ["l1", "l2"]).withColumnsRenamed({"l1": "i1", "l2": "i2"})
+    return greedy_counts(edges, keys, threshold).groupBy(*keys).agg(F.sum("m").cast("long").alias("i"))
+
+
 def similarity_sfa(pairs: DataFrame, items1: DataFrame, items2: DataFrame, sim: DataFrame | None,
                    threshold: float, method: str = "dice", digits: int | None = 6) -> DataFrame:
     """Semantic and frequency aware list similarity per pair.
@@ -115,11 +140,10 @@ def similarity_sfa(pairs: DataFrame, items1: DataFrame, items2: DataFrame, sim:
     ex = exact.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("i_exact"))
     st = n.join(ex, ["m1", "m2"], "left")
     if sim is not None:
-        left1 = a.join(exact.select("m1", "i1").distinct(), ["m1", "i1"], "left_anti")
-        left2 = b.join(exact.select("m2", "i2").distinct(), ["m2", "i2"], "left_anti")
-        cand = (sim.join(keys, ["m1", "m2"])
-                .join(left1.select("m1", "i1"), ["m1", "i1"], "left_semi")
-                .join(left2.select("m2", "i2"), ["m2", "i2"], "left_semi"))
+        # a model may take part in many pairs: what is left is left of a pair
+        cand = (sim.join(keys, ["m1", "m2"], "left_semi")
+                .join(exact.select("m1", "m2", "i1"), ["m1", "m2", "i1"], "left_anti")
+                .join(exact.select("m1", "m2", "i2"), ["m1", "m2", "i2"], "left_anti"))
         fm = greedy_match(cand, ["m1", "m2"], threshold)
         st = st.join(fm.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("i_fuzzy")), ["m1", "m2"], "left")
     else:

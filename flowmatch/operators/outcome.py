@@ -30,12 +30,15 @@ def success_counts(scores: DataFrame, keys: list[str], exact: str = "is_exact")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def provider_average(counts: DataFrame, provider: str, keys: list[str], digits: int = 6) -> DataFrame:
+def provider_average(counts: DataFrame, provider: str, keys: list[str], digits: int = 6,
+                     providers: list[str] | None = None) -> DataFrame:
     """A5: mean count of each outcome over all providers (a provider without
-    the outcome counts 0)."""
-    k = counts.select(provider).distinct().count()  # one scalar, the divisor
+    the outcome counts 0).  ``providers`` names those that count although they
+    may have no row; by default the ones in ``counts``."""
     s = counts.groupBy(*keys, "outcome").agg(F.sum("n").alias("_s"))
-    return s.select(*keys, "outcome", F.round(F.col("_s") / F.lit(float(k)), digits).alias("avg_n"))
+    k = F.lit(float(len(set(providers)))) if providers is not None else \
+        counts.agg(F.count_distinct(provider).cast("double")).scalar()
+    return s.select(*keys, "outcome", F.round(F.col("_s") / k, digits).alias("avg_n"))
 
 
 def approach_compare(comp: DataFrame, keys: list[str], approach: str, success: Column,

@@ -295,15 +295,21 @@ REQUIRED_KEYS = ["tasks", "events", "gateways", "pools", "sequenceFlows", "messa
 
 def repair_json(df: DataFrame, col: str) -> DataFrame:
     """Cut generated text to its first ``{`` .. last ``}``, parse it,
-    and count the required list keys that are missing (to be added as []).
+    and add the required lists that are missing as ``[]``.
 
-    Adds ``json`` (NULL on error), ``error`` and ``added_keys``."""
+    Adds ``json`` (the completed object, NULL on error), ``error`` and
+    ``added_keys``.  A repeated key is no error (a reader takes the last)."""
     js = F.regexp_extract(F.col(col), "(?s)(\\{.*\\})", 1)
     d = df.withColumn("_js", js)
-    ok = (F.col("_js") != "") & F.try_parse_json(F.col("_js")).isNotNull()
-    keys = F.json_object_keys(F.col("_js"))
-    req = F.array(*[F.lit(k) for k in REQUIRED_KEYS])
-    return (d.withColumn("error", ~ok)
-            .withColumn("json", F.when(ok, F.col("_js")))
-            .withColumn("added_keys", F.when(ok, F.size(F.array_except(req, keys))))
-            .drop("_js"))
+    # one JSON value and nothing after it: the list of it has one item
+    items = F.from_json(F.concat(F.lit("["), F.col("_js"), F.lit("]")), "array<string>", {"allowSingleQuotes": "false"})
+    ok = (F.col("_js") != "") & F.coalesce(F.size(items) == 1, F.lit(False)) & F.json_object_keys("_js").isNotNull()
+    d = d.withColumn("_ok", ok).withColumn("_keys", F.when(F.col("_ok"), F.json_object_keys("_js")))
+    d = d.withColumn("_add", F.array_except(F.array(*[F.lit(k) for k in REQUIRED_KEYS]), F.col("_keys")))
+    added = F.array_join(F.transform("_add", lambda k: F.concat(F.lit('"'), k, F.lit('": []'))), ", ")
+    comma = F.when((F.size("_keys") > 0) & (F.size("_add") > 0), ", ").otherwise("")
+    whole = F.concat(F.regexp_replace("_js", r"\s*\}$", ""), comma, added, F.lit("}"))
+    return (d.withColumn("error", ~F.col("_ok"))
+            .withColumn("json", F.when(F.col("_ok"), whole))
+            .withColumn("added_keys", F.when(F.col("_ok"), F.size("_add")))
+            .drop("_js", "_ok", "_keys", "_add"))

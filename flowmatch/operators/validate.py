@@ -49,7 +49,7 @@ def validate_lines(lns: DataFrame) -> DataFrame:
                      & ~F.col("line").contains("flowchart"))
     parts = F.split(F.col("line"), ARROW, -1)
     v1 = keep.where(F.size(parts) <= 1).select(
-        "model_id", "line_no", F.lit(-1).alias("tok_no"), F.lit("V1").alias("rule"),
+        "model_id", "line_no", F.lit(-1).alias("tok_no"), F.lit(0).alias("seq"), F.lit("V1").alias("rule"),
         F.lit(None).cast("string").alias("node_id"), _fmt(MSG_FEW_NODES, F.col("line_no")).alias("message"))
     t = (keep.where(F.size(parts) > 1)
          .select("model_id", "line_no", F.posexplode(parts).alias("tok_no", "tok")))
@@ -97,23 +97,25 @@ def validate_lines(lns: DataFrame) -> DataFrame:
                   _f("V11", _fmt(MSG_NODETYPE, ty))))
     broken = F.when(F.col("bad_id"), _f("V3", _fmt(MSG_STRUCTURE, F.col("line_no"))))
     found = F.filter(F.array(broken, main), lambda x: x.isNotNull())
-    tok_rows = (n.select("model_id", "line_no", "tok_no", "node_id", F.explode(found).alias("f"))
-                .select("model_id", "line_no", "tok_no", F.col("f")["rule"].alias("rule"),
+    tok_rows = (n.select("model_id", "line_no", "tok_no", "node_id", F.posexplode(found).alias("seq", "f"))
+                .select("model_id", "line_no", "tok_no", "seq", F.col("f")["rule"].alias("rule"),
                         F.when(F.col("f")["rule"] != "V2", F.col("node_id")).alias("node_id"),
                         F.col("f")["message"].alias("message")))
     starts = (n.where(is_event & ty.contains("start")).groupBy("model_id")
               .agg(F.count_distinct("node_id").alias("n_start"), F.max("line_no").alias("line_no")))
     v12 = starts.where(F.col("n_start") > 1).select(
-        "model_id", "line_no", F.lit(1 << 30).alias("tok_no"), F.lit("V12").alias("rule"),
+        "model_id", "line_no", F.lit(1 << 30).alias("tok_no"), F.lit(0).alias("seq"), F.lit("V12").alias("rule"),
         F.lit(None).cast("string").alias("node_id"), F.lit(MSG_MULTI_START).alias("message"))
     return v1.unionByName(tok_rows).unionByName(v12)
 
 
 def validation_status(models: DataFrame, findings: DataFrame) -> DataFrame:
-    """(model_id, status 1/0, n_errors, errors in line / token order)."""
+    """(model_id, status 1/0, n_errors, errors): the errors in order of
+    line, token and rule, the one about the whole model (V12) last."""
     agg = findings.groupBy("model_id").agg(
         F.count(F.lit(1)).alias("n_errors"),
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "tok_no", "message"))),
+        F.transform(F.array_sort(F.collect_list(F.struct((F.col("rule") == "V12").alias("last"), "line_no", "tok_no",
+                                                         "seq", "message"))),
                     lambda x: x["message"]).alias("errors"))
     m = models.select("model_id").join(agg, "model_id", "left")
     return m.select("model_id",
@@ -135,28 +137,38 @@ GATEWAY_TYPES = ["Exclusive", "Parallel", "Eventbased", "Inclusive", "Complex"]
 REQUIRED = {"tasks": ["id", "name", "type"], "events": ["id", "name", "type"],
             "gateways": ["id", "type"], "pools": ["id", "name"]}
 FLOW_REQUIRED = ["id", "sourceRef", "targetRef"]
+TOP_LEVEL = ["tasks", "events", "gateways", "pools", "sequenceFlows", "messageFlows"]
 
 
 def schema_violations(els: DataFrame, flw: DataFrame | None = None) -> DataFrame:
     """(model_id, list, id, field, problem) for missing required fields
-    and type values outside the schema's enumerations."""
+    and type values outside the schema's enumerations, in one pass over the
+    elements.  A ``lanes`` column, where there is one, must be set on pools."""
     enums = {"tasks": TASK_TYPES, "events": EVENT_TYPES, "gateways": GATEWAY_TYPES}
-    parts = []
+
+    def findings(df, checks):
+        found = F.filter(F.array(*[
+            F.when(cond, F.struct(F.lit(field).alias("field"), F.lit(problem).alias("problem")))
+            for cond, field, problem in checks]), lambda x: x.isNotNull())
+        return df.select("model_id", "list", "id", F.inline(found))
+
+    checks = []
     for lst, fields in REQUIRED.items():
-        sub = els.where(F.col("list") == lst)
-        for f in fields:
-            parts.append(sub.where(F.col(f).isNull()).select(
-                "model_id", F.lit(lst).alias("list"), "id", F.lit(f).alias("field"),
-                F.lit("missing").alias("problem")))
+        here = F.col("list") == lst
+        checks += [(here & F.col(f).isNull(), f, "missing") for f in fields]
         if lst in enums:
-            parts.append(sub.where(F.col("type").isNotNull() & ~F.col("type").isin(*enums[lst])).select(
-                "model_id", F.lit(lst).alias("list"), "id", F.lit("type").alias("field"),
-                F.lit("not in enum").alias("problem")))
+            checks.append((here & F.col("type").isNotNull() & ~F.col("type").isin(*enums[lst]), "type", "not in enum"))
+    if "lanes" in els.columns:
+        checks.append(((F.col("list") == "pools") & F.col("lanes").isNull(), "lanes", "missing"))
+    out = findings(els, checks)
     if flw is not None:
-        for f in FLOW_REQUIRED:
-            parts.append(flw.where(F.col(f).isNull()).select(
-                "model_id", "list", "id", F.lit(f).alias("field"), F.lit("missing").alias("problem")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(findings(flw, [(F.col(f).isNull(), f, "missing") for f in FLOW_REQUIRED]))
     return out
+
+
+def missing_lists(models: DataFrame, json_col: str = "json") -> DataFrame:
+    """(model_id, field) for each of the six top-level lists that a
+    model's JSON object lacks; text that is no object lacks all."""
+    keys = F.coalesce(F.json_object_keys(F.col(json_col)), F.array().cast("array<string>"))
+    want = F.array(*[F.lit(k) for k in TOP_LEVEL])
+    return models.select("model_id", F.explode(F.array_except(want, keys)).alias("field"))

@@ -182,6 +182,24 @@ def q_diagram_transform(spark, sf_dir):
                      n("$.messageFlows").alias("n_message_flows"))
 
 
+@register("q_diagram_json", "WITH " + _BASE + """
+SELECT k AS c_custkey,
+  '{"tasks":[{"id":"t' || ks || '","name":"' || c_name || '","type":"' || CASE WHEN k % 3 = 0 THEN 'Task' ELSE c_mktsegment END || '"}],' ||
+  '"events":[{"id":"s' || ks || '","name":"begin here","type":"StartNoneEvent"}],' ||
+  '"gateways":[{"id":"g' || ks || '","type":"' || CASE WHEN k % 2 = 0 THEN 'Exclusive' ELSE 'Parallel' END || '"}],' ||
+  '"pools":[{"id":"p' || ks || '","name":"' || r_name || '","lanes":[{"id":"l' || ks || '","name":"' || n_name ||
+     '","elemRefs":["t' || ks || '","s' || ks || '","g' || ks || '"]}]},{"id":"q' || ks || '","name":"Bank","lanes":[]}],' ||
+  '"sequenceFlows":[{"id":"sf0_' || ks || '","sourceRef":"s' || ks || '","targetRef":"t' || ks || '"},' ||
+     '{"id":"sf' || ks || '","sourceRef":"t' || ks || '","targetRef":"g' || ks || '"' || CASE WHEN c_acctbal > 0 THEN ',"condition":"positive"' ELSE '' END || '},' ||
+     '{"id":"sf2_' || ks || '","sourceRef":"g' || ks || '","targetRef":"p' || ks || '"}],' ||
+  '"messageFlows":[{"id":"mf' || ks || '","sourceRef":"q' || ks || '","targetRef":"t' || ks || '","label":"invoice"}]}' AS json
+FROM b""")
+def q_diagram_json(spark, sf_dir):
+    """The whole six-list JSON text of every diagram."""
+    dg, _, tr = _transformed(spark, sf_dir)
+    return D.to_json(tr, dg).select(F.col("diagram_id").alias("c_custkey"), "json")
+
+
 @register("q_structure_violations", """
 SELECT c_custkey, 't' || CAST(c_custkey AS VARCHAR) AS id, 'leaf with children' AS problem
 FROM customer WHERE c_custkey % 7 = 0
@@ -219,11 +237,13 @@ def q_stencil_lookup(spark, sf_dir):
 
 
 def _diagram_counts(spark, sf_dir):
+    """Label counts of every diagram, and which of them can be scored."""
     from flowmatch.operators import score as S
-    _, _, tr = _transformed(spark, sf_dir)
+    dg, shapes, tr = _transformed(spark, sf_dir)
     ren = lambda df: df.withColumnRenamed("diagram_id", "model_id")
     labels = L.model_labels(ren(tr["elements"]), ren(tr["flows"]), ren(tr["lanes"]), ren(tr["lane_refs"]))
-    return S.label_counts(labels)
+    return S.label_counts(labels), D.scorable_flags(table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("diagram_id")), shapes, tr)
 
 
 _DIAGRAM_LABELS = """
@@ -257,23 +277,28 @@ perlabel AS (SELECT k1, k2, category, label, sum(c1) AS c1, sum(c2) AS c2
 
 
 def _diagram_score_sql():
+    from flowmatch.operators import score as S
     from flowmatch.plans import oracle as O
+    ok = " AND ".join(f"k{i} % {d} <> 0" for i in (1, 2) for d in (7, 11, 13))
+    cols = ", ".join(f"CASE WHEN {ok} THEN {c} {'ELSE 0.0 ' if c == 'overall' else ''}END AS {c}" for c in S.SCORE_COLUMNS)
     return ("WITH " + _BASE + "," + _DIAGRAM_LABELS + ", st AS (" + O.stats_select(["k1", "k2"], "perlabel")
-            + ")\nSELECT k1 AS c_custkey, k2 AS next_custkey, " + O.score_select("dice") + " FROM st")
+            + "), sc AS (SELECT k1, k2, " + O.score_select("dice")
+            + f" FROM st)\nSELECT k1 AS c_custkey, k2 AS next_custkey, {cols}, ({ok}) AND is_exact AS is_exact FROM sc")
 
 
 @register("q_diagram_scores", _diagram_score_sql())
 def q_diagram_scores(spark, sf_dir):
     """B11 + M2-M5 on diagrams: each customer's diagram against the next
     customer's of the same nation, all ten label categories (lanes, lane
-    references and message flows included)."""
+    references and message flows included); a pair with a diagram that has a
+    structural finding scores 0."""
     from flowmatch.operators import score as S
     from flowmatch.operators.sequence import with_successor
-    counts = _diagram_counts(spark, sf_dir)
+    counts, flags = _diagram_counts(spark, sf_dir)
     c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
     succ, _ = with_successor(c, ["c_nationkey"], ["c_custkey"], ["c_custkey"],
                              bucket=F.floor(F.col("c_custkey") / 1024))
     pairs = succ.where(F.col("next_c_custkey").isNotNull()).select(
         F.col("c_custkey"), F.col("next_c_custkey").alias("next_custkey"),
         F.col("c_custkey").alias("m1"), F.col("next_c_custkey").alias("m2"))
-    return S.score_pairs(pairs, counts, pairs_unique=True).drop("m1", "m2")
+    return S.score_pairs(pairs, counts, pairs_unique=True, model_flags=flags).drop("m1", "m2")

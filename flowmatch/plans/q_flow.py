@@ -24,33 +24,25 @@ from flowmatch.plans.registry import register
 from flowmatch.session import bounded_broadcast
 from flowmatch.sources.tables import table
 
-TURNS = list(range(8))
-TURN_COLS = [f"T{t}" for t in TURNS]
 
-
-def _wide_turns(spark, sf_dir, value="text"):
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    c = c.withColumn("pattern", F.concat(F.lit("T"), F.col("turn").cast("string")))
-    return c.groupBy("conv_id").pivot("pattern", TURN_COLS).agg(F.first(value))
+def _turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").withColumn("pattern", F.concat(F.lit("T"), F.col("turn").cast("string")))
 
 
 @register("q_wording_unpivot", """
 SELECT conv_id, 'T' || CAST(turn AS VARCHAR) AS pattern, text FROM conversations
-WHERE role = 'user' AND turn < 8 AND text IS NOT NULL AND trim(text) <> ''""")
+WHERE role = 'user' AND text IS NOT NULL AND trim(text) <> ''""")
 def q_wording_unpivot(spark, sf_dir):
     """Wide sheet of user wordings -> (respondent, pattern, wording)."""
-    wide = _wide_turns(spark, sf_dir)
-    return R.unpivot_wordings(wide, ["conv_id"], TURN_COLS)
+    wide = R.pivot_results(_turns(spark, sf_dir).where(F.col("role") == "user"), "conv_id", "pattern", "text")
+    return R.unpivot_wordings(wide, ["conv_id"], wide.columns[1:])
 
 
-@register("q_result_pivot", "SELECT conv_id, " + ", ".join(
-    f"max(CASE WHEN turn = {t} THEN role END) AS T{t}" for t in TURNS) + """
-FROM conversations GROUP BY conv_id""")
+@register("q_result_pivot", "PIVOT (SELECT conv_id, 'T' || CAST(turn AS VARCHAR) AS pattern, role FROM conversations) "
+          "ON pattern USING max(role) GROUP BY conv_id")
 def q_result_pivot(spark, sf_dir):
-    """Long (conversation, turn, role) -> one column per turn."""
-    c = table(spark, sf_dir, "conversations").withColumn(
-        "pattern", F.concat(F.lit("T"), F.col("turn").cast("string")))
-    return R.pivot_results(c, "conv_id", "pattern", "role", TURN_COLS)
+    """Long (conversation, turn, role) -> one column per turn that occurs."""
+    return R.pivot_results(_turns(spark, sf_dir), "conv_id", "pattern", "role")
 
 
 def _identified(spark, sf_dir):
@@ -115,8 +107,8 @@ def q_input_lookup(spark, sf_dir):
 _DOC_ROWS = """
 dr AS (
   SELECT d.doc_id, d.source AS provider, d.lang AS pattern, l.quality = 1 AS mapping, l.toxic = 0 AS epap,
-         CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.quality = 0 THEN 'NA'
-              WHEN l.toxic = 1 THEN ' False ' ELSE d.text END AS meaning
+         CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.quality = 0 THEN 'NA' || chr(10)
+              WHEN l.toxic = 1 THEN chr(9) || 'False' || chr(10) ELSE d.text END AS meaning
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
@@ -125,7 +117,7 @@ def _doc_rows(spark, sf_dir):
     lab = table(spark, sf_dir, "labels")
     j = d.join(lab, "doc_id", "left")
     meaning = (F.when(F.col("quality").isNull(), F.lit(None).cast("string"))
-               .when(F.col("quality") == 0, "NA").when(F.col("toxic") == 1, " False ")
+               .when(F.col("quality") == 0, "NA\n").when(F.col("toxic") == 1, "\tFalse\n")
                .otherwise(F.col("text")))
     return j.select("doc_id", F.col("source").alias("provider"), F.col("lang").alias("pattern"),
                     (F.col("quality") == 1).alias("mapping"), (F.col("toxic") == 0).alias("epap"),
@@ -134,7 +126,7 @@ def _doc_rows(spark, sf_dir):
 
 @register("q_meaning_gate", "WITH " + _DOC_ROWS + """
 SELECT doc_id, CASE WHEN meaning IS NULL THEN NULL
-                    ELSE trim(meaning) <> 'NA' AND lower(trim(meaning)) <> 'false' END AS meaning_status
+                    ELSE regexp_replace(meaning, '^\\s+|\\s+$', '', 'g') <> 'NA' AND lower(regexp_replace(meaning, '^\\s+|\\s+$', '', 'g')) <> 'false' END AS meaning_status
 FROM dr""")
 def q_meaning_gate(spark, sf_dir):
     """Usable meaning = not NULL, trimmed not NA, not false."""
@@ -143,28 +135,32 @@ def q_meaning_gate(spark, sf_dir):
 
 
 _DOC_SIM = """
-ds AS (SELECT doc_id, max(dice) AS sim FROM ov GROUP BY doc_id),
+ds AS (SELECT doc_id, max(dice) AS sim, bool_or(exact) AS exact FROM ov GROUP BY doc_id),
 comp AS (
   SELECT dr.*, CASE WHEN meaning IS NULL THEN NULL
-                    ELSE trim(meaning) <> 'NA' AND lower(trim(meaning)) <> 'false' END AS meaning_status,
-         CASE WHEN meaning IS NULL THEN NULL ELSE coalesce(ds.sim, 0.0) END AS similarity
+                    ELSE regexp_replace(meaning, '^\\s+|\\s+$', '', 'g') <> 'NA' AND lower(regexp_replace(meaning, '^\\s+|\\s+$', '', 'g')) <> 'false' END AS meaning_status,
+         CASE WHEN meaning IS NULL THEN NULL ELSE coalesce(ds.sim, 0.0) END AS similarity,
+         CASE WHEN meaning IS NULL THEN NULL ELSE coalesce(ds.exact, FALSE) END AS is_exact
   FROM dr LEFT JOIN ds ON ds.doc_id = dr.doc_id)"""
 
 
 def _doc_comp(spark, sf_dir):
     """Compare rows: gate plus the best overlap score of the document."""
     d = _doc_rows(spark, sf_dir)
-    best = doc_overlap(spark, sf_dir).groupBy("doc_id").agg(F.max("dice").alias("_sim"))
+    # whether a score is 1 is decided on its integers, never on a rounded number
+    best = doc_overlap(spark, sf_dir).groupBy("doc_id").agg(
+        F.max("dice").alias("_sim"), F.bool_or(2 * F.col("i") == F.col("n1") + F.col("n2")).alias("_exact"))
     d = d.join(best, "doc_id", "left")
     return d.select("doc_id", "provider", "pattern", "mapping", "epap", "meaning",
                     B.meaning_ok(F.col("meaning")).alias("meaning_status"),
                     F.when(F.col("meaning").isNull(), F.lit(None).cast("double"))
-                    .otherwise(F.coalesce("_sim", F.lit(0.0))).alias("similarity"))
+                    .otherwise(F.coalesce("_sim", F.lit(0.0))).alias("similarity"),
+                    F.when(F.col("meaning").isNotNull(), F.coalesce("_exact", F.lit(False))).alias("is_exact"))
 
 
 def _ov_sql():
     from flowmatch.plans.q_match import _DOC_SQL, _doc_metrics_sql
-    return _DOC_SQL + f",\nov AS (SELECT doc_id, item_id, {_doc_metrics_sql()} FROM st),\n"
+    return _DOC_SQL + f",\nov AS (SELECT doc_id, item_id, 2 * i = n1 + n2 AS exact, {_doc_metrics_sql()} FROM st),\n"
 
 
 @register("q_carry_forward", _ov_sql() + _DOC_ROWS + "," + _DOC_SIM + """
@@ -184,7 +180,7 @@ def q_carry_forward(spark, sf_dir):
 
 def _outcome_col():
     return A.outcome_code(F.col("mapping"), F.col("meaning_status"), F.col("epap"),
-                          F.col("similarity") == 1.0)
+                          F.col("is_exact"))
 
 
 _OUTCOME_SQL = """
@@ -195,7 +191,7 @@ CASE WHEN mapping = FALSE THEN 'False'
        CASE WHEN mapping IS NULL THEN 'None' WHEN mapping THEN 'True' ELSE 'False' END,
        CASE WHEN meaning_status IS NULL THEN 'None' WHEN meaning_status THEN 'True' ELSE 'False' END,
        CASE WHEN epap IS NULL THEN 'None' WHEN epap THEN 'True' ELSE 'False' END,
-       CASE WHEN similarity = 1.0 IS NULL THEN 'None' WHEN similarity = 1.0 THEN 'True' ELSE 'False' END)
+       CASE WHEN is_exact IS NULL THEN 'None' WHEN is_exact THEN 'True' ELSE 'False' END)
 END"""
 
 
@@ -208,12 +204,12 @@ def q_outcome_counts(spark, sf_dir):
 
 
 @register("q_baseline_counts", _ov_sql() + _DOC_ROWS + "," + _DOC_SIM + """
-SELECT provider, pattern, CASE WHEN coalesce(similarity, 0.0) = 1.0 THEN 'True' ELSE 'False' END AS outcome,
+SELECT provider, pattern, CASE WHEN coalesce(is_exact, FALSE) THEN 'True' ELSE 'False' END AS outcome,
        count(*) AS n
 FROM comp GROUP BY ALL""")
 def q_baseline_counts(spark, sf_dir):
     """A3: per provider and pattern, how many scores equal 1."""
-    c = _doc_comp(spark, sf_dir).withColumn("is_exact", F.coalesce(F.col("similarity"), F.lit(0.0)) == 1.0)
+    c = _doc_comp(spark, sf_dir).withColumn("is_exact", F.coalesce("is_exact", F.lit(False)))
     return A.success_counts(c, ["provider", "pattern"])
 
 

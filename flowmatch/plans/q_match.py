@@ -23,9 +23,9 @@ a AS (SELECT * FROM e WHERE vec_id % 2 = 0),
 b AS (SELECT * FROM e WHERE vec_id % 2 = 1),
 s AS (
   SELECT a.label, a.grp, a.vec_id AS i1, b.vec_id AS i2,
-         round(list_reduce(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]), lambda x, y: x + y, 0.0)
-               / (sqrt(list_reduce(list_transform(a.v, lambda x: x * x), lambda x, y: x + y, 0.0))
-                  * sqrt(list_reduce(list_transform(b.v, lambda x: x * x), lambda x, y: x + y, 0.0))), 6) AS score
+         list_reduce(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]), lambda x, y: x + y, 0.0)
+         / (sqrt(list_reduce(list_transform(a.v, lambda x: x * x), lambda x, y: x + y, 0.0))
+            * sqrt(list_reduce(list_transform(b.v, lambda x: x * x), lambda x, y: x + y, 0.0))) AS score
   FROM a JOIN b ON a.label = b.label AND a.grp = b.grp),
 c AS (
   SELECT label, grp,
@@ -49,17 +49,18 @@ def _vec_edges(spark, sf_dir):
     b = e.where(F.col("vec_id") % 2 == 1).select("label", "grp", F.col("vec_id").alias("i2"),
                                                   F.col("embedding").alias("v2"))
     return e, (a.join(b, ["label", "grp"])
-               .select("label", "grp", "i1", "i2", F.round(LS.cosine(F.col("v1"), F.col("v2")), 6).alias("score")))
+               .select("label", "grp", "i1", "i2", LS.cosine(F.col("v1"), F.col("v2")).alias("score")))
 
 
 @register("q_vector_match", "WITH " + _VEC_SCORES + """
-SELECT label, grp, x.i1 AS i1, x.i2 AS i2, x.score AS score
+SELECT label, grp, x.i1 AS i1, x.i2 AS i2, round(x.score, 6) AS score
 FROM (SELECT label, grp, unnest(matched) AS x FROM m)""")
 def q_vector_match(spark, sf_dir):
     """Cosine matrix of each model pair (even vs odd vectors of a
     label group of 16) and its greedy one-to-one matching at 0.2."""
     _, edges = _vec_edges(spark, sf_dir)
-    return LS.greedy_match(edges, ["label", "grp"], VEC_THRESHOLD).select("label", "grp", "i1", "i2", "score")
+    return LS.greedy_match(edges, ["label", "grp"], VEC_THRESHOLD).select(
+        "label", "grp", "i1", "i2", F.round("score", 6).alias("score"))
 
 
 @register("q_vector_sfa", "WITH " + _VEC_SCORES + f""",
@@ -107,10 +108,11 @@ def words(col: F.Column) -> F.Column:
 
 
 def grams(df, key: str, n: int = GRAM):
-    """Word n-grams of every text (one row each), texts shorter than n give none."""
+    """Word n-grams of every text (one row each); a text with fewer words, but
+    not none, gives all of them as one."""
     w = F.col("w")
-    g = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n),
-                                            lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
+    last = F.greatest(F.size(w) - n, F.lit(0))
+    g = F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
     return df.select(key, F.explode(g).alias("gram"))
 
 
@@ -122,9 +124,9 @@ b AS (
   SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '),
                               lambda x: x <> '') AS w FROM benchmark),
 dg AS (SELECT doc_id, array_to_string(w[i:i + {GRAM - 1}], ' ') AS g
-       FROM (SELECT doc_id, w, unnest(range(1, len(w) - {GRAM - 2})) AS i FROM d WHERE len(w) >= {GRAM})),
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {GRAM - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
 bg AS (SELECT item_id, array_to_string(w[i:i + {GRAM - 1}], ' ') AS g
-       FROM (SELECT item_id, w, unnest(range(1, len(w) - {GRAM - 2})) AS i FROM b WHERE len(w) >= {GRAM})),
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {GRAM - 2}, 2))) AS i FROM b WHERE len(w) > 0)),
 cand AS (SELECT DISTINCT dg.doc_id, bg.item_id FROM dg JOIN bg ON dg.g = bg.g),
 dw AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY doc_id, word),
 bw AS (SELECT item_id, word, count(*) AS c FROM (SELECT item_id, unnest(w) AS word FROM b) GROUP BY item_id, word),
@@ -166,5 +168,72 @@ def doc_overlap(spark, sf_dir):
 @register("q_doc_overlap", _DOC_SQL + f"\nSELECT doc_id, item_id, n1, n2, i, {_doc_metrics_sql()} FROM st")
 def q_doc_overlap(spark, sf_dir):
     """L1-L7 on word multisets: each document against the benchmark items it
-    shares a word 5-gram with (blocking join; the item is the truth)."""
+    shares a word 5-gram with, or all its words if they are fewer (the item is
+    the truth).  Pairs that share none are not compared and have no row."""
     return doc_overlap(spark, sf_dir)
+
+
+# --------------------------------------------------------------------------
+# Threshold matching inside model scoring
+# --------------------------------------------------------------------------
+
+# Fixed values of the test set-up: labels, vectors of a model, expected models.
+N_LABELS, SEMANTIC_MODEL, N_EXPECTED = 160, 8, 4
+
+_SEMANTIC_SQL = f"""
+WITH v AS (SELECT 'v' || CAST(vec_id AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id < {N_LABELS}),
+it AS (SELECT vec_id // {SEMANTIC_MODEL} AS m, 'v' || CAST((vec_id // 2 * 6) % {N_LABELS} AS VARCHAR) AS label,
+              'type ' || CAST(label AS VARCHAR) AS kind, vec_id FROM embeddings),
+occ AS (SELECT m, label, row_number() OVER (PARTITION BY m, label ORDER BY vec_id) AS k FROM it),
+pp AS (SELECT m % {N_EXPECTED} AS m1, m AS m2 FROM (SELECT DISTINCT m FROM it) WHERE m >= {N_EXPECTED}),
+ex AS (SELECT pp.m1, pp.m2, a.label, a.k FROM pp JOIN occ a ON a.m = pp.m1 JOIN occ b ON b.m = pp.m2 AND b.label = a.label AND b.k = a.k),
+r1 AS (SELECT pp.m1, pp.m2, a.label, a.k FROM pp JOIN occ a ON a.m = pp.m1
+       WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.m1 = pp.m1 AND ex.m2 = pp.m2 AND ex.label = a.label AND ex.k = a.k)),
+r2 AS (SELECT pp.m1, pp.m2, b.label, b.k FROM pp JOIN occ b ON b.m = pp.m2
+       WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.m1 = pp.m1 AND ex.m2 = pp.m2 AND ex.label = b.label AND ex.k = b.k)),
+sim AS (SELECT a.label AS l1, b.label AS l2,
+               list_reduce(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]), lambda x, y: x + y, 0.0)
+               / (sqrt(list_reduce(list_transform(a.x, lambda x: x * x), lambda x, y: x + y, 0.0))
+                  * sqrt(list_reduce(list_transform(b.x, lambda x: x * x), lambda x, y: x + y, 0.0))) AS score
+        FROM v a, v b),
+c AS (SELECT r1.m1, r1.m2, list({{'i1': r1.label || '#' || CAST(r1.k AS VARCHAR), 'i2': r2.label || '#' || CAST(r2.k AS VARCHAR)}}
+                                ORDER BY score DESC, r1.label, r2.label, r1.k, r2.k) AS cand
+      FROM r1 JOIN r2 ON r1.m1 = r2.m1 AND r1.m2 = r2.m2 JOIN sim ON sim.l1 = r1.label AND sim.l2 = r2.label
+      WHERE score >= {VEC_THRESHOLD} GROUP BY r1.m1, r1.m2),
+fz AS (SELECT m1, m2, len(list_reduce(cand, lambda acc, x:
+           CASE WHEN list_contains(list_transform(acc, lambda y: y.i1), x.i1) OR list_contains(list_transform(acc, lambda y: y.i2), x.i2)
+                THEN acc ELSE list_append(acc, x) END, CAST([] AS STRUCT(i1 VARCHAR, i2 VARCHAR)[]))) AS f FROM c),
+n AS (SELECT m, count(*) AS n FROM it GROUP BY m),
+te AS (SELECT pp.m1, pp.m2, sum(least(a.c, b.c)) AS i
+       FROM pp JOIN (SELECT m, kind, count(*) AS c FROM it GROUP BY m, kind) a ON a.m = pp.m1
+       JOIN (SELECT m, kind, count(*) AS c FROM it GROUP BY m, kind) b ON b.m = pp.m2 AND b.kind = a.kind GROUP BY pp.m1, pp.m2),
+s AS (SELECT pp.m1, pp.m2, n1.n AS n1, n2.n AS n2,
+             coalesce((SELECT count(*) FROM ex WHERE ex.m1 = pp.m1 AND ex.m2 = pp.m2), 0) AS e, coalesce(fz.f, 0) AS f, coalesce(te.i, 0) AS t
+      FROM pp JOIN n n1 ON n1.m = pp.m1 JOIN n n2 ON n2.m = pp.m2
+      LEFT JOIN fz ON fz.m1 = pp.m1 AND fz.m2 = pp.m2 LEFT JOIN te ON te.m1 = pp.m1 AND te.m2 = pp.m2)
+SELECT m1 AS expected, m2 AS model, round(2.0 * (e + f) / (n1 + n2), 6) AS task_names, round(2.0 * t / (n1 + n2), 6) AS task_types,
+       round((2.0 * (e + f) / (n1 + n2) + 2.0 * t / (n1 + n2)) / 2, 6) AS overall, round(2.0 * e / (n1 + n2), 6) AS exact_task_names FROM s"""
+
+
+@register("q_semantic_scores", _SEMANTIC_SQL)
+def q_semantic_scores(spark, sf_dir):
+    """M5 with threshold matching: models of eight labelled vectors against
+    one of four expected models, each shared by many; task names match when
+    equal, else one-to-one by cosine of their label vectors, task types when
+    equal.  ``exact_task_names`` is the score without the vectors."""
+    from flowmatch.operators import score as S
+    e = table(spark, sf_dir, "embeddings")
+    vectors = e.where(F.col("vec_id") < N_LABELS).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("label"),
+                                                         F.col("embedding").alias("vector"))
+    number = (F.floor(F.col("vec_id") / 2) * 6) % N_LABELS
+    model = F.floor(F.col("vec_id") / SEMANTIC_MODEL).cast("long").alias("model_id")
+    items = e.select(model, F.inline(F.array(
+        F.struct(F.lit("task_names").alias("category"), F.concat(F.lit("v"), number.cast("string")).alias("label")),
+        F.struct(F.lit("task_types").alias("category"), F.concat(F.lit("type "), F.col("label").cast("string")).alias("label")))))
+    counts = S.label_counts(items)
+    m = counts.select("model_id").distinct().where(F.col("model_id") >= N_EXPECTED)
+    pairs = m.select((F.col("model_id") % N_EXPECTED).alias("m1"), F.col("model_id").alias("m2"))
+    exact = S.score_pairs(pairs, counts, pairs_unique=True).select("m1", "m2", F.col("task_names").alias("exact_task_names"))
+    out = S.score_pairs(pairs, counts, pairs_unique=True, vectors=vectors, threshold=VEC_THRESHOLD)
+    return out.join(exact, ["m1", "m2"]).select(F.col("m1").alias("expected"), F.col("m2").alias("model"), "task_names", "task_types",
+                                                "overall", "exact_task_names")

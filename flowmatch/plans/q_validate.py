@@ -50,20 +50,28 @@ def q_validate_rules(spark, sf_dir):
                     F.col("line_no").alias("event_id"), "rule", "message")
 
 
-@register("q_validate_status", "WITH " + _EV + """
+_MESSAGE = """CASE event_id % 13
+         WHEN 0 THEN 'There are less nodes than allowed in line #' || CAST(event_id AS VARCHAR)
+         WHEN 1 THEN 'Nodetype activity is not defined'
+         WHEN 2 THEN 'There is a node than violate predefined structure in line #' || CAST(event_id AS VARCHAR)
+       END"""
+
+
+@register("q_validate_status", "WITH " + _EV + f"""
 SELECT user_id, week,
-       CASE WHEN sum(CASE WHEN event_id % 13 IN (0, 1, 2) THEN 1 ELSE 0 END) = 0 THEN 1 ELSE 0 END AS status,
-       CAST(sum(CASE WHEN event_id % 13 IN (0, 1, 2) THEN 1 ELSE 0 END) AS BIGINT) AS n_errors
+       CASE WHEN count({_MESSAGE}) = 0 THEN 1 ELSE 0 END AS status,
+       count({_MESSAGE}) AS n_errors,
+       coalesce(string_agg({_MESSAGE}, '; ' ORDER BY event_id), '') AS errors
 FROM ev GROUP BY user_id, week""")
 def q_validate_status(spark, sf_dir):
-    """Status and error count of every faulty trace text."""
+    """Status, error count and errors in order of every faulty trace text."""
     ev = table(spark, sf_dir, "events")
-    lns = cut_lineage(faulty_trace_lines(ev))
+    lns = cut_lineage(faulty_trace_lines(ev).withColumn("line_no", F.col("line_no")["event_id"]))
     f = V.validate_lines(lns)
     models = T.traces(ev).select(T.model_key().alias("model_id"))
     st = V.validation_status(models, f)
     return st.select(F.col("model_id")["user_id"].alias("user_id"), F.col("model_id")["week"].alias("week"),
-                     "status", "n_errors")
+                     "status", "n_errors", F.concat_ws("; ", "errors").alias("errors"))
 
 
 @register("q_schema_check", """

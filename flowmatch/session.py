@@ -8,18 +8,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows below which a side is broadcast after an explicit count.  The count is
-# the size proof; beyond it the join stays a shuffle join and AQE's skew-join
-# split handles hot keys.
-BROADCAST_MAX_ROWS = 200_000
-
-
 def get_spark(app: str = "flowmatch", master: str | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build or reuse a session with AQE, skew-join splitting and UTC time.
 
-    On a cluster the master, memory and ``spark.checkpoint.dir`` come from
-    the submit configuration; only unset values are filled in here.
+    On a cluster the master, memory, shuffle partitions and
+    ``spark.checkpoint.dir`` come from the submit configuration: a setting
+    that the session already has is never overridden.  ``shuffle_partitions``
+    (or FLOWMATCH_SHUFFLE_PARTITIONS) fills an unset one; local sessions
+    without either get one for each core.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -27,47 +24,67 @@ def get_spark(app: str = "flowmatch", master: str | None = None,
         if master.startswith("local"):
             # local mode: the driver JVM is the only executor
             b = b.config("spark.driver.memory", os.environ.get("FLOWMATCH_DRIVER_MEMORY", "16g"))
-    parts = shuffle_partitions or int(os.environ.get("FLOWMATCH_SHUFFLE_PARTITIONS", "8"))
-    b = (b.config("spark.sql.shuffle.partitions", str(parts))
-          .config("spark.sql.adaptive.enabled", "true")
-          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-          .config("spark.sql.session.timeZone", "UTC")
-          .config("spark.ui.enabled", "false")
+    b = (b.config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+          # checkpoints that no plan refers to any more are deleted
+          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
+    parts = shuffle_partitions or os.environ.get("FLOWMATCH_SHUFFLE_PARTITIONS")
+    if not parts and is_local(spark):
+        parts = spark.sparkContext.defaultParallelism
+    fill = {"spark.sql.adaptive.enabled": "true",
+            "spark.sql.adaptive.coalescePartitions.enabled": "true",
+            "spark.sql.adaptive.skewJoin.enabled": "true",
+            "spark.sql.session.timeZone": "UTC",
+            "spark.sql.execution.arrow.pyspark.enabled": "true"}
+    if parts:
+        fill["spark.sql.shuffle.partitions"] = str(parts)
+    for key, value in fill.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    if is_local(spark) or spark.conf.get("spark.checkpoint.dir", None):
+        checkpoint_dir(spark)
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    m = spark.sparkContext.master
+    return m == "local" or m.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder in that setting and it is used as is.
-    Only when it is unset (local runs, tests) a fresh scratch folder is made.
+    A cluster names a shared folder in that setting and it is used as is; a
+    cluster that names none is an error, as its executors would not see a
+    folder of the driver.  Local sessions get a fresh scratch folder.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir()
     if hasattr(d, "isDefined"):
         d = d.get() if d.isDefined() else None
     if not d:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="flowmatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
     return d
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; otherwise return it.
-
-    Used for sides whose size is not fixed by construction (expected models,
-    benchmark items).  Fixed dimension tables (rulebase, stencil map) are
-    broadcast directly.
+def bounded_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only where Spark's own size estimate of its plan is at
+    most ``max_bytes`` (default: ``spark.sql.autoBroadcastJoinThreshold``);
+    otherwise return it.  No job is run: beyond the estimate the join starts
+    as a shuffle join, and AQE still broadcasts a side that turns out small.
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    if max_bytes is None:
+        limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        max_bytes = int(limit)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

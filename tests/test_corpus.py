@@ -53,7 +53,7 @@ def test_score_goldens(spark, name):
     exp = SM.read_named(spark, os.path.join(CORPUS, "EAO"))
     c = SM.read_candidates(spark, os.path.join(CORPUS, name), name).where(F.col("pattern").isin("AP6", "AP18"))
     sc = B.score_against_expected(c, exp)
-    dense = B.dense_ordinals(sc, ["provider", "pattern"]).groupBy("provider", "pattern").agg(
+    dense = B.dense_ordinals(sc, ["provider", "pattern"], n=64).groupBy("provider", "pattern").agg(
         F.round(F.avg("similarity"), 6).alias("m64"))
     agg = sc.groupBy("provider", "pattern").agg(
         F.count("*").alias("files"), F.sum(F.col("is_exact").cast("int")).alias("exact"),

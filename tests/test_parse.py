@@ -94,3 +94,84 @@ def test_validation_rules(spark):
     assert ("V12", None) in rules
     st = V.validation_status(lns.select("model_id").distinct(), V.validate_lines(lns)).collect()[0]
     assert st.status == 0 and st.n_errors == len(rules)
+
+
+def _findings(spark, *lines):
+    lns = spark.createDataFrame([("m", i, x) for i, x in enumerate(lines)], "model_id string, line_no int, line string")
+    f = V.validate_lines(lns)
+    st = V.validation_status(lns.select("model_id").distinct(), f).first()
+    return [(r.rule, r.node_id) for r in f.orderBy(F.col("rule") == "V12", "line_no", "tok_no", "seq").collect()], st
+
+
+def test_every_validation_rule_has_its_finding(spark):
+    rules, st = _findings(
+        spark, "flowchart LR",
+        "0:startevent:((startevent))-->1:task:(a)",     # fine
+        "alone",                                        # V1
+        "1-->2:task:(b)",                               # V2: no colon
+        "1:task:(a)-->|x|e:task:(c)",                   # V3: an edge label without an id
+        "1:task:(other)-->2:task:(2)",                  # V4: two labels, V5: no letters
+        "3:task:(a(b)-->4:task:(d)",                    # V6: a parenthesis in the first label
+        "5:middleevent:((e))-->6:endevent:(e)",         # V7: neither start nor end, V8: syntax
+        "7:odd gateway:{x}-->8:task:(f)",               # no node: a blank in the type
+        "7:inclusivegateway:{x}-->8:exclusivegateway:x",  # V9: type, V10: syntax
+        "9:subprocess:(g)-->10:startevent:((s))",       # V11, and a second start event
+    )
+    assert rules == [("V1", None), ("V2", None), ("V3", "|x|e"), ("V4", "1"), ("V5", "2"), ("V6", "3"), ("V7", "5"), ("V8", "6"),
+                     ("V9", "7"), ("V10", "8"), ("V11", "9"), ("V12", None)]
+    assert st.status == 0 and st.n_errors == 12 and st.errors[-1] == V.MSG_MULTI_START
+    assert st.errors[0] == "There are less nodes than allowed in line #2"
+
+
+def test_errors_come_in_rule_order_and_the_model_error_last(spark):
+    rules, st = _findings(spark, "0:startevent:((s))-->1:startevent:((s))", "2:task:(a)-->|x|e:odd:(b)", "bare")
+    assert rules == [("V3", "|x|e"), ("V11", "|x|e"), ("V1", None), ("V12", None)]
+    assert st.errors == ["There is a node than violate predefined structure in line #1", "Nodetype odd is not defined",
+                         "There are less nodes than allowed in line #2", V.MSG_MULTI_START]
+
+
+def test_repaired_json(spark):
+    from flowmatch.operators import parse as P
+    six = '"tasks": [], "events": [], "gateways": [], "pools": [], "sequenceFlows": [], "messageFlows": []'
+    cases = {'x {"tasks":[1]} y': '{"tasks":[1], ' + six.replace('"tasks": [], ', "") + "}", "{ }": "{" + six + "}",
+             '{"a":1,"a":2}': '{"a":1,"a":2, ' + six + "}", "{} {}": None, "{'a':1}": None, '{"a":[1,}': None, "none": None}
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = {r.t: (r.json, r.error) for r in P.repair_json(df, "t").collect()}
+    assert got == {c: (want, want is None) for c, want in cases.items()}
+
+
+def test_schema_checks(spark):
+    els = spark.createDataFrame([("m", "pools", "p", "n", None, None), ("m", "pools", "q", None, None, "[]"), ("m", "tasks", "t", "n", "Odd", None),
+                                 ("m", "gateways", "g", None, "Exclusive", None)],
+                                "model_id string, list string, id string, name string, type string, lanes string")
+    flw = spark.createDataFrame([("m", "sequenceFlows", "f", None, "t")], "model_id string, list string, id string, sourceRef string, targetRef string")
+    got = sorted((r.id, r.field, r.problem) for r in V.schema_violations(els, flw).collect())
+    assert got == [("f", "sourceRef", "missing"), ("p", "lanes", "missing"), ("q", "name", "missing"), ("t", "type", "not in enum")]
+    models = spark.createDataFrame([("m", '{"tasks":[],"events":[],"gateways":[],"pools":[]}'), ("n", "oops")], "model_id string, json string")
+    got = sorted((r.model_id, r.field) for r in V.missing_lists(models).collect())
+    assert len(got) == 8 and got[:2] == [("m", "messageFlows"), ("m", "sequenceFlows")]
+
+
+def test_names_by_id(spark):
+    from flowmatch.operators import labels as L
+    els = spark.createDataFrame([("m", "gateways", 0, "g", None), ("m", "tasks", 0, "t", "pay"), ("m", "pools", 0, "t", "pool")],
+                                "model_id string, list string, pos int, id string, name string")
+    flw = spark.createDataFrame([("m", "sequenceFlows", 0, "f")], "model_id string, list string, pos int, id string")
+    ids = spark.createDataFrame([("m", x) for x in ("g", "t", "f", "none")], "model_id string, id string")
+    assert {r.id: r.name for r in L.names_by_id(els, flw, ids).collect()} == {"g": "", "t": "pay", "f": "", "none": ""}
+
+
+def test_deeply_nested_diagram(spark):
+    import json as J
+    from flowmatch.operators import diagram as D
+    shape = {"resourceId": "t", "stencil": {"id": "Task"}, "properties": {"name": "deep"}, "outgoing": [], "childShapes": []}
+    for i in range(20):
+        lane = {"resourceId": f"l{i}", "stencil": {"id": "Lane"}, "properties": {"name": f"lane {i}"}, "outgoing": [], "childShapes": [shape]}
+        shape = {"resourceId": f"p{i}", "stencil": {"id": "Pool"}, "properties": {"name": f"pool {i}"}, "outgoing": [], "childShapes": [lane]}
+    top = {"resourceId": "d", "stencil": {"id": "BPMNDiagram"}, "properties": {}, "childShapes": [shape]}
+    dg = spark.createDataFrame([(1, J.dumps(top))], "diagram_id int, json string")
+    tr = D.transform(D.flatten_shapes(dg))
+    assert [r.name for r in tr["elements"].where("list = 'tasks'").collect()] == ["deep"]
+    out = J.loads(D.to_json(tr, dg).first().json)
+    assert sorted(out) == sorted(["tasks", "events", "gateways", "pools", "sequenceFlows", "messageFlows"])
+    assert len(out["pools"]) == 20 and out["events"] == [] and {p["lanes"][0]["name"] for p in out["pools"]} == {f"lane {i}" for i in range(20)}

@@ -67,3 +67,87 @@ def test_survey_slice_and_summary_sink(spark):
     SM.write_summary(summ, os.path.join(d, "s"))
     back = spark.read.option("header", True).csv(os.path.join(d, "s")).collect()
     assert [tuple(r) for r in back] == [("gpt", "AP6", "True,True,True,True", "3")]
+
+
+def test_csv_round_trip_of_free_text(spark):
+    d = tempfile.mkdtemp(prefix="fm-csv-")
+    rows = [(0, 'a "quoted" word', "two\nlines, one cell"), (1, "x", None), (2, "False", 'end"')]
+    df = spark.createDataFrame(rows, "idx int, user string, meaning string")
+    SM.write_partitioned(df.withColumns({"provider": F.lit("gpt"), "pattern": F.lit("AP6")}), d + "/out", fmt="csv")
+    back = SM.read_result_csv(spark, d + "/out/provider=gpt/pattern=AP6").orderBy("idx").collect()
+    assert [(int(r.idx), r.user, r.meaning) for r in back] == rows
+
+
+def test_csv_pattern_and_index(spark):
+    d = tempfile.mkdtemp(prefix="fm-csv-")
+    for name in ("gpt-AP8.1-evaluation.csv", "gpt-AP9.csv"):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(',meaning\n0,"one\n""two"""\n')
+    rows = SM.read_result_csv(spark, d).orderBy("pattern").collect()
+    assert [(r.idx, r.meaning, r.pattern) for r in rows] == [("0", 'one\n"two"', "AP8.1"), ("0", 'one\n"two"', "AP9")]
+
+
+def test_survey_to_prompt(spark):
+    d = tempfile.mkdtemp(prefix="fm-survey-")
+    cols = [f"c{i}" for i in range(6)] + [p for p, _, _ in R.RULEBASE]
+    with open(os.path.join(d, "survey.csv"), "w") as f:
+        f.write(",".join(cols) + "\n")
+        for r in range(3):
+            f.write(",".join([f"m{r}"] * 6 + [f'"change {r}, please"' if (i + r) % 2 else "" for i in range(18)]) + "\n")
+    wide = SM.read_survey(spark, os.path.join(d, "survey.csv"))
+    assert wide.columns == ["ordinal"] + cols[6:]
+    long = R.unpivot_wordings(wide, ["ordinal"], cols[6:])
+    assert sorted({r.ordinal for r in long.collect()}) == [0, 1, 2] and long.count() == 27
+    models = spark.createDataFrame([("ipm-1", "flowchart LR\nx"), ("ipm-7", "flowchart LR\ny")], "name string, text string")
+    out = R.input_texts(R.input_lookup(long), models)
+    prompts = {(r.ordinal, r.pattern): r.p for r in out.withColumn("p", R.change_prompt(F.col("model_text"), F.col("text"))).collect()}
+    assert prompts[1, "AP1"] == "Consider following process model: flowchart LR\nx\n Apply these changes to the model: change 1, please"
+    seven = [p for (_, pattern), p in prompts.items() if pattern == "AP7"]
+    assert seven and all(p.startswith("Consider following process model: flowchart LR\ny") for p in seven)
+    assert all(p is None for (_, pattern), p in prompts.items() if pattern == "AP15")
+
+
+def test_replies_are_kept_and_not_asked_again(spark):
+    d = tempfile.mkdtemp(prefix="fm-replies-")
+    calls = os.path.join(d, "calls")
+    os.makedirs(calls)
+
+    def client():
+        import uuid
+
+        def call(prompt, system):
+            open(os.path.join(calls, uuid.uuid4().hex), "w").close()
+            if prompt == "bad" and len(os.listdir(calls)) < 12:
+                raise RuntimeError("busy")
+            return prompt + "!"
+        return call
+    df = spark.createDataFrame([(f"p{i % 10}",) for i in range(30)] + [("bad",), (None,)], "p string")
+    kw = {"partitions": 1, "min_interval": 0.0, "retries": 0, "retry_wait": 0.0}
+    out = G.generate_to_table(df, "p", client, d + "/replies", **kw)
+    for _ in range(2):  # actions read the table
+        got = {r.p: r.reply for r in out.collect()}
+    assert len(got) == 12 and got["p3"] == "p3!" and got[None] is None
+    n = len(os.listdir(calls))
+    assert n == 11
+    again = {r.p: r.reply for r in G.generate_to_table(df, "p", client, d + "/replies", **kw).collect()}
+    assert len(os.listdir(calls)) == n + (got["bad"] is None) and again["bad"] == "bad!"
+
+
+def test_pacing_and_chunks(spark):
+    import time
+
+    def client():
+        return lambda prompt, system: prompt
+    df = spark.createDataFrame([(f"p{i}",) for i in range(20)], "p string")
+    t = time.time()
+    out = G.batch_generate(df, "p", client, partitions=1, min_interval=0.05, retry_wait=0.0).collect()
+    assert len(out) == 20 and all(r.reply == r.p for r in out) and time.time() - t >= 0.05 * 19
+
+
+def test_prompts_go_to_their_provider(spark):
+    def make(name):
+        return lambda: lambda prompt, system: f"{name}:{prompt}"
+    df = spark.createDataFrame([("a", "GPT"), ("b", "mistral"), ("c", "other"), ("d", None)], "p string, provider string")
+    out = G.generate_by_provider(df, "p", "provider", {"gpt": make("g"), "mistral": make("m")}, partitions=1, min_interval=0.0)
+    got = {r.p: (r.reply, r.error) for r in out.collect()}
+    assert got == {"a": ("g:a", None), "b": ("m:b", None), "c": (None, "unknown provider"), "d": (None, "unknown provider")}
