@@ -79,32 +79,44 @@ def meaning_ok(meaning: Column) -> Column:
             .otherwise((m != "NA") & (F.lower(m) != "false"))
 
 
+def _before(tails: DataFrame, keys: list[str], cols: list[str], fan: int, levels: int) -> DataFrame:
+    """(keys..., _b, _p_<col>): the last non-NULL of the buckets before _b.
+
+    With ``levels`` the buckets themselves are put in buckets of ``fan``, so
+    that a window never holds more than that many of a group's buckets."""
+    run = Window.unboundedPreceding
+    if levels == 0:
+        w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(run, -1)
+        return tails.select(*keys, "_b", *[F.last(c, ignorenulls=True).over(w).alias(f"_p_{c}") for c in cols])
+    t = tails.withColumn("_u", F.floor(F.col("_b") / fan))
+    w = Window.partitionBy(*keys, "_u").orderBy("_b").rowsBetween(run, -1)
+    t = t.withColumns({f"_in_{c}": F.last(c, ignorenulls=True).over(w) for c in cols})
+    upper = t.groupBy(*keys, "_u").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_b"))).alias(c) for c in cols])
+    upper = _before(upper.withColumnRenamed("_u", "_b"), keys, cols, fan, levels - 1).withColumnRenamed("_b", "_u")
+    t = t.select(*keys, "_b", "_u", *[f"_in_{c}" for c in cols]).join(upper, keys + ["_u"], "left")
+    return t.select(*keys, "_b", *[F.coalesce(f"_in_{c}", f"_p_{c}").alias(f"_p_{c}") for c in cols])
+
+
 def carry_forward(df: DataFrame, keys: list[str], order: str, cols: list[str],
-                  bucket: Column | None = None) -> DataFrame:
+                  bucket: Column | None = None, fan: int = 1024, levels: int = 1) -> DataFrame:
     """Fill NULLs of ``cols`` with the last non-NULL value earlier in the
     group (the reference's stale-variable behaviour, opt-in).
 
-    With ``bucket`` (a monotone function of ``order``) the running window
-    runs per (group, bucket) and only one row per bucket crosses buckets, so
-    a huge group is never sorted in one task."""
+    With ``bucket`` (a number that grows with ``order``) the running window
+    runs per (group, bucket) and only one row per bucket crosses buckets;
+    these are bucketed again by ``fan``, ``levels`` times, so a huge group is
+    never sorted in one task."""
     run = Window.unboundedPreceding
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(run, 0)
-        for c in cols:
-            df = df.withColumn(c, F.last(F.col(c), ignorenulls=True).over(w))
-        return df
+        return df.withColumns({c: F.last(F.col(c), ignorenulls=True).over(w) for c in cols})
     d = df.withColumn("_b", bucket)
     w_in = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(run, 0)
-    for c in cols:
-        d = d.withColumn(c, F.last(F.col(c), ignorenulls=True).over(w_in))
+    d = d.withColumns({c: F.last(F.col(c), ignorenulls=True).over(w_in) for c in cols})
     tails = d.groupBy(*keys, "_b").agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_t_{c}") for c in cols])
-    w_b = Window.partitionBy(*keys).orderBy("_b").rowsBetween(run, -1)
-    for c in cols:
-        tails = tails.withColumn(f"_p_{c}", F.last(F.col(f"_t_{c}"), ignorenulls=True).over(w_b))
-    d = d.join(tails.select(*keys, "_b", *[f"_p_{c}" for c in cols]), keys + ["_b"], "left")
-    for c in cols:
-        d = d.withColumn(c, F.coalesce(F.col(c), F.col(f"_p_{c}")))
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in cols])
+    d = d.join(_before(tails, keys, cols, fan, levels), keys + ["_b"], "left")
+    d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"_p_{c}")) for c in cols})
     return d.select(*df.columns)
 
 

@@ -279,14 +279,14 @@ def compare_tasks(t1: DataFrame, t2: DataFrame, keys: list[str]) -> DataFrame:
     (in list 1 and matched), ``not_ident1`` or ``not_ident2``; duplicates kept.
     """
     nk = F.lower(F.regexp_replace(F.col("task"), " ", ""))
-    a = t1.withColumn("_k", nk)
-    b = t2.withColumn("_k", nk)
-    bk = b.select(*keys, "_k").distinct()
-    ak = a.select(*keys, "_k").distinct()
-    ident = a.join(bk, keys + ["_k"], "left_semi").withColumn("status", F.lit("ident"))
-    only1 = a.join(bk, keys + ["_k"], "left_anti").withColumn("status", F.lit("not_ident1"))
-    only2 = b.join(ak, keys + ["_k"], "left_anti").withColumn("status", F.lit("not_ident2"))
-    return ident.unionByName(only1).unionByName(only2).drop("_k")
+    both = t1.withColumns({"_k": nk, "_side": F.lit(1)}).unionByName(t2.withColumns({"_k": nk, "_side": F.lit(2)}))
+    # one exchange: which sides a match key occurs on
+    w = Window.partitionBy(*keys, "_k")
+    both = both.withColumns({"_lo": F.min("_side").over(w), "_hi": F.max("_side").over(w)})
+    status = (F.when((F.col("_side") == 1) & (F.col("_hi") == 2), "ident").when(F.col("_side") == 1, "not_ident1")
+              .when(F.col("_lo") == 2, "not_ident2"))
+    return (both.withColumn("status", status).where(F.col("status").isNotNull())
+            .drop("_k", "_side", "_lo", "_hi"))
 
 
 # The six lists every process object must carry.

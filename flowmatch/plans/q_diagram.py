@@ -297,7 +297,7 @@ def q_diagram_scores(spark, sf_dir):
     counts, flags = _diagram_counts(spark, sf_dir)
     c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
     succ, _ = with_successor(c, ["c_nationkey"], ["c_custkey"], ["c_custkey"],
-                             bucket=F.floor(F.col("c_custkey") / 1024))
+                             bucket=F.floor(F.col("c_custkey") / 1024), coarser=lambda b: F.floor(b / 1024))
     pairs = succ.where(F.col("next_c_custkey").isNotNull()).select(
         F.col("c_custkey"), F.col("next_c_custkey").alias("next_custkey"),
         F.col("c_custkey").alias("m1"), F.col("next_c_custkey").alias("m2"))

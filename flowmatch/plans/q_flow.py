@@ -21,7 +21,7 @@ from flowmatch.plans import oracle as O
 from flowmatch.plans import traces as T
 from flowmatch.plans.q_match import doc_overlap
 from flowmatch.plans.registry import register
-from flowmatch.session import bounded_broadcast
+from flowmatch.session import bounded_broadcast, cut_lineage
 from flowmatch.sources.tables import table
 
 
@@ -104,6 +104,24 @@ def q_input_lookup(spark, sf_dir):
                     R.change_prompt(F.col("input_name"), F.col("text")).alias("prompt"))
 
 
+@register("q_survey_prompts", "WITH " + _IDENT_SQL + """,
+m AS (SELECT 'ipm-' || CAST(doc_id AS VARCHAR) AS name, text AS model FROM documents),
+i AS (SELECT conv_id, pattern, text, CASE pattern WHEN 'AP7' THEN 'ipm-7' WHEN 'AP15' THEN 'ipm-15' WHEN 'AP16' THEN 'ipm-16'
+                    WHEN 'AP17' THEN 'ipm-17' WHEN 'AP18' THEN 'ipm-17' ELSE 'ipm-1' END AS input_name FROM ident)
+SELECT conv_id AS ordinal, pattern, input_name,
+       'Consider following process model: ' || model || '\n Apply these changes to the model: ' || text AS prompt
+FROM i LEFT JOIN m ON m.name = input_name WHERE text IS NOT NULL AND trim(text) <> ''""")
+def q_survey_prompts(spark, sf_dir):
+    """A wide sheet with row ordinals (a conversation's user
+    turns by pattern) -> wordings -> change prompts that hold the text of the
+    pattern's input model (documents stand for the input models)."""
+    sheet = R.pivot_results(_identified(spark, sf_dir), "conv_id", "pattern", "text").withColumnRenamed("conv_id", "ordinal")
+    long = R.unpivot_wordings(sheet, ["ordinal"], sheet.columns[1:])
+    models = table(spark, sf_dir, "documents").select(F.concat(F.lit("ipm-"), F.col("doc_id").cast("string")).alias("name"), "text")
+    out = R.input_texts(R.input_lookup(long), models)
+    return out.select("ordinal", "pattern", "input_name", R.change_prompt(F.col("model_text"), F.col("text")).alias("prompt"))
+
+
 _DOC_ROWS = """
 dr AS (
   SELECT d.doc_id, d.source AS provider, d.lang AS pattern, l.quality = 1 AS mapping, l.toxic = 0 AS epap,
@@ -172,7 +190,7 @@ WINDOW w AS (PARTITION BY provider, pattern ORDER BY doc_id ROWS BETWEEN UNBOUND
 def q_carry_forward(spark, sf_dir):
     """Rows without a meaning repeat the previous row's status and score
     (opt-in reproduction of the reference's stale values)."""
-    c = _doc_comp(spark, sf_dir)
+    c = cut_lineage(_doc_comp(spark, sf_dir))  # read by the rows and by the bucket tails
     c = B.carry_forward(c, ["provider", "pattern"], "doc_id", ["meaning_status", "similarity"],
                         bucket=F.floor(F.col("doc_id") / 1024))
     return c.select("doc_id", "provider", "pattern", "meaning_status", "similarity")
@@ -347,8 +365,9 @@ def _batch_scores(spark, sf_dir):
     sc = S.score_pairs(pairs, counts, pairs_unique=True).withColumnRenamed("overall", "similarity")
     lo, n = _week_ordinal(ev)
     sc = sc.withColumn("ordinal", (F.datediff("week", F.lit(lo)) / 7).cast("int"))
-    return ev, B.dense_ordinals(sc.select("pattern", "user_id", "ordinal", "similarity", "is_exact"),
-                                ["pattern", "user_id"], n=n)
+    # read twice: for the groups and for their scores
+    sc = cut_lineage(sc.select("pattern", "user_id", "ordinal", "similarity", "is_exact"))
+    return ev, B.dense_ordinals(sc, ["pattern", "user_id"], n=n)
 
 
 @register("q_batch_scores", _EXP_SQL + "SELECT * FROM dense")

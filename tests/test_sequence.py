@@ -40,3 +40,16 @@ def test_bucketed_carry_forward(spark):
     got = carry_forward(df, ["g"], "o", ["s"], bucket=F.floor(F.col("o") / 16))
     plain = carry_forward(df, ["g"], "o", ["s"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_levels_of_buckets_change_nothing(spark):
+    rows = [(g, i, (None if (i * 7 + g) % 11 else float(i))) for g in range(3) for i in range(0, 3000, 3)]
+    df = spark.createDataFrame(rows, "g int, o long, s double")
+    plain = sorted(map(tuple, carry_forward(df, ["g"], "o", ["s"]).collect()))
+    for levels in (0, 1, 3):
+        got = carry_forward(df, ["g"], "o", ["s"], bucket=F.floor(F.col("o") / 4), fan=5, levels=levels)
+        assert sorted(map(tuple, got.collect())) == plain
+    a, ha = with_successor(df, ["g"], ["o"], ["o"], bucket=F.floor(F.col("o") / 4))
+    b, hb = with_successor(df, ["g"], ["o"], ["o"], bucket=F.floor(F.col("o") / 4), coarser=lambda x: F.floor(x / 7))
+    key = lambda d: sorted(map(str, d.collect()))
+    assert key(a) == key(b) and key(ha) == key(hb)
