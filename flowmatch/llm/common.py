@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import zipfile
@@ -50,6 +51,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def constant(values: list, schema: str) -> Column:
+    """A constant of any length as one expression: folded when the plan is made."""
+    return F.from_json(F.lit(json.dumps(values)), schema)
+
+
 def slots(spark: SparkSession) -> int:
     """Shuffle partitions the session asks for (the unit of layout choices)."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -30,7 +30,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowmatch.llm.common import kept, slots, text_or_empty
+from flowmatch.llm.common import constant, kept, slots, text_or_empty
 
 SAMPLES = 64
 BLOCK = 4             # seeds that one row of a term handles: more make code that Java doesn't compile
@@ -64,7 +64,7 @@ def _bucket(cuts: list[int]) -> Column:
         return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
     reached = lambda xs: F.size(F.filter(xs, lambda c: c <= F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))))
-    literal = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    literal = lambda xs: constant(xs, "array<bigint>")
     block = reached(literal(cuts[::step]))
     return F.when(block == 0, 0).otherwise((block - 1) * step + reached(F.slice(literal(cuts), (block - 1) * step + 1, step)))
 
@@ -82,7 +82,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # cuts are exact doc_ids; which ones they are changes the layout only
     buckets = buckets or 4 * slots(docs.sparkSession)
-    found = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] if buckets > 1 else None
+    found = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], min(20 * buckets, 200_000))).first()[0] if buckets > 1 else None
     cuts = sorted(set(found or []))
     rows = rows.select(_bucket(cuts).alias("bucket"), "doc_id", F.coalesce(F.bitwise_not("doc_id"), F.lit(_LAST).cast("long")).alias("turn"),
                        F.xxhash64("text").alias("hash"), "text", F.lit(False).alias("extra"))

@@ -239,16 +239,16 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     empty.  Numbers whose check digits fail are left alone.
     """
     redrawn = surrogates(docs.select("text"), key).where("attempt > 0")
-    rows = docs.withColumn("_entities", _entities(text_or_empty()))
+    rows = docs.withColumn("_pii_entities", _entities(text_or_empty()))
     attempts = F.expr("cast(map() as map<string,int>)")
     if not redrawn.isEmpty():
         # the attempts of each text that has some; its hash stands for the text
-        of = docs.select(F.xxhash64("text").alias("_text"), F.explode(F.filter(_entities(text_or_empty()), lambda e: e["ok"])).alias("e"))
-        of = of.select("_text", "e.type", F.explode(_norms(F.col("e"))).alias("norm")).distinct().join(redrawn, ["type", "norm"])
-        of = of.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "type", "norm"), "attempt"))).alias("_attempts"))
-        rows = rows.withColumn("_text", F.xxhash64("text")).join(of, "_text", "left")
-        attempts = F.coalesce("_attempts", attempts)
-    drawn = F.transform("_entities", lambda e: F.when(e["ok"], _rendered(e, attempts, key)).otherwise(e["value"]))
+        of = docs.select(F.xxhash64("text").alias("_pii_text"), F.explode(F.filter(_entities(text_or_empty()), lambda e: e["ok"])).alias("e"))
+        of = of.select("_pii_text", "e.type", F.explode(_norms(F.col("e"))).alias("norm")).distinct().join(redrawn, ["type", "norm"])
+        of = of.groupBy("_pii_text").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "type", "norm"), "attempt"))).alias("_pii_attempts"))
+        rows = rows.withColumn("_pii_text", F.xxhash64("text")).join(of, "_pii_text", "left")
+        attempts = F.coalesce("_pii_attempts", attempts)
+    drawn = F.transform("_pii_entities", lambda e: F.when(e["ok"], _rendered(e, attempts, key)).otherwise(e["value"]))
     whole = F.zip_with(F.split("text", ANY, -1), drawn, lambda s, e: F.concat(s, F.coalesce(e, F.lit(""))))
-    text = F.when(F.size(F.filter("_entities", lambda e: e["ok"])) > 0, F.array_join(whole, "")).otherwise(F.col("text"))
+    text = F.when(F.size(F.filter("_pii_entities", lambda e: e["ok"])) > 0, F.array_join(whole, "")).otherwise(F.col("text"))
     return rows.withColumn("text", text).select(docs.columns)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowmatch.llm.common import kept, ship_code, slots, text_or_empty
+from flowmatch.llm.common import constant, kept, ship_code, slots, text_or_empty
 
 CELLS = 1 << 16        # numbers that a round brings to the driver, for all open intervals together
 PIECE_TOLERANCE = 0.1  # of a piece's bytes, for splitters inside a shard
@@ -140,7 +140,7 @@ def _piece(cuts: list[tuple[int, int]]) -> Column:
     cuts = [(h - _BIAS, i - _BIAS) for h, i in cuts]
 
     def literal(rows):
-        return F.array(*[F.struct(F.lit(h).cast("long").alias("h"), F.lit(i).cast("long").alias("i")) for h, i in rows])
+        return constant([{"h": h, "i": i} for h, i in rows], "array<struct<h:bigint,i:bigint>>")
 
     def reached(rows):
         return F.size(F.filter(rows, lambda c: (c["h"] < F.col("_hash")) | ((c["h"] == F.col("_hash")) & (c["i"] <= F.col("_id")))))
@@ -157,7 +157,8 @@ def shards(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.002, pieces
     ``tolerance`` of a shard's share of the bytes of its target, or else as
     near as a whole row allows; rows with equal doc_id and text are one key.
     Equal texts share a shard unless a splitter has to cut their group, which
-    it does by doc_id.  A null doc_id sorts first; other columns stay.  With
+    it does by doc_id.  A null doc_id sorts first; other columns stay, but ones
+    named like the three new columns are replaced.  With
     fewer rows than shards some shards have no row; an empty table gives an
     empty result.  ``pieces`` of a shard: from the session's shuffle partitions.
     """
@@ -174,8 +175,11 @@ def shards(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.002, pieces
     # the one exchange; slots follow from the exact row counts of the pieces
     piece = _piece(cuts)
     counts = {r["p"]: r["n"] for r in sizes.groupBy(piece.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before = [sum(counts.get(q, 0) for q in range(p - p % pieces, p)) for p in range(n)]
+    before = [0] * n
+    for p in range(n):
+        if p % pieces:
+            before[p] = before[p - 1] + counts.get(p - 1, 0)
     rows = keyed.withColumn("_piece", piece).withColumn("_rank", F.expr("row_number() over (partition by _piece order by _hash, _id) - 1"))
-    slot = F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("_piece") + 1) + F.col("_rank")
+    slot = F.element_at(constant(before, "array<bigint>"), F.col("_piece") + 1) + F.col("_rank")
     return rows.withColumns({"size": F.col("_size"), "shard": F.floor(F.col("_piece") / pieces).cast("int"), "slot": slot}) \
         .drop("_hash", "_id", "_size", "_piece", "_rank")
