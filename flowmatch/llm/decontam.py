@@ -209,3 +209,24 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = G
     bad = contamination(docs.select("doc_id", "text"), items, window, gram).where("contaminated").select(F.col("content").alias("_content")).distinct()
     content = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(bad, content == bad["_content"], "left_anti")
+
+
+def contamination_sql(window: int = WINDOW) -> str:
+    """The same per document as DuckDB SQL, by plain comparison of all windows:
+    ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    split = (f"regexp_extract_all(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), "
+             r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w")
+    return f"""WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {split} FROM documents),
+bw AS (SELECT item_id, w, least({window}, len(w)) AS n FROM (SELECT item_id, {split} FROM benchmark) WHERE len(w) > 0),
+bg AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+       FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bw)),
+dg AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+       FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM bg) WHERE len(w) >= n)),
+hit AS (SELECT r, i, dg.n, item_id FROM dg JOIN bg ON dg.n = bg.n AND dg.g = bg.g),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM hit)) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)"""

@@ -90,7 +90,7 @@ def op9(spark, sf_dir):
                         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@_query("op10_benchmark_decontamination")
+@_query("op10_benchmark_decontamination", decontam.contamination_sql())
 def op10(spark, sf_dir):
     found = decontam.contamination(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10, gram=5)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -4,7 +4,8 @@ import random
 import pytest
 
 from flowmatch.llm import decontam
-from flowmatch.llm.queries import QUERIES
+from flowmatch.llm.queries import ORACLES, QUERIES
+from oracle_compare import compare, duck
 
 SF = "/root/testdata/sf0.01"
 
@@ -79,3 +80,9 @@ def test_edge_tables(spark):
     none = decontam.contamination(docs, items.limit(0)).collect()
     assert len(none) == 4 and not any(r.contaminated for r in none)
     assert decontam.clean(docs, items.limit(0)).count() == 4
+
+
+def test_whole_table_against_sql(spark):
+    name = "op10_benchmark_decontamination"
+    problems, *_ = compare(spark, duck(SF), QUERIES[name], ORACLES[name], SF)
+    assert not problems
