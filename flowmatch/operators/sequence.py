@@ -5,7 +5,7 @@ A trace (one user's week of events) may hold a large share of all rows, so
 Instead the order key is cut into time buckets:
 
 1. ``lead`` inside (trace, bucket) -- many small window partitions;
-2. the head (first row) of every bucket, a map-side-combined aggregate;
+2. the head (first row) of every bucket, found by the same window;
 3. ``lead`` over the bucket heads of a trace -- at most one row per bucket
    (168 hour buckets in a week with the default unit), never one row per event;
 4. the last row of a bucket takes the head of the next non-empty bucket.
@@ -60,8 +60,8 @@ def with_successor(df: DataFrame, group_cols: list[str], order_cols: list[str],
     fields = order_cols + [c for c in payload_cols if c not in order_cols]
     rec = F.struct(*[F.col(c) for c in fields])
     w_in = Window.partitionBy(*keys).orderBy(*order_cols)
-    d = d.withColumn("_nxt", F.lead(rec).over(w_in))
-    heads = d.groupBy(*keys).agg(F.min(rec).alias("_head"))
+    d = d.withColumns({"_nxt": F.lead(rec).over(w_in), "_first": F.lag(F.lit(1)).over(w_in).isNull()})
+    heads = d.where("_first").select(*keys, rec.alias("_head"))
     heads = _linked_heads(heads, group_cols, coarser)
     d = d.join(heads.select(*keys, "_next_head"), keys, "left")
     nxt = F.coalesce(F.col("_nxt"), F.col("_next_head"))

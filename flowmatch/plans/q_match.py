@@ -103,17 +103,20 @@ def q_label_encode_once(spark, sf_dir):
 
 def words(col: F.Column) -> F.Column:
     """Lower-case words: runs of letters or digits."""
-    return F.filter(F.split(F.regexp_replace(F.lower(col), "[^\\p{L}\\p{N}]+", " "), " "),
-                    lambda x: x != "")
+    spaced = F.trim(F.regexp_replace(F.lower(col), "[^\\p{L}\\p{N}]+", " "))
+    return F.when(spaced != "", F.split(spaced, " ")).otherwise(F.array().cast("array<string>"))
 
 
 def grams(df, key: str, n: int = GRAM):
-    """Word n-grams of every text (one row each); a text with fewer words, but
-    not none, gives all of them as one."""
+    """Word n-grams of every text (one row each), as two 64-bit hashes of the
+    words; a text with fewer words, but not none, gives all of them as one."""
     w = F.col("w")
     last = F.greatest(F.size(w) - n, F.lit(0))
-    g = F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
-    return df.select(key, F.explode(g).alias("gram"))
+
+    def hashes(i):
+        run = [F.get(w, i + k) for k in range(n)]
+        return F.struct(F.xxhash64(*run).alias("g1"), F.xxhash64(F.lit(n), *run[::-1]).alias("g2"))
+    return df.select(key, F.inline(F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last), hashes))))
 
 
 _DOC_SQL = f"""
@@ -153,7 +156,7 @@ def doc_overlap(spark, sf_dir):
     docs = raw.select("doc_id", words(F.col("text")).alias("w"))
     items = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("w"))
     ig = bounded_broadcast(grams(items, "item_id").distinct())
-    cand = grams(docs, "doc_id").join(ig, "gram").select("doc_id", "item_id").distinct()
+    cand = grams(docs, "doc_id").join(ig, ["g1", "g2"]).select("doc_id", "item_id").distinct()
     # words of candidate documents only: the semi join runs on the raw text
     dwc = (raw.join(cand.select("doc_id").distinct(), "doc_id", "left_semi")
            .select(F.col("doc_id").alias("model_id"), F.explode(words(F.col("text"))).alias("label"))
