@@ -45,10 +45,11 @@ def score_batch(batch: DataFrame, key_cols: list[str], assign: DataFrame,
 
 
 def write_models(lines: DataFrame, path: str, key_cols: list[str], partition_by: list[str],
-                 files: int = 8) -> None:
-    """Append model lines (keys..., line_no, value) so that each model lands in one file."""
-    (lines.repartition(files, *key_cols).write.mode("append")
-     .partitionBy(*partition_by).parquet(path))
+                 files: int | None = None) -> None:
+    """Append model lines (keys..., line_no, value) so that each model lands in
+    one file; by default as many writers as the session has shuffle partitions."""
+    dealt = lines.repartition(files, *key_cols) if files else lines.repartition(*key_cols)
+    dealt.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def start(spark: SparkSession, in_dir: str, schema: str, key_cols: list[str], assign: DataFrame,

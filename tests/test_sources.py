@@ -151,3 +151,22 @@ def test_prompts_go_to_their_provider(spark):
     out = G.generate_by_provider(df, "p", "provider", {"gpt": make("g"), "mistral": make("m")}, partitions=1, min_interval=0.0)
     got = {r.p: (r.reply, r.error) for r in out.collect()}
     assert got == {"a": ("g:a", None), "b": ("m:b", None), "c": (None, "unknown provider"), "d": (None, "unknown provider")}
+
+
+def test_small_corpus_end_to_end(spark):
+    """Hand-written files in the corpus layout, from text to dense scores."""
+    from flowmatch.operators import batch as B
+    from test_parse import EXPECTED_AP6, ONLY_SUBPROCESS
+    d = tempfile.mkdtemp(prefix="fm-corpus-")
+    texts = {0: EXPECTED_AP6, 1: ONLY_SUBPROCESS, 2: "flowchart LR\n1:task:(task A)\n",
+             4: "```\n" + EXPECTED_AP6.replace("0:", "10:").replace("8:", "18:") + "```\n"}
+    for name, text in [("EAO/AP6.txt", EXPECTED_AP6), *[(f"AAO/gpt/AP6/{i}.txt", t) for i, t in texts.items()]]:
+        os.makedirs(os.path.dirname(os.path.join(d, name)), exist_ok=True)
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    cands, expected = SM.read_candidates(spark, d + "/AAO", "AAO"), SM.read_named(spark, d + "/EAO")
+    sc = B.score_against_expected(cands, expected)
+    got = {r.ordinal: (round(r.similarity, 6), r.is_exact) for r in sc.collect()}
+    assert got[0] == got[4] == (1.0, True) and got[1][0] == 0.785714 and got[2] == (0.0, False)
+    dense = B.dense_ordinals(sc, ["provider", "pattern"], n=6).agg(F.avg("similarity"), F.count("*")).first()
+    assert round(dense[0], 6) == round((1 + 1 + 0.785714 + 0) / 6, 6) and dense[1] == 6
