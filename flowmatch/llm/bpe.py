@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -25,28 +24,27 @@ from pyspark.sql import functions as F
 from flowmatch.llm.common import ship_code, text_or_empty
 from flowmatch.llm.pretoken import cut, pieces, spread_out
 
-LONG = 256            # bytes of a pre-token that a recursive query still merges
-WORDS = 60_000        # pre-tokens of one recursive query
-CACHED = 250_000      # pre-tokens whose ids a worker remembers
+LONG = 256            # bytes of a pre-token that a recursive query still merges (511 at most)
+WORDS = 30_000        # pre-tokens of one recursive query
+CACHED = 600_000      # pre-tokens whose ids a worker remembers
 TOKENS = 400_000      # tokens of one decoding query
-MEMORY = "300MB"      # DuckDB's share of a worker; beyond it, it spills
+MEMORY = "400MB"      # most that DuckDB may take in a worker; the sizes above need far less
 
+# A pair's rank, place, right end and the place of its right token are packed in
+# one number, 9 bits for each place: the least number of a word is its leftmost
+# pair of least rank, and holds all that the contraction needs.
 _ENCODE = """
-WITH RECURSIVE t(w, pos, len, tok, round) AS (
-    SELECT w, pos, 1, tok, 0 FROM start
+WITH RECURSIVE t(w, pos, stop, tok, round) AS (
+    SELECT w, pos, pos + 1, tok, 0 FROM start
   UNION ALL
     (WITH least AS (
-        SELECT a.w, min((merged::BIGINT << 32) | a.pos) AS k
-        FROM t a JOIN t b ON a.w = b.w AND a.pos + a.len = b.pos
+        SELECT a.w, min((merged::BIGINT << 27) | (a.pos << 18) | (b.pos << 9) | b.stop) AS k
+        FROM t a JOIN t b ON a.w = b.w AND a.stop = b.pos
         JOIN merges ON a.tok = merges.l AND b.tok = merges.r
-        GROUP BY a.w),
-      pair AS (
-        SELECT least.w, a.pos, (k >> 32)::INT AS merged, b.pos AS gone, a.len + b.len AS len
-        FROM least JOIN t a ON a.w = least.w AND a.pos = (k & 4294967295)::INT
-        JOIN t b ON b.w = a.w AND b.pos = a.pos + a.len)
-    SELECT t.w, t.pos, CASE WHEN t.pos = pair.pos THEN pair.len ELSE t.len END,
-           CASE WHEN t.pos = pair.pos THEN pair.merged ELSE t.tok END, round + 1
-    FROM t JOIN pair ON t.w = pair.w WHERE t.pos <> pair.gone)
+        GROUP BY a.w)
+    SELECT t.w, t.pos, CASE WHEN t.pos = (k >> 18) & 511 THEN (k & 511)::INT ELSE t.stop END,
+           CASE WHEN t.pos = (k >> 18) & 511 THEN (k >> 27)::INT ELSE t.tok END, round + 1
+    FROM t JOIN least ON t.w = least.w WHERE t.pos <> (k >> 9) & 511)
 )
 SELECT w, tok FROM t WHERE (w, round) IN (SELECT w, max(round) FROM t GROUP BY w) ORDER BY w, pos
 """
@@ -68,7 +66,7 @@ class Codec:
                   if t[:i] in self.ranks and t[i:] in self.ranks]
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[bytes, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": tempfile.mkdtemp(prefix="bpe-")})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         pair_table = pa.table([pa.array(c, pa.int32()) for c in zip(*merges)], ["l", "r", "merged"])  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM pair_table")
         token_table = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]})  # noqa: F841
