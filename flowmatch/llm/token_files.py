@@ -31,23 +31,27 @@ from flowmatch.llm.common import kept, ship_code, slots, text_or_empty
 from flowmatch.llm.pretoken import cut, pieces, spread_out
 
 SKIPPABLE_DIRECTORY, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-CACHED = 300_000     # pre-tokens whose ids a worker remembers
+CACHED = 600_000     # pre-tokens whose ids a worker remembers
 READ_BYTES = 8 << 20  # ids handed to Spark at a time
 
 
 class Tokens:
     """Ids of texts by a byte-level tokenizer file, one encoding of each
     pre-token.  The tokenizer splits texts by ``public_tokenizers.PATTERN``
-    and encodes each part by itself, so equal parts have equal ids."""
+    and its model merges each part by itself, so equal parts have equal ids.
+    The model is called with parts in the byte-level alphabet."""
 
     _own: dict[str, "Tokens"] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer.from_file(path).model
         self.known: dict[bytes, bytes] = {}  # ids as little-endian 32 bit
+        # the byte-level alphabet: printable bytes are their own character, the others follow 255 in order
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in own]
+        self.alphabet = {b: 256 + k for k, b in enumerate(others)}
 
     @classmethod
     def of(cls, path: str) -> "Tokens":
@@ -60,13 +64,12 @@ class Tokens:
         if len(self.known) + len(new) > CACHED:
             self.known.clear()
             new = parts
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            found = self.tokenizer.encode([p.decode("utf-8") for p in some], is_pretokenized=True, add_special_tokens=False)
-            words, ids = np.array(found.word_ids, np.int64), np.array(found.ids, "<u4").tobytes()
-            ends = (4 * np.searchsorted(words, np.arange(len(some)), "right")).tolist()
-            for p, a, b in zip(some, [0, *ends], ends):
-                self.known[p] = ids[a:b]
+        letters = b"".join(new).decode("latin-1").translate(self.alphabet)
+        at, tokenize = 0, self.model.tokenize
+        for part in new:
+            found = tokenize(letters[at:at + len(part)])
+            self.known[part] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            at += len(part)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out = []
