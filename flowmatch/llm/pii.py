@@ -54,7 +54,10 @@ TYPES = [
     ("phone", r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])"),
     ("name", rf"(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})(?:{_TITLE}\.? (?:{_WORD} )?{_WORD}|{_GIVEN} {_WORD})(?![\p{{L}}\p{{M}}])"),
 ]
-ANY = "|".join(f"(?:{p})" for _, p in TYPES)
+# All types but secrets start where no ASCII letter or digit stands before: one
+# check for all of them passes over most places of a text.
+_STARTS = "|".join(f"(?:{p})" for name, p in TYPES if name != "secret")
+ANY = rf"(?<![0-9A-Za-z])(?=[0-9A-Za-z+(\p{{Lu}}])(?:{_STARTS})|(?=[aApPsStT])(?:{dict(TYPES)['secret']})"
 
 
 def _let(value: Column, body) -> Column:
