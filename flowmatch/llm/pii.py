@@ -10,12 +10,16 @@ punctuation, so coreference holds.
 Distinct entities must have distinct surrogates, and no surrogate may be
 another entity of the corpus.  All distinct entities are therefore gathered
 (their strings only), and those whose surrogate is taken draw again with the
-next attempt number until none is.  Attempts above 0 are rare; only they are
-joined back to the texts, all other surrogates are computed on the row.
+next attempt number until none is.  After every ``GROWS_AFTER`` attempts the
+surrogate is a character longer, so no format runs out of them.  Attempts above
+0 are rare; only they are joined back to the texts, all other surrogates are
+computed on the row.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +45,12 @@ _GIVEN = rf"(?:{'|'.join(n for names in _KNOWN.values() for n in names)})"
 _WORD = r"\p{Lu}[\p{L}\p{M}'’-]{0,40}\p{Ll}"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
+GROWS_AFTER = 8  # attempts that a surrogate keeps its length
 # In order: at one place the first that matches names the type.  Each starts
 # with a check of the character before it, so no text is scanned twice.
 TYPES = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
-    ("secret", rf"{_SECRET}[A-Za-z0-9+/_.~-]{{6,}}"),
+    ("secret", rf"{_SECRET}(?=[+/_.~-]*+[A-Za-z0-9])[A-Za-z0-9+/_.~-]{{6,}}"),  # not the dashes of a form to fill in
     ("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])"),
@@ -144,7 +149,11 @@ def _syllables(word: Column, h: Column, attempt: Column) -> Column:
 def _core(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a normalised entity, in its normal form."""
     hashed = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512)
-    return _let(hashed, lambda h: _drawn(kind, norm, attempt, key, h))
+    more = F.repeat(F.lit("0"), F.floor(attempt / GROWS_AFTER).cast("int"))
+    longer = F.when(kind == "email", F.concat(F.substring_index(norm, "@", 1), more, F.lit("@"), F.substring_index(norm, "@", -1))).when(
+        kind == "name", norm).otherwise(F.concat(norm, more))
+    longer = F.when(attempt < GROWS_AFTER, norm).otherwise(longer)
+    return _let(hashed, lambda h: _let(longer, lambda n: _drawn(kind, n, attempt, key, h)))
 
 
 def _drawn(kind: Column, norm: Column, attempt: Column, key: str, h: Column) -> Column:
@@ -162,7 +171,8 @@ def _drawn(kind: Column, norm: Column, attempt: Column, key: str, h: Column) ->
         i == 0, _letter(49, 5, _byte(h, i))).when(i.isin(3, 5), _letter(49, 9, _byte(h, i))).otherwise(_letter(48, 10, _byte(h, i)))), "")
     iban = F.concat(F.substring(norm, 1, 2), F.lit("00"), _alike(F.substring(norm, F.lit(5), n), h))
     iban = _let(iban, lambda x: F.concat(F.substring(x, 1, 2), F.lpad((F.lit(98) - _mod_97(x)).cast("string"), 2, "0"), F.substring(x, F.lit(5), n)))
-    ip = F.concat_ws(".", *[(_byte(h, i) % 254 + 1).cast("string") for i in range(4)])
+    octets = F.sequence(F.lit(0), F.lit(3) + F.floor(attempt / GROWS_AFTER).cast("int"))
+    ip = F.array_join(F.transform(octets, lambda i: (_byte(h, i) % 254 + 1).cast("string")), ".")
     return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn)
             .when(kind == "iban", iban).when(kind == "ip", ip)
             .when(kind == "aws_key", F.concat(F.substring(norm, 1, 4), _alike(F.substring(norm, F.lit(5), n), h)))
@@ -186,21 +196,24 @@ def _rendered(e: Column, attempts: Column, key: str) -> Column:
             out = out.when(w.isin(names), F.element_at(F.lit(names[shift:] + names[:shift]), at))
         return out.otherwise(core_of(w))
 
-    def other(core):
-        return _laid_out(value, kind, core)
+    def other(norm, core):
+        return _laid_out(value, kind, norm, core)
 
     return F.when(kind == "name", F.array_join(F.transform(F.split(value, " "), word), " ")).otherwise(
-        _let(_norms(e)[0], lambda norm: _let(core_of(norm), other)))
+        _let(_norms(e)[0], lambda norm: _let(core_of(norm), lambda core: other(norm, core))))
 
 
-def _laid_out(value: Column, kind: Column, core: Column) -> Column:
+def _laid_out(value: Column, kind: Column, norm: Column, core: Column) -> Column:
     """A surrogate in normal form with the case and punctuation of the value."""
-    email = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(
-        c.rlike("[A-Z]"), F.upper(F.substring(core, i + 1, F.lit(1)))).otherwise(F.substring(core, i + 1, F.lit(1)))), "")
-    # the k-th digit or letter from the end takes the k-th of the surrogate; a country code before them stays
+    more, at = F.length(core) - F.length(norm), F.instr(value, "@") - 1
+    piece = lambda i: F.substring(core, F.when(i > at, i + more).otherwise(i) + 1, F.when(i == at, more + 1).otherwise(1))
+    email = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(piece(i))).otherwise(piece(i))), "")
+    # the k-th digit or letter from the end takes the k-th of the surrogate, the
+    # first one also what the surrogate is longer; a country code before them stays
     k = lambda i: F.length(F.regexp_replace(F.substring(value, i + 1, F.length(value)), "[^0-9A-Z]", ""))
     laid = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(
-        c.rlike("[0-9A-Z]") & (k(i) <= F.length(core)), F.substring(core, F.length(core) - k(i) + 1, F.lit(1))).otherwise(c)), "")
+        c.rlike("[0-9A-Z]") & (k(i) == F.length(norm)), F.substring(core, F.lit(1), more + 1)).when(
+        c.rlike("[0-9A-Z]") & (k(i) < F.length(norm)), F.substring(core, F.length(core) - k(i) + 1, F.lit(1))).otherwise(c)), "")
     return (F.when(kind == "email", email).when(kind.isin("card", "ssn", "iban", "phone"), laid)
             .when(kind == "secret", F.concat(F.regexp_extract(value, rf"\A{_SECRET}", 0), core)).otherwise(core))
 
@@ -211,17 +224,17 @@ def _entities(text: Column) -> Column:
     return F.transform(typed, lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value"), _valid(e).alias("ok")))
 
 
-def surrogates(docs: DataFrame, key: str, rounds: int = 100) -> DataFrame:
+def surrogates(docs: DataFrame, key: str, rounds: int | None = None) -> DataFrame:
     """Every distinct entity of ``docs(text, ...)`` with its surrogate:
     ``type, norm, attempt, surrogate``, distinct within a type and none of
-    them an entity of the corpus.  If that takes over ``rounds`` rounds a type
-    has run out of surrogates, which is an error.
+    them an entity of the corpus.  Rounds go on until that holds; over
+    ``rounds`` of them, if given, are an error.
     """
     found = docs.select(F.explode(F.filter(_entities(text_or_empty()), lambda e: e["ok"])).alias("e"))
     found = found.select("e.type", F.explode(_norms(F.col("e"))).alias("norm")).distinct()
     draw = _core(F.col("type"), F.col("norm"), F.col("attempt"), key)
     known = kept(found.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw))
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         first = F.expr("row_number() over (partition by type, surrogate order by attempt, norm)")
         taken = known.select(F.col("type").alias("t"), F.col("norm").alias("taken"))
         marked = known.withColumn("turn", first).join(taken, (F.col("type") == F.col("t")) & (F.col("surrogate") == F.col("taken")), "left")

@@ -67,6 +67,36 @@ def test_collisions_draw_again(spark, monkeypatch):
         pii.surrogates(docs, "k", rounds=3)
 
 
+def test_lines_to_fill_in_are_no_secrets(spark):
+    blank = ["Password: ____________", "Token: ........", "Secret = ------", "pwd=______ abc"]
+    assert one(spark, *blank) == blank
+    out = one(spark, "Password: ____ab1____")[0]
+    assert re.fullmatch(r"Password: ____[a-z]{2}\d____", out) and "ab1" not in out
+
+
+def test_small_formats_grow(spark):
+    texts = [f"password=.....{i}" for i in range(10)] + [f"{c}@b.org, {c.upper()}@b.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    out = one(spark, *texts)
+    secrets = [re.fullmatch(r"password=(\.{5}\d+)", t)[1] for t in out[:10]]
+    assert len(set(secrets)) == 10 and not {f"password={s}" for s in secrets} & set(texts) and max(map(len, secrets)) > 6
+    mails = [re.fullmatch(r"([a-z][0-9]*@[a-z]\.org), ([A-Z][0-9]*@[a-z]\.org)", t).groups() for t in out[10:]]
+    assert len({a for a, _ in mails}) == 26 and all(a == b.lower() for a, b in mails)
+
+
+def test_grown_surrogates_keep_their_form(spark):
+    # attempts of 8 and more, laid out in the form of the value
+    from pyspark.sql import functions as F
+    for kind, value, form in [("ssn", "123-45-6789", r"\d{5}-\d{2}-\d{4}"), ("phone", "+1 (988) 555-2485", r"\+1 \(\d{5}\) \d{3}-\d{4}"),
+                              ("card", "4111 1111 1111 1111", r"4\d{5} \d{4} \d{4} \d{4}"), ("email", "Al@b.org", r"[A-Z][a-z]\d\d@[a-z]\.org"),
+                              ("iban", "GB82 WEST 1234 5698 7654 32", r"GB\d\d[A-Z]{2} [A-Z]{2}\d{2} \d{4} \d{4} \d{4} \d\d"),
+                              ("ip", "39.197.112.39", r"\d+(\.\d+){5}"), ("secret", "password=abcd12", r"password=[a-z]{4}\d{4}")]:
+        e = F.struct(F.lit(kind).alias("type"), F.lit(value).alias("value"))
+        norm = spark.range(1).select(pii._norms(e)[0]).first()[0]
+        got = spark.range(1).select(pii._rendered(e, F.create_map(F.lit(f"{kind} {norm}"), F.lit(16)), "k")).first()[0]
+        assert re.fullmatch(form, got), (kind, got)
+        assert kind != "card" or luhn(got.replace(" ", ""))
+
+
 def test_whole_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     out = {r.doc_id: r.text for r in QUERIES["op8_pii_surrogates"](spark, SF).collect()}
