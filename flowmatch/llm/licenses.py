@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from flowmatch.llm.common import text_or_empty
 
-# Sentences of public licence texts, normalised, as patterns
-# that must match the whole sentence.  In order; the first match names it.
+# Sentences of public licence texts as ``CUT`` yields them,
+# normalised, as patterns that must match the whole sentence.  In order; the
+# first match names it.
+_WORK = "(this (program|library|file|software|package|work)|[a-z0-9.]+)"
+_REDISTRIBUTE = "you can redistribute it and or modify it under the terms of the gnu"
 SENTENCES = [
     ("spdx-apache-2.0", r"spdx license identifier apache 2.0"),
     ("spdx-mit", r"spdx license identifier mit"),
@@ -39,7 +42,13 @@ SENTENCES = [
     ("gpl-2.0-ref", r"(.* )?licensed under the gnu general public license,? version 2( or later)?"),
     ("gpl-3.0-free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license.*version 3.*"),
     ("gpl-2.0-free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license.*version 2.*"),
-    ("gpl-no-warranty", r"this program is distributed in the hope that it will be useful but without any warranty.*"),
+    ("free-software", rf"{_WORK} is free software"),
+    ("redistribute-gpl-3.0", rf"{_REDISTRIBUTE} general public license.*version 3.*"),
+    ("redistribute-gpl-2.0", rf"{_REDISTRIBUTE} general public license.*version 2.*"),
+    ("redistribute-gpl", rf"{_REDISTRIBUTE} general public license.*"),
+    ("version-2", r"(either )?version 2([.]0)? of the license.*"),
+    ("version-3", r"(either )?version 3([.]0)? of the license.*"),
+    ("gpl-no-warranty", rf"{_WORK} is distributed in the hope that it will be useful but without any warranty.*"),
     ("gpl-more", r"see the gnu general public license for more details"),
     ("gpl-copy", r"you should have received a copy of the gnu general public license.*"),
     ("lgpl-ref", r"(.* )?licensed under the gnu lesser general public license.*"),
@@ -48,6 +57,9 @@ SENTENCES = [
     ("bsd-binary", r"(2 )?redistributions in binary form must reproduce the above copyright notice.*"),
     ("bsd-endorse", r"(3 )?neither the name of .* nor the names of its contributors may be used to endorse or promote products.*"),
     ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license.*2.0.*"),
+    ("mpl-head", r"this source code form is subject to the terms of the mozilla public license v"),
+    ("version-2.0", r"2[.]0"),
+    ("mpl-copy", r"if a copy of the mpl was not distributed with this file,? you can obtain one at.*"),
     ("cc-by-nc-4.0-ref", r"(.* )?licensed under (a )?(cc by nc|creative commons attribution noncommercial) 4.0.*"),
     ("cc-by-sa-4.0-ref", r"(.* )?licensed under (a )?(cc by sa|creative commons attribution sharealike) 4.0.*"),
     ("cc-by-4.0-ref", r"(.* )?licensed under (a )?(cc by|creative commons attribution) 4.0.*"),
@@ -57,6 +69,12 @@ SENTENCES = [
     ("copyright", r"copyright (c )?[0-9].*"),
     ("other-licence", r".*\b(licensed under|license agreement|terms of the license)\b.*"),
 ]
+_GPL_TAIL = ["gpl-no-warranty", "gpl-more", "gpl-copy"]
+# The GNU notices: the heads that CUT makes of their wordings, each with and without the rest.
+_GNU = [(licence, free + head + tail) for licence, heads in [
+    ("GPL-3.0", [["redistribute-gpl-3.0"], ["redistribute-gpl", "version-3"]]),
+    ("GPL-2.0", [["redistribute-gpl-2.0"], ["redistribute-gpl", "version-2"]]),
+] for head in heads for free in (["free-software"], []) for tail in (_GPL_TAIL, [])]
 # Rules in order, whole licences before what refers to them.
 RULES = [
     ("BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse", "as-is", "no-liability"]),
@@ -67,6 +85,7 @@ RULES = [
     ("MIT", ["mit-grant", "mit-notice"]),
     ("Apache-2.0", ["apache-2.0-ref", "apache-2.0-comply", "apache-2.0-copy", "apache-2.0-asis", "apache-2.0-see"]),
     ("Apache-2.0", ["apache-2.0-ref"]),
+    *_GNU,
     ("GPL-3.0", ["gpl-3.0-free", "gpl-no-warranty", "gpl-more", "gpl-copy"]),
     ("GPL-3.0", ["gpl-3.0-free"]),
     ("GPL-2.0", ["gpl-2.0-free", "gpl-no-warranty", "gpl-more", "gpl-copy"]),
@@ -74,6 +93,9 @@ RULES = [
     ("GPL-3.0", ["gpl-3.0-ref"]),
     ("GPL-2.0", ["gpl-2.0-ref"]),
     ("LGPL", ["lgpl-ref"]),
+    ("MPL-2.0", ["mpl-head", "version-2.0", "mpl-copy"]),
+    ("MPL-2.0", ["mpl-head", "version-2.0"]),
+    ("MPL-2.0", ["mpl-2.0", "mpl-copy"]),
     ("MPL-2.0", ["mpl-2.0"]),
     ("MIT", ["mit-ref"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4.0-ref"]),
@@ -90,7 +112,8 @@ RULES = [
     ("all-rights-reserved", ["rights"]),
 ]
 # Every pattern above holds one of these words, so other sentences are passed over.
-KEYWORDS = ("licen|copyright|permission|redistribut|provided|warrant|liable|rights|public domain|cc0|unencumbered|endorse|may not use|may obtain|unless required")
+KEYWORDS = ("licen|copyright|permission|redistribut|provided|warrant|liable|rights|public domain|cc0|unencumbered|endorse|may not use|may obtain|unless required|"
+            "is free software|distributed in the hope|of the mpl|^2[.]0$")
 SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
 CUT = r"[.!?:;][ \t\r\n]+|\n[ \t\r]*\n"
 COMMENT = r"(^|\n)[ \t]*(//+|#+|\*+|/\*+|;+|--+)[ \t]*"
