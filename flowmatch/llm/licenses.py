@@ -15,19 +15,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmatch.llm.common import text_or_empty
+from flowmatch.llm.common import constant, text_or_empty
 
 # Sentences of public licence texts as ``CUT`` yields them,
 # normalised, as patterns that must match the whole sentence.  In order; the
 # first match names it.
 _WORK = "(this (program|library|file|software|package|work)|[a-z0-9.]+)"
 _REDISTRIBUTE = "you can redistribute it and or modify it under the terms of the gnu"
+# Licences by the SPDX ids that name them, normalised; others are "spdx-other".
+_SPDX = {
+    "AGPL-3.0": r"agpl 3[.]0( only| or later)?", "LGPL-2.0": r"lgpl 2[.]0( only| or later)?", "LGPL-2.1": r"lgpl 2[.]1( only| or later)?",
+    "LGPL-3.0": r"lgpl 3[.]0( only| or later)?", "GPL-1.0": r"gpl 1[.]0( only| or later)?", "MPL-1.1": r"mpl 1[.]1", "MPL-2.0": r"mpl 2[.]0( no copyleft exception)?",
+    "EPL-1.0": r"epl 1[.]0", "EPL-2.0": r"epl 2[.]0", "BSD-2-Clause": "bsd 2 clause", "ISC": "isc", "0BSD": "0bsd", "Zlib": "zlib", "BSL-1.0": r"bsl 1[.]0",
+    "CC0-1.0": r"cc0 1[.]0", "CC-BY-4.0": r"cc by 4[.]0", "CC-BY-SA-4.0": r"cc by sa 4[.]0", "CC-BY-NC-4.0": r"cc by nc 4[.]0", "Unlicense": "unlicense",
+}
 SENTENCES = [
     ("spdx-apache-2.0", r"spdx license identifier apache 2.0"),
     ("spdx-mit", r"spdx license identifier mit"),
     ("spdx-gpl-3.0", r"spdx license identifier gpl 3.0( only| or later)?"),
     ("spdx-gpl-2.0", r"spdx license identifier gpl 2.0( only| or later)?"),
     ("spdx-bsd-3", r"spdx license identifier bsd 3 clause"),
+    *[(f"spdx-{licence.lower()}", f"spdx license identifier {id}") for licence, id in _SPDX.items()],
+    ("spdx-other", r"spdx license identifier .*"),
     ("apache-2.0-ref", r"(.* )?licensed under the apache license,? version 2.0( the license)?"),
     ("apache-2.0-comply", r"you may not use this file except in compliance with the license"),
     ("apache-2.0-copy", r"you may obtain a copy of the license at.*"),
@@ -45,13 +54,20 @@ SENTENCES = [
     ("free-software", rf"{_WORK} is free software"),
     ("redistribute-gpl-3.0", rf"{_REDISTRIBUTE} general public license.*version 3.*"),
     ("redistribute-gpl-2.0", rf"{_REDISTRIBUTE} general public license.*version 2.*"),
+    ("redistribute-lgpl-3.0", rf"{_REDISTRIBUTE} lesser general public license.*version 3.*"),
+    ("redistribute-lgpl-2.1", rf"{_REDISTRIBUTE} lesser general public license.*version 2[.]1.*"),
+    ("redistribute-lgpl", rf"{_REDISTRIBUTE} (lesser|library) general public license.*"),
+    ("redistribute-agpl-3.0", rf"{_REDISTRIBUTE} affero general public license.*version 3.*"),
+    ("redistribute-agpl", rf"{_REDISTRIBUTE} affero general public license.*"),
     ("redistribute-gpl", rf"{_REDISTRIBUTE} general public license.*"),
     ("version-2", r"(either )?version 2([.]0)? of the license.*"),
+    ("version-2.1", r"(either )?version 2[.]1 of the license.*"),
     ("version-3", r"(either )?version 3([.]0)? of the license.*"),
     ("gpl-no-warranty", rf"{_WORK} is distributed in the hope that it will be useful but without any warranty.*"),
-    ("gpl-more", r"see the gnu general public license for more details"),
-    ("gpl-copy", r"you should have received a copy of the gnu general public license.*"),
+    ("gpl-more", r"see the gnu (lesser |library |affero )?general public license for more details"),
+    ("gpl-copy", r"you should have received a copy of the gnu (lesser |library |affero )?general public license.*"),
     ("lgpl-ref", r"(.* )?licensed under the gnu lesser general public license.*"),
+    ("agpl-ref", r"(.* )?licensed under the gnu affero general public license.*"),
     ("bsd-redistribute", r"redistribution and use in source and binary forms with or without modification are permitted.*"),
     ("bsd-source", r"(1 )?redistributions of source code must retain the above copyright notice.*"),
     ("bsd-binary", r"(2 )?redistributions in binary form must reproduce the above copyright notice.*"),
@@ -67,13 +83,17 @@ SENTENCES = [
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("rights", r"(.* )?all rights reserved"),
     ("copyright", r"copyright (c )?[0-9].*"),
-    ("other-licence", r".*\b(licensed under|license agreement|terms of the license)\b.*"),
+    ("other-licence", r".*\b(licensed under|license agreement|terms of the license|public license)\b.*"),
 ]
 _GPL_TAIL = ["gpl-no-warranty", "gpl-more", "gpl-copy"]
 # The GNU notices: the heads that CUT makes of their wordings, each with and without the rest.
 _GNU = [(licence, free + head + tail) for licence, heads in [
     ("GPL-3.0", [["redistribute-gpl-3.0"], ["redistribute-gpl", "version-3"]]),
     ("GPL-2.0", [["redistribute-gpl-2.0"], ["redistribute-gpl", "version-2"]]),
+    ("LGPL-3.0", [["redistribute-lgpl-3.0"], ["redistribute-lgpl", "version-3"]]),
+    ("LGPL-2.1", [["redistribute-lgpl-2.1"], ["redistribute-lgpl", "version-2.1"]]),
+    ("LGPL-2.0", [["redistribute-lgpl", "version-2"]]),
+    ("AGPL-3.0", [["redistribute-agpl-3.0"], ["redistribute-agpl", "version-3"]]),
 ] for head in heads for free in (["free-software"], []) for tail in (_GPL_TAIL, [])]
 # Rules in order, whole licences before what refers to them.
 RULES = [
@@ -93,6 +113,7 @@ RULES = [
     ("GPL-3.0", ["gpl-3.0-ref"]),
     ("GPL-2.0", ["gpl-2.0-ref"]),
     ("LGPL", ["lgpl-ref"]),
+    ("AGPL", ["agpl-ref"]),
     ("MPL-2.0", ["mpl-head", "version-2.0", "mpl-copy"]),
     ("MPL-2.0", ["mpl-head", "version-2.0"]),
     ("MPL-2.0", ["mpl-2.0", "mpl-copy"]),
@@ -108,12 +129,17 @@ RULES = [
     ("GPL-3.0", ["spdx-gpl-3.0"]),
     ("GPL-2.0", ["spdx-gpl-2.0"]),
     ("BSD-3-Clause", ["spdx-bsd-3"]),
+    *[(licence, [f"spdx-{licence.lower()}"]) for licence in _SPDX],
     ("all-rights-reserved", ["copyright", "rights"]),
     ("all-rights-reserved", ["rights"]),
 ]
 # Every pattern above holds one of these words, so other sentences are passed over.
 KEYWORDS = ("licen|copyright|permission|redistribut|provided|warrant|liable|rights|public domain|cc0|unencumbered|endorse|may not use|may obtain|unless required|"
             "is free software|distributed in the hope|of the mpl|^2[.]0$")
+# Each id of an SPDX expression, the first after the tag and the others after an
+# operator; the oracle's SQL has only the first.
+SPDX_EACH = (r"SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+:-]+)"
+             r"|\G(?!\A)(?:[ \t]+|[ \t]*\)[ \t)]*)(?:OR|AND|WITH|or|and|with)(?:[ \t]*\([ \t(]*|[ \t]+)([A-Za-z0-9.+:-]+)")
 SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
 CUT = r"[.!?:;][ \t\r\n]+|\n[ \t\r]*\n"
 COMMENT = r"(^|\n)[ \t]*(//+|#+|\*+|/\*+|;+|--+)[ \t]*"
@@ -135,27 +161,29 @@ def scan(docs: DataFrame) -> DataFrame:
     ``unmatched`` the known sentences that no rule took.  A null or empty text
     has none of them.  Repeated rows stay repeated, null ids stay null.
     """
-    text = F.regexp_replace(F.regexp_replace(text_or_empty(), COMMENT, "$1"), SPDX, ". SPDX License Identifier $1 . ")
+    text = F.regexp_replace(F.regexp_replace(text_or_empty(), COMMENT, "$1"), SPDX_EACH, ". SPDX License Identifier $1$2 . ")
     sentence = F.transform(F.split(text, CUT), lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9.,]+", " "), r"[.,]+( |$)", " ")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(sentence, lambda s: s != "").alias("sentences"))
     rows = rows.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"),
                        F.filter(F.transform("sentences", _spark_id), lambda s: s.isNotNull()).alias("sentence_ids"))
     # "<a><b>": a rule's sequence is found as a piece of it, and blanked out
     rows = rows.withColumn("_left", F.concat(F.lit(""), F.concat_ws("", F.transform("sentence_ids", lambda s: F.concat(F.lit("<"), s, F.lit(">"))))))
-    found = []
-    for k, (licence, sequence) in enumerate(RULES):
-        piece = "".join(f"<{s}>" for s in sequence)
-        found.append(F.when(F.contains(f"_left{k - 1}" if k else "_left", F.lit(piece)), F.lit(licence)).alias(f"_found{k}"))
-        rows = rows.withColumns({f"_found{k}": found[-1], f"_left{k}": F.replace(F.col(f"_left{k - 1}" if k else "_left"), F.lit(piece), F.lit("|"))})
-    last = f"_left{len(RULES) - 1}"
+    rules = constant([["".join(f"<{s}>" for s in sequence), licence] for licence, sequence in RULES], "array<array<string>>")
+
+    def apply(done, rule):
+        left, found = F.replace(done["left"], rule[0], F.lit("|")), F.array_append(done["found"], rule[1])
+        return F.when(F.contains(done["left"], rule[0]), F.struct(left.alias("left"), found.alias("found"))).otherwise(done)
+
+    start = F.struct(F.col("_left").alias("left"), F.array().cast("array<string>").alias("found"))
+    rows = rows.withColumn("_done", F.when(F.col("_left") == "", start).otherwise(F.aggregate(rules, start, apply)))
     return rows.select(
-        "doc_id", "n_sentences", "sentence_ids",
-        F.array_sort(F.array_distinct(F.array_compact(F.array(*[f"_found{k}" for k in range(len(RULES))])))).alias("licences"),
-        F.regexp_extract_all(last, F.lit("<([^>]*)>"), F.lit(1)).alias("unmatched"))
+        "doc_id", "n_sentences", "sentence_ids", F.array_sort(F.array_distinct("_done.found")).alias("licences"),
+        F.regexp_extract_all("_done.left", F.lit("<([^>]*)>"), F.lit(1)).alias("unmatched"))
 
 
 def scan_sql(table: str = "documents") -> str:
-    """The same as DuckDB SQL, lists joined by commas."""
+    """The same as DuckDB SQL, lists joined by commas; of an SPDX expression
+    it reads only the first id, and none behind a parenthesis."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     cases = " ".join(f"WHEN regexp_matches(s, {q(f'^({p})$')}) THEN {q(n)}" for n, p in SENTENCES)
     left, steps, found = "ids", [], []

@@ -79,6 +79,32 @@ def test_official_notices(spark):
     assert licenses.scan(spark.createDataFrame([(1, f"/*\n{header} */")], "doc_id long, text string")).first().licences == ["GPL-2.0"]
 
 
+SPDX = [
+    ("Apache-2.0 OR MIT", ["Apache-2.0", "MIT"], []), ("(MIT OR Apache-2.0) AND (BSD-3-Clause)", ["Apache-2.0", "BSD-3-Clause", "MIT"], []),
+    ("GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0"], ["spdx-other"]), ("MPL-2.0", ["MPL-2.0"], []), ("ISC", ["ISC"], []),
+    ("BSD-2-Clause", ["BSD-2-Clause"], []), ("LGPL-2.1-or-later", ["LGPL-2.1"], []), ("AGPL-3.0-only", ["AGPL-3.0"], []), ("EPL-2.0", ["EPL-2.0"], []),
+    ("LicenseRef-Own", [], ["spdx-other"]), ("MIT\nOR ELSE", ["MIT"], []),
+]
+GNU = """{0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} General Public License as published by
+the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version.
+
+{0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY. See the
+GNU {2} General Public License for more details.
+
+You should have received a copy of the GNU {2} General Public License along with it. If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_spdx_and_other_gnu_notices(spark):
+    cases = [(f"/* x OR y */\n// SPDX-License-Identifier: {e}\nint x;", want, left) for e, want, left in SPDX] + [
+        (GNU.format("This library", ";", "Lesser", ";", "2.1"), ["LGPL-2.1"], []), (GNU.format("Foo", ":", "Lesser", ",", "3"), ["LGPL-3.0"], []),
+        (GNU.format("This program", ":", "Affero", ",", "3"), ["AGPL-3.0"], []),
+        ("Licensed under the GNU Affero General Public License v3.", ["AGPL"], []), ("OR MIT", [], []),
+        ("The files are under the Own Public License.", [], ["other-licence"])]
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (list(r.licences), list(r.unmatched)) for r in licenses.scan(docs).collect()}
+    assert [got[k] for k in range(len(cases))] == [(want, left) for _, want, left in cases]
+
+
 def test_cases_and_edges(spark):
     docs = spark.createDataFrame([(d, t, "s") for d, t, _ in CASES], "doc_id long, text string, licences string")
     got = sorted((r.doc_id or 0, list(r.licences)) for r in licenses.scan(docs).collect())
