@@ -5,7 +5,8 @@ type, drawn from a hash of a secret key, the entity and an attempt number: the
 same length and punctuation, letters for letters and digits for digits, a valid
 check digit where the type has one, names of the same gender and script.  The
 same entity has the same surrogate wherever it stands, whatever its case or
-punctuation, so coreference holds.
+punctuation, so coreference holds.  A name is an entity only behind a title
+or a known given name: a surname that stands alone stays.
 
 Distinct entities must have distinct surrogates, and no surrogate may be
 another entity of the corpus.  All distinct entities are therefore gathered
@@ -43,8 +44,16 @@ _KNOWN = {"male": MALE, "female": FEMALE, "male cyrillic": MALE_CYRILLIC, "femal
 _TITLE = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})"
 _GIVEN = rf"(?:{'|'.join(n for names in _KNOWN.values() for n in names)})"
 _WORD = r"\p{Lu}[\p{L}\p{M}'’-]{0,40}\p{Ll}"
+_INITIAL = r"\p{Lu}\."
+# IBAN lengths by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK SA SE SK TN VG RO", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}
+_IBAN = "|".join([rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])"
+                  for n, c in _IBAN_LENGTHS.items()] + [r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"])
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
+_SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
 GROWS_AFTER = 8  # attempts that a surrogate keeps its length
 # In order: at one place the first that matches names the type.  Each starts
 # with a check of the character before it, so no text is scanned twice.
@@ -52,12 +61,12 @@ TYPES = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
     ("secret", rf"{_SECRET}(?=[+/_.~-]*+[A-Za-z0-9])[A-Za-z0-9+/_.~-]{{6,}}"),  # not the dashes of a form to fill in
     ("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})"),
     ("ip", rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])"),
     ("card", r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7})(?![0-9A-Za-z-])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
-    ("phone", r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])"),
-    ("name", rf"(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})(?:{_TITLE}\.? (?:{_WORD} )?{_WORD}|{_GIVEN} {_WORD})(?![\p{{L}}\p{{M}}])"),
+    ("phone", r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\(?[0-9]{3}(?:\)[ .-]?|[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])"),
+    ("name", rf"(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})(?:{_TITLE}\.? (?:(?:{_WORD}|{_INITIAL}) ){{0,3}}{_WORD}|{_GIVEN} (?:{_INITIAL} ){{0,3}}(?:{_WORD} )?{_WORD})(?![\p{{L}}\p{{M}}])"),
 ]
 # All types but secrets start where no ASCII letter or digit stands before: one
 # check for all of them passes over most places of a text.
@@ -127,11 +136,15 @@ def _is_title(word: Column) -> Column:
     return word.rlike(rf"\A{_TITLE}\.?\z")
 
 
+def _is_initial(word: Column) -> Column:
+    return word.rlike(rf"\A{_INITIAL}\z")
+
+
 def _norms(e: Column) -> Column:
     """What an entity is known by, whatever its case and punctuation: one
-    string, or for a name one for each word that isn't a title or known name."""
+    string, or for a name one for each word that isn't a title, initial or known name."""
     value, kind = e["value"], e["type"]
-    return F.when(kind == "name", F.filter(F.split(value, " "), lambda w: ~_is_title(w) & ~_is_given(w))).otherwise(F.array(
+    return F.when(kind == "name", F.filter(F.split(value, " "), lambda w: ~_is_title(w) & ~_is_given(w) & ~_is_initial(w))).otherwise(F.array(
         F.when(kind == "email", F.lower(value)).when(kind == "secret", F.regexp_replace(value, rf"\A{_SECRET}", ""))
         .when(kind == "phone", F.substring(F.regexp_replace(value, r"\A\+[0-9]{1,3}(?=[ .(-])|[^0-9]", ""), -10, 10))
         .when(kind.isin("card", "ssn", "iban"), _compact(value)).otherwise(value)))
@@ -188,8 +201,13 @@ def _rendered(e: Column, attempts: Column, key: str) -> Column:
         attempt = F.coalesce(F.element_at(attempts, F.concat(kind, F.lit(" "), norm)), F.lit(0))
         return _let(attempt, lambda a: _core(kind, norm, a, key))
 
+    def initial(w):  # another letter of its alphabet
+        latin, cyrillic = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
+        turned = [a[n:] + a[:n] for a in (latin, cyrillic) for n in [sum(key.encode()) % (len(a) - 1) + 1]]
+        return F.translate(w, latin + cyrillic, "".join(turned))
+
     def word(w):
-        out = F.when(_is_title(w), w)
+        out = F.when(_is_title(w), w).when(_is_initial(w), initial(w))
         for names in _KNOWN.values():  # the next name of the list but some: distinct for distinct names
             shift = sum(key.encode()) % (len(names) - 1) + 1
             at = F.array_position(F.lit(names), w).cast("int")
