@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowmatch.llm import bpe, cws, decontam, licenses, pii, quality, sharding, simhash, token_files, unigram
+from flowmatch.llm import bpe, cws, decontam, licenses, pii, quality, sharding, simhash, spelling, token_files, unigram
 from flowmatch.llm.common import documents
 from flowmatch.session import checkpoint_dir
 from flowmatch.sources.tables import table
@@ -95,3 +95,8 @@ def op10(spark, sf_dir):
     found = decontam.contamination(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10, gram=5)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+@_query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    return spelling.variant_groups(documents(spark, sf_dir, "doc_id", "text"))
