@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowmatch.llm import bpe, cws, decontam, licenses, pii, quality, sharding, simhash, spelling, token_files, unigram
+from flowmatch.llm import bpe, cws, decontam, licenses, negatives, pii, quality, sharding, simhash, spelling, token_files, unigram
 from flowmatch.llm.common import documents
 from flowmatch.session import checkpoint_dir
 from flowmatch.sources.tables import table
@@ -100,3 +100,8 @@ def op10(spark, sf_dir):
 @_query("op11_spelling_variants")
 def op11(spark, sf_dir):
     return spelling.variant_groups(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@_query("op12_hard_negatives", negatives.mine_sql())
+def op12(spark, sf_dir):
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
