@@ -12,7 +12,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowmatch.llm import bpe, cws, decontam, licenses, negatives, pii, quality, sharding, simhash, spelling, token_files, unigram
+from flowmatch.llm import (bpe, cws, decontam, licenses, minmax, negatives, pii, quality, sharding, simhash, spelling, token_files,
+                           unigram)
 from flowmatch.llm.common import documents
 from flowmatch.session import checkpoint_dir
 from flowmatch.sources.tables import table
@@ -105,3 +106,8 @@ def op11(spark, sf_dir):
 @_query("op12_hard_negatives", negatives.mine_sql())
 def op12(spark, sf_dir):
     return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op13_minmax_near_dedup")
+def op13(spark, sf_dir):
+    return minmax.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), words=2, percent=80)
