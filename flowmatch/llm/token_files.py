@@ -16,6 +16,7 @@ the write returns, so files of lost or repeated tasks are never read.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 
@@ -37,16 +38,24 @@ READ_BYTES = 8 << 20  # ids handed to Spark at a time
 
 class Tokens:
     """Ids of texts by a byte-level tokenizer file, one encoding of each
-    pre-token.  The tokenizer splits texts by ``public_tokenizers.PATTERN``
-    and its model merges each part by itself, so equal parts have equal ids.
-    The model is called with parts in the byte-level alphabet."""
+    pre-token.  The tokenizer cuts texts at its added tokens, which have ids of
+    their own, splits what is left by ``public_tokenizers.PATTERN``, and its
+    model merges each part by itself, so equal parts have equal ids.  The
+    model is called with parts in the byte-level alphabet."""
 
     _own: dict[str, "Tokens"] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self.model = whole.model
+        added = whole.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that look at their surroundings are not supported")
+        self.added = {t.content: np.array([i], "<u4") for i, t in added.items() if t.content}
+        # the longest of those that begin at a place
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.known: dict[bytes, bytes] = {}  # ids as little-endian 32 bit
         # the byte-level alphabet: printable bytes are their own character, the others follow 255 in order
         own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -72,6 +81,14 @@ class Tokens:
             at += len(part)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as the library's ``encode(..., add_special_tokens=False)``."""
+        split = [self.cut.split(t) if self.cut and any(a in t for a in self.added) else [t] for t in texts]
+        found = iter(self._plain([p for parts in split for p in parts[::2]]))
+        # every second part is an added token
+        return [next(found) if len(parts) == 1 else np.concatenate([self.added[p] if k % 2 else next(found) for k, p in enumerate(parts)])
+                for parts in split]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for part in pieces(texts):
             distinct, index, counts = cut(part)
