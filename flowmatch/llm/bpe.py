@@ -6,15 +6,21 @@ the merge table and contracts each word's leftmost pair of least rank, until
 no word has a pair left.  Decoding joins token rows with the vocabulary and
 aggregates their bytes in order of position.
 
-A recursive round handles one merge of each word, so rounds grow with the
-longest word.  Words above ``LONG`` bytes are merged by a heap instead, with
-the same result.
+A recursive round handles one merge of each word, and the query keeps the rows
+of all its rounds, so a word's work and memory grow with the square of its
+length.  Pre-tokens above ``BLOCK`` bytes are therefore merged in blocks by the
+same query and joined at their seams.  Tokens are the encoding of a text if and
+only if each two neighbours are the encoding of their own bytes: up to the
+first merge across a boundary, whatever lies between two boundaries is merged
+as it would be alone.  So a seam holds if the merged bytes of a few tokens on
+its either side begin with the first and end with the last of these tokens;
+where no such stretch is found, the next block is merged anew after the true
+tokens before it.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -24,27 +30,30 @@ from pyspark.sql import functions as F
 from flowmatch.llm.common import ship_code, text_or_empty
 from flowmatch.llm.pretoken import cut, pieces, spread_out
 
-LONG = 256            # bytes of a pre-token that a recursive query still merges (511 at most)
-WORDS = 30_000        # pre-tokens of one recursive query
+BLOCK = 64            # bytes of a pre-token that are merged at once
+SEAM = 4              # tokens on either side of a seam, at first
+AHEAD = 64            # blocks merged before their seams are tried, at first
+WORDS = 30_000        # words of one recursive query
+SQUARES = 6_000_000   # squared bytes of all its words: twice the rows that it may keep
 CACHED = 600_000      # pre-tokens whose ids a worker remembers
 TOKENS = 400_000      # tokens of one decoding query
-MEMORY = "400MB"      # most that DuckDB may take in a worker; the sizes above need far less
+MEMORY = "400MB"      # most that DuckDB may take in a worker
 
 # A pair's rank, place, right end and the place of its right token are packed in
-# one number, 9 bits for each place: the least number of a word is its leftmost
+# one number, 15 bits for each place: the least number of a word is its leftmost
 # pair of least rank, and holds all that the contraction needs.
 _ENCODE = """
 WITH RECURSIVE t(w, pos, stop, tok, round) AS (
     SELECT w, pos, pos + 1, tok, 0 FROM start
   UNION ALL
     (WITH least AS (
-        SELECT a.w, min((merged::BIGINT << 27) | (a.pos << 18) | (b.pos << 9) | b.stop) AS k
+        SELECT a.w, min((merged::BIGINT << 45) | (a.pos::BIGINT << 30) | (b.pos << 15) | b.stop) AS k
         FROM t a JOIN t b ON a.w = b.w AND a.stop = b.pos
         JOIN merges ON a.tok = merges.l AND b.tok = merges.r
         GROUP BY a.w)
-    SELECT t.w, t.pos, CASE WHEN t.pos = (k >> 18) & 511 THEN (k & 511)::INT ELSE t.stop END,
-           CASE WHEN t.pos = (k >> 18) & 511 THEN (k >> 27)::INT ELSE t.tok END, round + 1
-    FROM t JOIN least ON t.w = least.w WHERE t.pos <> (k >> 9) & 511)
+    SELECT t.w, t.pos, CASE WHEN t.pos = (k >> 30) & 32767 THEN (k & 32767)::INT ELSE t.stop END,
+           CASE WHEN t.pos = (k >> 30) & 32767 THEN (k >> 45)::INT ELSE t.tok END, round + 1
+    FROM t JOIN least ON t.w = least.w WHERE t.pos <> (k >> 15) & 32767)
 )
 SELECT w, tok FROM t WHERE (w, round) IN (SELECT w, max(round) FROM t GROUP BY w) ORDER BY w, pos
 """
@@ -65,6 +74,7 @@ class Codec:
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t))
                   if t[:i] in self.ranks and t[i:] in self.ranks]
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.token = {r: t for t, r in self.ranks.items()}
         self.known: dict[bytes, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         pair_table = pa.table([pa.array(c, pa.int32()) for c in zip(*merges)], ["l", "r", "merged"])  # noqa: F841
@@ -88,51 +98,92 @@ class Codec:
         ends = (4 * np.searchsorted(found["w"], np.arange(len(words)), "right")).tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _merge_long(self, word: bytes) -> bytes:
-        """The same merges for one long word: a heap of pairs over linked tokens."""
-        n = len(word)
-        size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = self.ranks.get
-
-        def push(i):
-            j = after[i]
-            if j < n and (r := rank(word[i:j + size[j]])) is not None:
-                heapq.heappush(heap, (r, i, j + size[j]))
-
-        heap: list = []
-        for i in range(n):
-            push(i)
-        while heap:
-            _, i, end = heapq.heappop(heap)
-            j = after[i]
-            if not size[i] or j >= n or j + size[j] != end or i + size[i] != j:
-                continue  # one of the two has been merged since
-            size[i] += size[j]
-            size[j] = 0
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([rank(word[i:i + size[i]]) for i in range(n) if size[i]], "<u4").tobytes()
+    def _merge(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word: few words at a time, so that the rows of a query stay bounded."""
+        out, part, squares = {}, [], 0
+        for w in words:
+            if (r := self.ranks.get(w)) is not None:
+                out[w] = r.to_bytes(4, "little")
+                continue
+            if part and (squares + len(w) ** 2 > SQUARES or len(part) == WORDS):
+                out.update(zip(part, self._merge_rows(part)))
+                part, squares = [], 0
+            part.append(w)
+            squares += len(w) ** 2
+        if part:
+            out.update(zip(part, self._merge_rows(part)))
+        return out
+
+    def _bytes(self, tokens: list[int]) -> bytes:
+        return b"".join([self.token[t] for t in tokens])
+
+    def _by_blocks(self, word: bytes):
+        """Merge one long word: yields lists of pieces, is sent the ids of each
+        piece, returns the word's ids."""
+        done, at, ahead = [], 0, AHEAD  # done: the ids of word[:at]
+        while at < len(word):
+            blocks = [word[i:i + BLOCK] for i in range(at, min(len(word), at + ahead * BLOCK), BLOCK)]
+            right = yield blocks
+            left = [done, *right[:-1]]
+            seams: dict[int, tuple] = {}
+            size, untried = SEAM, [i for i in range(len(blocks)) if left[i]]
+            while untried:
+                # half of a block at most, so that the seams at its two ends stay apart
+                sizes = [min(size, (len(left[i]) + 1) // 2, (len(right[i]) + 1) // 2) for i in untried]
+                found = yield [self._bytes(left[i][-k:] + right[i][:k]) for i, k in zip(untried, sizes)]
+                wider = []
+                for i, k, ids in zip(untried, sizes, found):
+                    if ids[0] == left[i][-k] and ids[-1] == right[i][k - 1]:
+                        seams[i] = k, ids
+                    elif k == size:
+                        wider.append(i)
+                size, untried = 2 * size, wider
+            for i, ids in enumerate(right):
+                if left[i] and i not in seams:
+                    break
+                k, between = seams.get(i, (0, []))
+                if k:
+                    del done[len(done) - k + 1:]
+                    done += between[1:]
+                done += ids[k:]
+                at += len(blocks[i])
+            else:
+                ahead *= 2
+                continue
+            ahead, k = max(2, ahead // 2), SEAM
+            while True:
+                (ids,) = yield [self._bytes(done[-k:]) + blocks[i]]
+                if k >= len(done) or ids[0] == done[-k]:
+                    break
+                k *= 2
+            del done[max(0, len(done) - k):]
+            done += ids
+            at += len(blocks[i])
+        return done
+
+    def _merge_long(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of several blocks; the pieces of all go through the same queries."""
+        out, steps = {}, {w: self._by_blocks(w) for w in words}
+        wanted = {w: next(s) for w, s in steps.items()}
+        ids: dict[bytes, list[int]] = {}
+        while wanted:
+            new = dict.fromkeys(p for some in wanted.values() for p in some if p not in ids)
+            ids.update((p, np.frombuffer(x, "<u4").tolist()) for p, x in self._merge(list(new)).items())
+            for w, some in list(wanted.items()):
+                try:
+                    wanted[w] = steps[w].send([ids[p] for p in some])
+                except StopIteration as end:
+                    out[w] = np.array(end.value, "<u4").tobytes()
+                    del wanted[w]
+        return out
 
     def learn(self, words: list[bytes]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHED:
             self.known.clear()
             new = words
-        rows = []
-        for w in new:
-            if (r := self.ranks.get(w)) is not None:
-                self.known[w] = r.to_bytes(4, "little")
-            elif len(w) > LONG:
-                self.known[w] = self._merge_long(w)
-            else:
-                rows.append(w)
-        for at in range(0, len(rows), WORDS):
-            some = rows[at:at + WORDS]
-            self.known.update(zip(some, self._merge_rows(some)))
+        self.known.update(self._merge([w for w in new if len(w) <= BLOCK]))
+        self.known.update(self._merge_long([w for w in new if len(w) > BLOCK]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit numbers."""

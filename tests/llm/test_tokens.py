@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import heapq
 import io
 import random
 import struct
@@ -20,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = [" ", "a", "b", "the", "qu", "é", "中", "!!", "'s", "\n", " Z", "==", "00", "x" * 40, "ab" * 30, "<|endoftext|>", "\0"]
-EDGES = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "z"), (4, "long word " * 30000), (5, "=" * 3000), (6, "abcdetionrs" * 200)]
+EDGES = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "z"), (7, "<|endoftext|>a<|endoftext|>"), (4, "long word " * 30000), (5, "=" * 3000), (6, "abcdetionrs" * 200)]
 
 
 @pytest.fixture(scope="module")
@@ -58,19 +59,81 @@ def test_bpe_as_the_library(texts, library):
         codec.decode([struct.pack("<I", 50256)])
 
 
-def test_heap_and_recursive_query_agree(texts):
+def test_blocks_and_whole_words_agree(texts):
     codec = bpe.Codec(RANKS)
     words = sorted({w.encode() for t in texts for w in regex.findall(public_tokenizers.PATTERN, t) if len(w) < 300})
-    assert codec._merge_rows(words) == [codec._merge_long(w) for w in words]
+    whole = dict(zip(words, codec._merge_rows(words)))
+    assert codec._merge(words) == whole
+    assert codec._merge_long(words) == whole  # of a word or a few blocks
 
 
-def test_bpe_small_memory(texts, library, monkeypatch):
-    for name, value in (("CACHED", 5), ("WORDS", 3), ("TOKENS", 7), ("LONG", 20)):
+@pytest.mark.parametrize("block", [3, 8, 21])
+def test_bpe_small_memory(texts, library, monkeypatch, block):
+    for name, value in (("CACHED", 5), ("WORDS", 30), ("SQUARES", 4000), ("TOKENS", 7), ("BLOCK", block), ("SEAM", 1), ("AHEAD", 2)):
         monkeypatch.setattr(bpe, name, value)
+    some = [t for t in texts if len(t) < 20_000][:60]
     codec = bpe.Codec(RANKS)
-    found = codec.encode(texts[:60])
-    assert [ids_of(x) for x in found] == [library.encode_ordinary(t) for t in texts[:60]]
-    assert codec.decode(found) == [t.encode() for t in texts[:60]]
+    found = codec.encode(some)
+    assert [ids_of(x) for x in found] == [library.encode_ordinary(t) for t in some]
+    assert codec.decode(found) == [t.encode() for t in some]
+
+
+LETTERS = "ACDEFGHIKLMNPQRSTVWY"
+LONG_TEXTS = {
+    "ideographs": lambda r: "，".join("".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(r.randrange(18, 81))) for _ in range(20_000))[:1_000_000],
+    "sequences": lambda r: "\n".join("".join(r.choice(LETTERS) for _ in range(r.randrange(60, 251))) for _ in range(6_500))[:1_000_000],
+    "one word": lambda r: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)),
+    "base64": lambda r: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(300_000)),
+    "pairs": lambda r: " " + "ha" * 100_001 + "xoxo" * 30_001,
+    "one letter": lambda r: "a" * 200_003 + "=" * 100_001 + "-" * 77_777,
+    "periods": lambda r: " ".join(p * (20_000 // len(p)) for p in ("abc", "lala", "12345", "the", "ing", "tion", "zyxwv", "нет", "中文")),
+}
+
+
+@pytest.mark.parametrize("name", LONG_TEXTS)
+def test_bpe_long_words(library, name):
+    """Long pre-tokens of all makes, within the worker's memory limit."""
+    text = LONG_TEXTS[name](random.Random(7))
+    codec = bpe.Codec(RANKS)
+    (found,) = codec.encode([text])
+    # the library takes time with the square of a word's length: it is asked where that is bearable
+    words = regex.findall(public_tokenizers.PATTERN, text)
+    if max(map(len, words)) < 50_000:
+        assert ids_of(found) == library.encode_ordinary(text)
+    else:
+        assert ids_of(found) == [t for w in words for t in by_heap(codec.ranks, w.encode())]
+    assert codec.decode([found]) == [text.encode()]
+
+
+def by_heap(ranks, word):
+    """Leftmost pair of least rank first, over linked tokens."""
+    n = len(word)
+    size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = []
+
+    def push(i):
+        j = after[i]
+        if j < n and (r := ranks.get(word[i:j + size[j]])) is not None:
+            heapq.heappush(heap, (r, i, j + size[j]))
+
+    for i in range(n):
+        push(i)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        j = after[i]
+        if size[i] and j < n and i + size[i] == j and j + size[j] == end:
+            size[i], size[j], after[i] = size[i] + size[j], 0, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            push(i)
+            if before[i] >= 0:
+                push(before[i])
+    return [ranks[word[i:i + size[i]]] for i in range(n) if size[i]]
+
+
+def test_by_heap_as_the_library(texts, ranks, library):
+    for w in {w for t in texts[:80] for w in regex.findall(public_tokenizers.PATTERN, t)}:
+        assert by_heap(ranks, w.encode()) == library.encode_ordinary(w)
 
 
 def test_bpe_whole_table_and_edges(spark, edges, library):
@@ -102,7 +165,7 @@ def test_unigram_counts(spark, edges, texts):
     found = model.terminals(list(words))
     assert found == {w: best_by_viterbi(model.score, w) for w in words}
     rows = {(r.doc_id, r.n_pretokens): (r.n_tokens, r.score) for r in unigram.token_counts(edges, RANKS).collect()}
-    assert rows[1, 0] == rows[2, 0] == (0, 0.0) and rows[4, 60001][0] > 0 and len(rows) == 7
+    assert rows[1, 0] == rows[2, 0] == (0, 0.0) and rows[4, 60001][0] > 0 and len(rows) == 8
     assert unigram.token_counts(edges.limit(0), RANKS).count() == 0
     whole = {r.doc_id: r for r in QUERIES["op5_unigram_token_counts"](spark, SF).collect()}
     for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
@@ -113,9 +176,13 @@ def test_unigram_counts(spark, edges, texts):
             assert abs(r.score - sum(s for _, s in parts)) < 1e-3
 
 
+ADDED = "<|endoftext|>"
+
+
 def test_model_ids_as_the_tokenizer(texts):
     whole = Tokenizer.from_file(JSON)
-    whole.encode_special_tokens = True
+    texts = texts + [ADDED, ADDED * 2, f"{ADDED} a", f"a {ADDED}", f"a b {ADDED} c", f" {ADDED}\n\n{ADDED}  x", f"<|{ADDED}|>", ADDED[:-1], ADDED.upper(), f"é{ADDED}中"]
+    assert any(50256 in whole.encode(t).ids for t in texts[:200])
     got = token_files.Tokens(JSON).ids(texts)
     assert [x.tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -160,7 +227,6 @@ def test_file_format_and_random_access():
 
 def test_files_whole_table_and_edges(spark, edges, tmp_path):
     whole = Tokenizer.from_file(JSON)
-    whole.encode_special_tokens = True
     rows = {r.doc_id: r for r in QUERIES["op6_token_id_files"](spark, SF).collect()}
     start = 0
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
