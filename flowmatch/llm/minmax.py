@@ -9,13 +9,18 @@ of a few permutations; documents that share a band are candidates, and every
 link is confirmed on the whole shingle sets.
 
 With ``PERMUTATIONS`` and ``PER_BAND`` as set, a pair at a similarity of 0.8
-shares no band with a probability of 5e-8 (7e-7 for sets of five shingles).
+shares no band with a probability of 5e-6, one at 0.85 with 1e-8.
 
 Documents with equal sets are one class and only its representative is
 banded.  A bucket may hold a large share of all classes, so its pairs are not
 listed: every class is first held against the least class of its buckets, what
 links is contracted, and only classes of a bucket that are still apart are
 compared with each other, in blocks of a bounded size.  No bucket is cut short.
+
+A class also keeps a bitmap of its shingles, four bits or more to a shingle.
+A bit that only one of two sets has stands for a shingle that the other lacks,
+so the bitmaps bound the intersection from above; pairs that this bound
+excludes never fetch their sets.
 """
 
 from __future__ import annotations
@@ -29,11 +34,12 @@ from pyspark.sql import functions as F
 from flowmatch.llm.common import kept, ship_code, text_or_empty
 from flowmatch.llm.components import components
 
-PERMUTATIONS = 64     # hash evaluations a shingle: twice as many signature values
-PER_BAND = 2          # permutations of a band: four values
+PERMUTATIONS = 120    # hash evaluations a shingle: twice as many signature values
+PER_BAND = 3          # permutations of a band: six values
 LEADER_ROUNDS = 2     # comparisons with the least class of a bucket, before the rest is compared
 BLOCK = 256           # classes of a bucket's block
 PARTS = 1024          # parts of a class that many pairs share
+ID_BITS = 1_048_573   # remainders that tell wanted doc_ids from most others
 PIECE = 1 << 20       # shingles that a task hashes at a time
 
 _RANDOM = np.random.default_rng(20)
@@ -81,10 +87,28 @@ def bands(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bitmap(items: np.ndarray) -> bytes:
+    """Which remainders the hashes of a set have, for the power of two from four times their number on."""
+    bits = 1 << max(6, 2 + (len(items) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[(items & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def most_common(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
+    """Upper bound of the intersection of sets of ``n`` and ``m`` hashes with the bitmaps ``x`` and ``y``."""
+    while len(x) > len(y):
+        x = x[:len(x) // 2] | x[len(x) // 2:]  # remainders of half the power of two
+    while len(y) > len(x):
+        y = y[:len(y) // 2] | y[len(y) // 2:]
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, n_shingles, set_key, bands)`` of every row of ``docs(doc_id,
-    text, ...)``; ``set_key`` is a 128-bit digest of the set.  A text without
-    words has no shingles and no bands."""
+    """``(doc_id, n_shingles, set_key, bands, bitmap)`` of every row of
+    ``docs(doc_id, text, ...)``; ``set_key`` is a 128-bit digest of the set.  A
+    text without words has no shingles and no bands."""
     def run(batches):
         for b in batches:
             ids, sets, size = [], [], 0
@@ -106,11 +130,11 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 keys[i] = row
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "set_key", "bands"])
+             pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+             pa.array([bitmap(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_key", "bands", "bitmap"])
 
     ship_code(docs.sparkSession)
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, bitmap binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -122,42 +146,61 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     their first documents' texts: ``items`` are the ascending hashes as bytes."""
     def run(batches):
         for b in batches:
-            for text in b.column(0).to_pylist():
-                items = shingles(text, words).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(items)], pa.binary()), pa.array([items], pa.binary())], ["set_key", "items"])
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if doc_id is None or wanted_bits[doc_id % ID_BITS]:
+                    items = shingles(text, words).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(items)], pa.binary()), pa.array([items], pa.binary())], ["set_key", "items"])
 
-    texts = _texts(docs)
-    named = texts.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rows = named.unionByName(texts.where("doc_id is null")).select("text").mapInArrow(run, "set_key binary, items binary")
-    return rows.join(wanted, "set_key").groupBy("node").agg(F.first("items").alias("items"))
+    # which remainders the wanted ids have: more ids only let more texts through to the join
+    wanted_bits = np.zeros(ID_BITS, bool)
+    wanted_bits[[r.bit for r in wanted.select(F.pmod("first", F.lit(ID_BITS)).alias("bit")).distinct().collect() if r.bit is not None]] = True
+    rows = _texts(docs).mapInArrow(run, "set_key binary, items binary")
+    return rows.groupBy("set_key").agg(F.first("items").alias("items")).join(wanted, "set_key").select("node", "items")
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:
-    """``pairs`` with the set of the class ``end``.  A class that many pairs
-    share is met in parts, so that no task gets all its pairs."""
+def _with_items(pairs: DataFrame, values: DataFrame, end: str, other: str) -> DataFrame:
+    """``pairs`` with the ``items`` that ``values(node, items)`` has for the
+    class ``end``.  A class that many pairs share is met in parts, so that no
+    task gets all its pairs."""
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64(other), F.lit(PARTS)))
-    met = pairs.select(end, "part").distinct().join(sets.withColumnRenamed("node", end), end)
-    return pairs.join(met.withColumnRenamed("items", f"{end}_items"), [end, "part"]).drop("part")
+    met = pairs.select(end, "part").distinct().join(values.select(F.col("node").alias(end), F.col("items").alias(f"{end}_items")), end)
+    return pairs.join(met, [end, "part"]).drop("part")
+
 
+def _with_both(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    return _with_items(_with_items(pairs, values, "a", "b"), values, "b", "a").select("a", "b", "n_a", "n_b", "a_items", "b_items")
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole sets have the similarity, as ``(u, v)``."""
+
+def _checked(test):
+    """A task function that keeps the pairs ``(a, b, n_a, n_b, a_items,
+    b_items)`` for which ``test`` of the latter four holds."""
     def run(batches):
         for batch in batches:
-            u, v = [], []
-            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int(np.count_nonzero(y[at] == x))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    u.append(batch.column(0)[k].as_py())
-                    v.append(batch.column(1)[k].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    full = _with_set(_with_set(pairs, sets, "a", "b"), sets, "b", "a")
-    return full.select("a", "b", "a_items", "b_items").mapInArrow(run, "u long, v long")
+            columns = [c.to_pylist() for c in batch.columns]
+            hit = pa.array([test(*row) for row in zip(*columns[2:])], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(hit) for k in range(4)], ["a", "b", "n_a", "n_b"])
+    return run
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b, n_a, n_b)`` that the bitmaps don't exclude, checkpointed."""
+    def test(n, m, x, y):
+        most = most_common(np.frombuffer(x, np.uint8), n, np.frombuffer(y, np.uint8), m)
+        return 100 * most >= percent * (n + m - most)
+
+    both = _with_both(pairs, classes.select("node", F.col("bitmap").alias("items")))
+    return kept(both.mapInArrow(_checked(test), "a long, b long, n_a long, n_b long"))
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b, n_a, n_b)`` whose whole sets have the similarity, as ``(u, v)``, checkpointed."""
+    def test(n, m, a, b):
+        x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+        both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+        return 100 * both >= percent * (n + m - both)
+
+    both = _with_both(_possible(pairs, classes, percent), sets)
+    return kept(both.mapInArrow(_checked(test), "a long, b long, n_a long, n_b long").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -170,30 +213,34 @@ def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links ``(u, v)`` that span every component of the classes ``(node,
-    first, set_key, n_shingles, bands)`` joined by sets of the similarity."""
+    first, set_key, n_shingles, bands, bitmap)`` joined by sets of the similarity."""
     buckets = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").count().where("count > 1").select("band")
     members = kept(buckets.join(shared, "band").withColumn("root", F.col("node")))
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first", "set_key")
+    wanted = kept(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first", "set_key"))
     sets = kept(_sets(docs, wanted, words))
-    alike = F.expr(f"100 * least(n, other) >= {percent} * greatest(n, other)")  # else the sizes alone exclude it
+    alike = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")  # else the sizes alone exclude it
     links = None
     for _ in range(LEADER_ROUNDS):
         heads = members.groupBy("band").agg(F.min(F.struct("node", "n", "root")).alias("head"))
-        near = members.join(heads, "band").withColumn("other", F.col("head.n")).where(alike & (F.col("root") != F.col("head.root")))
-        pairs = near.groupBy(F.col("node").alias("b")).agg(F.min("head.node").alias("a"))
-        found = kept(_confirmed(pairs, sets, percent))
-        links = found if links is None else kept(links.unionByName(found))
+        near = members.join(heads, "band").where(F.col("root") != F.col("head.root")).select(
+            F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b")).where(alike)
+        pairs = near.groupBy("b").agg(F.min(F.struct("a", "n_a", "n_b")).alias("p")).select("p.a", "b", "p.n_a", "p.n_b")
+        found = _confirmed(pairs, classes, sets, percent)
+        links = found if links is None else links.unionByName(found)
         members = kept(_rooted(members, links))
     blocks = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     rows = members.join(blocks, "band").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
     rows = rows.withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rows = rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-    left = rows.where("block = i").select("band", "i", "j", "n", "root", F.col("node").alias("a"))
-    right = rows.where("block = j").select("band", "i", "j", F.col("n").alias("other"), F.col("root").alias("root_b"), F.col("node").alias("b"))
-    pairs = left.join(right, ["band", "i", "j"]).where(alike & F.expr("root <> root_b and (i < j or a < b)"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.unionByName(_confirmed(pairs, sets, percent))
+    end = lambda e: [F.col(c).alias(f"{to}_{e}") for c, to in (("root", "root"), ("n", "n"))] + [F.col("node").alias(e)]
+    left = rows.where("block = i").select("band", "i", "j", *end("a"))
+    right = rows.where("block = j").select("band", "i", "j", *end("b"))
+    pairs = left.join(right, ["band", "i", "j"]).where(alike & F.expr("root_a <> root_b and (i < j or a < b)"))
+    swap = F.col("a") > F.col("b")
+    pairs = pairs.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(to) for x, y, to in
+                           (("a", "b", "a"), ("b", "a", "b"), ("n_a", "n_b", "n_a"), ("n_b", "n_a", "n_b"))])
+    return links.unionByName(_confirmed(pairs.distinct(), classes, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -214,7 +261,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     rows = kept(signatures(docs, words))
     groups = rows.where("n_shingles > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
+        F.first("bitmap").alias("bitmap"))
     classes = kept(groups.withColumn("node", F.monotonically_increasing_id()))
     roots = components(near_links(classes, docs, words, percent))
     rooted = classes.select("node", "first", "set_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
