@@ -2,7 +2,8 @@
 
 ``list_stats`` scores two multisets of strings per pair by stacked counts.
 ``greedy_match`` is the one-to-one matching of scored item pairs: best score
-first, ties by (i1, i2), each item used once, ``score >= threshold``.  It is
+first, ties by (i1, i2), each item used once, ``score >= threshold``.  Groups
+that one model pair bounds are folded in one plan.  For groups of any size it is
 computed as rounds of *locally dominant* edges -- an edge that comes first
 in that order among all remaining edges touching either of its items is the
 edge the sequential greedy takes -- so every round is two windows over
@@ -14,9 +15,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from flowmatch.functions import metrics as M
-from flowmatch.session import checkpoint_dir
+from flowmatch.session import checkpoint_dir, ship_by_value
 
 
 def list_stats(pairs: DataFrame, c1: DataFrame, c2: DataFrame) -> DataFrame:
@@ -85,11 +87,44 @@ def greedy_counts(edges: DataFrame, group_cols: list[str], threshold: float) ->
     return out
 
 
-def greedy_match(edges: DataFrame, group_cols: list[str], threshold: float) -> DataFrame:
+def greedy_fold(edges: DataFrame, group_cols: list[str], threshold: float) -> DataFrame:
+    """As ``greedy_counts``, in one plan without a job before the action: each
+    group's edges are sorted into one value and taken in that order.
+
+    For groups that are bounded by the model pair they belong to, such as the
+    distinct labels that two models' texts leave unmatched."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "i1", "i2", "score", "a", "b")))
+    groups = edges.where(F.col("score") >= threshold).groupBy(*group_cols).agg(order.alias("edges"))
+    ship_by_value(__name__)
+    taken = groups.mapInArrow(_fold, StructType([*groups.schema.fields, StructField("m", ArrayType(LongType()))]))
+    each = taken.select(*group_cols, F.explode(F.arrays_zip("edges", "m")).alias("e")).where("e.m > 0")
+    return each.select(*group_cols, *[F.col(f"e.edges.{c}").alias(c) for c in ("i1", "i2", "score", "a", "b")], F.col("e.m").alias("m"))
+
+
+def _fold(batches):
+    """Matches of each group's edges, best first: an edge takes what both its ends have left."""
+    import pyarrow as pa
+
+    for batch in batches:
+        taken = []
+        for edges in batch.column("edges").to_pylist():
+            left1, left2, m = {e["i1"]: e["a"] for e in edges}, {e["i2"]: e["b"] for e in edges}, []
+            for e in edges:
+                n = min(left1[e["i1"]], left2[e["i2"]])
+                left1[e["i1"]] -= n
+                left2[e["i2"]] -= n
+                m.append(n)
+            taken.append(m)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.list_(pa.int64()))], [*batch.schema.names, "m"])
+
+
+def greedy_match(edges: DataFrame, group_cols: list[str], threshold: float, bounded: bool = False) -> DataFrame:
     """One-to-one greedy matching of (group..., i1, i2, score) edges;
-    returns the matched edges."""
+    returns the matched edges.  ``bounded`` says that a group is one model
+    pair's, so that it is folded in one plan (``greedy_fold``)."""
     one = F.lit(1).cast("long")
-    return (greedy_counts(edges.withColumns({"a": one, "b": one}), group_cols, threshold)
+    match = greedy_fold if bounded else greedy_counts
+    return (match(edges.withColumns({"a": one, "b": one}), group_cols, threshold)
             .select(*group_cols, "i1", "i2", "score"))
 
 
@@ -104,16 +139,24 @@ def label_similarity(label_pairs: DataFrame, vectors: DataFrame) -> DataFrame:
             .select("l1", "l2", cosine(F.col("_v1"), F.col("_v2")).alias("score")))
 
 
-def similar_counts(left: DataFrame, keys: list[str], vectors: DataFrame, threshold: float) -> DataFrame:
+def similar_counts(left: DataFrame, keys: list[str], similarity, threshold: float) -> DataFrame:
     """Items matched by similarity alone: ``left`` (keys..., label, a, b) holds
     what the exact matching of two lists left on either side (one of a, b is
-    0); returns (keys..., i) with the size of the greedy matching."""
+    0); returns (keys..., i) with the size of the greedy matching.
+
+    ``similarity`` is a threshold join of labels (``simjoin``), or a table
+    (label, vector): then the cosine of the label pairs that meet is taken."""
     s1 = left.where("a > 0").select(*keys, F.col("label").alias("l1"), "a")
     s2 = left.where("b > 0").select(*keys, F.col("label").alias("l2"), "b")
-    cand = s1.join(s2, keys)
-    sims = label_similarity(cand, vectors).where(F.col("score") >= threshold)
-    edges = cand.join(sims, ["l1", "l2"]).withColumnsRenamed({"l1": "i1", "l2": "i2"})
-    return greedy_counts(edges, keys, threshold).groupBy(*keys).agg(F.sum("m").cast("long").alias("i"))
+    if callable(similarity):
+        sims = similarity(s1.select("l1").distinct(), s2.select("l2").distinct(), threshold)
+        edges = s1.join(sims, "l1").join(s2, [*keys, "l2"])
+    else:
+        cand = s1.join(s2, keys)
+        sims = label_similarity(cand, similarity).where(F.col("score") >= threshold)
+        edges = cand.join(sims, ["l1", "l2"])
+    edges = edges.withColumnsRenamed({"l1": "i1", "l2": "i2"})
+    return greedy_fold(edges, keys, threshold).groupBy(*keys).agg(F.sum("m").cast("long").alias("i"))
 
 
 def similarity_sfa(pairs: DataFrame, items1: DataFrame, items2: DataFrame, sim: DataFrame | None,
@@ -144,7 +187,7 @@ def similarity_sfa(pairs: DataFrame, items1: DataFrame, items2: DataFrame, sim:
         cand = (sim.join(keys, ["m1", "m2"], "left_semi")
                 .join(exact.select("m1", "m2", "i1"), ["m1", "m2", "i1"], "left_anti")
                 .join(exact.select("m1", "m2", "i2"), ["m1", "m2", "i2"], "left_anti"))
-        fm = greedy_match(cand, ["m1", "m2"], threshold)
+        fm = greedy_match(cand, ["m1", "m2"], threshold, bounded=True)
         st = st.join(fm.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("i_fuzzy")), ["m1", "m2"], "left")
     else:
         st = st.withColumn("i_fuzzy", F.lit(0))

@@ -9,7 +9,7 @@ Parsing rules (the converter's, kept deliberately):
 
 * a token without ``:`` yields nothing (headers, fences, bare ``0-->1``);
 * the first two tokens of a line set the flow's source and target; later
-  tokens add nodes but no flow; a line with any ``:`` token makes a flow,
+  tokens add nodes but no flow (an option, ``chain``, gives them flows); a line with any ``:`` token makes a flow,
   even with only one endpoint (such a model is *unscorable*);
 * kind by substring of the type: task, else event, else gateway, else the
   node is dropped (subprocess) while its flows stay;
@@ -77,27 +77,38 @@ def nodes(toks: DataFrame) -> DataFrame:
             .agg(F.min("pos").alias("pos"), F.max_by("value", "pos").alias("value")))
 
 
-def flows(lns: DataFrame, number: bool = True) -> DataFrame:
+def flows(lns: DataFrame, number: bool = True, chain: bool = False) -> DataFrame:
     """One flow per line holding any ``:`` token, numbered ``sf0, sf1, ...``
     over those lines.  Source = token 0, target = token 1 (when they hold ``:``).
 
+    With ``chain`` a line of more than two tokens, ``a-->b-->c``, gives a flow
+    for each two neighbours of which one holds ``:``; other lines are as
+    without it.  ``step`` is the flow's place in its line.
+
     Numbering is a window per model; a model parsed from one text is one row
     already, so the window never gathers more than a text.  ``number=False``
-    keeps only ``line_no`` as the flow order (for line tables of any size)."""
+    keeps only ``line_no`` (and ``step``) as the flow order (for line tables of
+    any size)."""
     toks = F.split(F.col("line"), ARROW, -1)
-    t0, t1 = toks[0], F.when(F.size(toks) > 1, toks[1])
-    is_flow = F.exists(toks, lambda x: x.contains(":"))
+    rows = lns.where(F.exists(toks, lambda x: x.contains(":")))
+    if chain:
+        step = lambda i: F.struct(F.get(toks, i).alias("t0"), F.get(toks, i + 1).alias("t1"))
+        steps = F.transform(F.sequence(F.lit(0), F.greatest(F.size(toks) - 2, F.lit(0))), step)
+        rows = rows.select("model_id", "line_no", F.size(toks).alias("n"), F.posexplode(steps).alias("step", "p"))
+        rows = rows.select("model_id", "line_no", "step", "n", "p.t0", "p.t1").where((F.col("n") <= 2) | F.col("t0").contains(":") | F.col("t1").contains(":"))
+    else:
+        rows = rows.select("model_id", "line_no", toks[0].alias("t0"), F.get(toks, F.lit(1)).alias("t1"))
+    t0, t1 = F.col("t0"), F.col("t1")
     src = F.when(t0.contains(":"), _node_id(t0))
     dst = F.when(t1.contains(":"), _node_id(t1))
     lab = nonempty(F.regexp_extract(F.split(t1, ":", -1)[0], "\\|(.*)\\|", 1))
-    f = (lns.where(is_flow)
-         .select("model_id", "line_no", src.alias("sourceRef"), dst.alias("targetRef"),
-                 lab.alias("edge_label"),
-                 (t0.contains(":") & _node_id(t0).isNull()).alias("src_broken"),
-                 (t1.contains(":") & _node_id(t1).isNull()).alias("dst_broken")))
+    f = rows.select("model_id", "line_no", *(["step"] if chain else []), src.alias("sourceRef"), dst.alias("targetRef"),
+                     lab.alias("edge_label"),
+                     (t0.contains(":") & _node_id(t0).isNull()).alias("src_broken"),
+                     (t1.contains(":") & _node_id(t1).isNull()).alias("dst_broken"))
     if not number:
         return f
-    w = Window.partitionBy("model_id").orderBy("line_no")
+    w = Window.partitionBy("model_id").orderBy("line_no", *(["step"] if chain else []))
     f = f.withColumn("edge_no", F.row_number().over(w) - 1)
     return f.withColumn("id", F.concat(F.lit("sf"), F.col("edge_no").cast("string")))
 
@@ -140,19 +151,19 @@ def model_flags(models: DataFrame, els: DataFrame, flw: DataFrame, toks: DataFra
 
 
 def parse_models(models: DataFrame, model_col: str = "model_id", text_col: str = "text",
-                 fix_inclusive: bool = False) -> dict[str, DataFrame]:
+                 fix_inclusive: bool = False, chain: bool = False) -> dict[str, DataFrame]:
     """Text -> {'lines', 'tokens', 'nodes', 'elements', 'flows', 'flags'}."""
     lns = lines(models, model_col, text_col)
-    return parse_lines(lns, models.select(F.col(model_col).alias("model_id")), fix_inclusive)
+    return parse_lines(lns, models.select(F.col(model_col).alias("model_id")), fix_inclusive, chain=chain)
 
 
 def parse_lines(lns: DataFrame, models: DataFrame, fix_inclusive: bool = False,
-                number: bool = True) -> dict[str, DataFrame]:
+                number: bool = True, chain: bool = False) -> dict[str, DataFrame]:
     """(model_id, line_no, line) -> parsed tables; ``models`` lists every model_id."""
     toks = tokens(lns)
     nds = nodes(toks)
     els = elements(nds, fix_inclusive)
-    flw = flows(lns, number)
+    flw = flows(lns, number, chain)
     flags = model_flags(models, els, flw, toks)
     return {"lines": lns, "tokens": toks, "nodes": nds, "elements": els, "flows": flw,
             "flags": flags}

@@ -35,14 +35,7 @@ WHERE role = 'user' AND text IS NOT NULL AND trim(text) <> ''""")
 def q_wording_unpivot(spark, sf_dir):
     """Wide sheet of user wordings -> (respondent, pattern, wording)."""
     wide = R.pivot_results(_turns(spark, sf_dir).where(F.col("role") == "user"), "conv_id", "pattern", "text")
-    return R.unpivot_wordings(wide, ["conv_id"], wide.columns[1:])
-
-
-@register("q_result_pivot", "PIVOT (SELECT conv_id, 'T' || CAST(turn AS VARCHAR) AS pattern, role FROM conversations) "
-          "ON pattern USING max(role) GROUP BY conv_id")
-def q_result_pivot(spark, sf_dir):
-    """Long (conversation, turn, role) -> one column per turn that occurs."""
-    return R.pivot_results(_turns(spark, sf_dir), "conv_id", "pattern", "role")
+    return R.unpivot_wordings(wide, ["conv_id"], wide.columns[2:]).drop("occurrence")
 
 
 def _identified(spark, sf_dir):
@@ -66,6 +59,24 @@ ident AS (
   FROM conversations WHERE role = 'user')"""
 
 
+_PIVOT_NAMES = {p: p.replace(".", "_") for p, _, _ in R.RULEBASE}
+
+
+@register("q_result_pivot", f"""
+WITH t AS (SELECT conv_id, {_IDS_SQL}[turn % 18 + 1] AS pattern, role, turn FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, pattern ORDER BY turn, role) - 1 AS occurrence FROM t)
+SELECT conv_id, CAST(occurrence AS INTEGER) AS occurrence, """ + ", ".join(
+    f"max(CASE WHEN pattern = '{p}' THEN role END) AS {n}" for p, n in _PIVOT_NAMES.items()) + """
+FROM n GROUP BY conv_id, occurrence""")
+def q_result_pivot(spark, sf_dir):
+    """Long (conversation, pattern of the turn, role) -> one column per
+    pattern; a conversation that meets a pattern again gets a further row."""
+    ids = F.array(*[F.lit(p) for p in _PIVOT_NAMES])
+    t = table(spark, sf_dir, "conversations").withColumn("pattern", F.element_at(ids, (F.col("turn") % 18 + 1).cast("int")))
+    wide = R.pivot_results(t, "conv_id", "pattern", "role", list(_PIVOT_NAMES), order="turn")
+    return wide.withColumnsRenamed(_PIVOT_NAMES)
+
+
 @register("q_flags", "WITH " + _IDENT_SQL + f"""
 SELECT conv_id, turn, pattern, result, rp IS NOT NULL AS mapping,
        (rp IS NOT NULL AND result = pattern) AS epap
@@ -116,7 +127,7 @@ def q_survey_prompts(spark, sf_dir):
     turns by pattern) -> wordings -> change prompts that hold the text of the
     pattern's input model (documents stand for the input models)."""
     sheet = R.pivot_results(_identified(spark, sf_dir), "conv_id", "pattern", "text").withColumnRenamed("conv_id", "ordinal")
-    long = R.unpivot_wordings(sheet, ["ordinal"], sheet.columns[1:])
+    long = R.unpivot_wordings(sheet, ["ordinal"], sheet.columns[2:])
     models = table(spark, sf_dir, "documents").select(F.concat(F.lit("ipm-"), F.col("doc_id").cast("string")).alias("name"), "text")
     out = R.input_texts(R.input_lookup(long), models)
     return out.select("ordinal", "pattern", "input_name", R.change_prompt(F.col("model_text"), F.col("text")).alias("prompt"))
@@ -428,8 +439,38 @@ def q_incremental_scores(spark, sf_dir):
               "value string, week date")
     for part in (F.col("week") < cut, F.col("week") >= cut):
         X.write_models(lines.where(part), f"{root}/in", ["user_id", "week"], ["week"])
-        q = X.start(spark, f"{root}/in", schema, ["user_id", "week"], assign, counts,
-                    f"{root}/out", f"{root}/ckpt")
+        q = X.start_lines(spark, f"{root}/in", schema, ["user_id", "week"], assign, counts,
+                          f"{root}/out", f"{root}/ckpt")
+        q.awaitTermination()
+    return (spark.read.parquet(f"{root}/out")
+            .select("pattern", "user_id", "week", F.col("overall").alias("similarity")))
+
+
+@register("q_incremental_files", _EXP_SQL + "SELECT pattern, user_id, week, overall AS similarity FROM sc")
+def q_incremental_files(spark, sf_dir):
+    """Trace texts arrive as whole ``.txt`` files, one a model, in
+    two deliveries of a few weeks each; the second holds the first week's files
+    once more.  A stream of whole files scores each model once."""
+    import uuid
+
+    from flowmatch.session import checkpoint_dir
+    from flowmatch.streaming import incremental as X
+
+    ev, tr, up, pairs = _expected_pairs(spark, sf_dir)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
+    # a model's text is one value: it is bounded by its model
+    texts = T.trace_lines(ev).groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    texts = cut_lineage(texts.select("model_id.*", F.array_join(F.col("l")["line"], "\n").alias("text")))
+    lo, n = _week_ordinal(ev)
+    cut = F.date_add(F.lit(lo), 14)
+    assign = pairs.select("user_id", "week", "pattern", "m1")
+    exp = assign.select(F.col("m1").alias("model_id")).distinct()
+    counts = cut_lineage(S.label_counts(T.trace_labels(ev)).join(exp, "model_id", "left_semi"))
+    assign = cut_lineage(assign)
+    for k, part in enumerate((F.col("week") < cut, (F.col("week") >= cut) | (F.col("week") == F.lit(lo)))):
+        texts.where(part).repartition("user_id", "week").write.partitionBy("user_id", "week").text(f"{root}/in/delivery-{k}")
+        q = X.start_files(spark, f"{root}/in", r"user_id=([^/]+)/week=([^/]+)/[^/]*\.txt$", {"user_id": "long", "week": "date"},
+                          assign, counts, f"{root}/out", f"{root}/ckpt")
         q.awaitTermination()
     return (spark.read.parquet(f"{root}/out")
             .select("pattern", "user_id", "week", F.col("overall").alias("similarity")))

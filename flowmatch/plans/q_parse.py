@@ -232,3 +232,50 @@ def q_model_json(spark, sf_dir):
     p = P.parse_lines(lns, orders)
     js = P.model_json(p["elements"], p["flows"], orders)
     return js.select(F.col("model_id").alias("o_orderkey"), "json")
+
+
+_CHAIN_SEQ = """
+WITH t AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey
+               ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS i FROM lineitem),
+s AS (SELECT *, max(i) OVER (PARTITION BY l_orderkey) AS n, lead(i) OVER w AS ni, lead(l_partkey) OVER w AS np
+      FROM t WINDOW w AS (PARTITION BY l_orderkey ORDER BY i))"""
+
+
+def _order_texts(spark, sf_dir):
+    """Whole model texts: an order's items as one chained line with edge labels
+    on every third step, between a header and a line with a gateway."""
+    pos = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", pos.alias("p"))
+    items = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("p")).alias("items"))  # an order has a few items
+
+    def token(x, i):
+        label = F.when(i % 3 == 2, F.concat(F.lit("|if "), i.cast("string"), F.lit("| "))).otherwise(F.lit(""))
+        return F.concat(label, (i + 1).cast("string"), F.lit(":task:(part "), x["l_partkey"].cast("string"), F.lit(")"))
+    chain = F.array_join(F.transform("items", token), " --> ")
+    last = F.size("items").cast("string")
+    text = F.concat(F.lit("flowchart LR\n"), chain, F.lit("\nplain --> words\n"), last, F.lit(":task:(part) --> g0:exclusivegateway:{x}\n"))
+    return items.select(F.col("l_orderkey").alias("model_id"), text.alias("text"))
+
+
+@register("q_parse_chains", _CHAIN_SEQ + """
+SELECT l_orderkey, 'sf' || CAST(greatest(i - 1, 0) AS VARCHAR) AS id, CAST(i AS VARCHAR) AS sourceRef, CAST(ni AS VARCHAR) AS targetRef,
+       CASE WHEN i % 3 = 2 AND ni IS NOT NULL THEN 'if ' || CAST(i AS VARCHAR) END AS edge_label
+FROM s WHERE ni IS NOT NULL OR n = 1
+UNION ALL
+SELECT l_orderkey, 'sf' || CAST(greatest(n - 1, 1) AS VARCHAR), CAST(n AS VARCHAR), 'g0', NULL FROM s WHERE i = n""")
+def q_parse_chains(spark, sf_dir):
+    """P1, P2, P4, P8 with ``chain``: whole texts split into lines, a line of
+    several arrows giving a flow for each, with its edge label."""
+    p = P.parse_models(_order_texts(spark, sf_dir), chain=True)
+    return p["flows"].select(F.col("model_id").alias("l_orderkey"), "id", "sourceRef", "targetRef", "edge_label")
+
+
+@register("q_parse_strict", _CHAIN_SEQ + """
+SELECT l_orderkey, 'sf0' AS id, '1' AS sourceRef, CASE WHEN n > 1 THEN '2' END AS targetRef, CAST(NULL AS VARCHAR) AS edge_label FROM s WHERE i = 1
+UNION ALL
+SELECT l_orderkey, 'sf1', CAST(n AS VARCHAR), 'g0', NULL FROM s WHERE i = n""")
+def q_parse_strict(spark, sf_dir):
+    """P1, P2, P4, P8 as the converter has them: the first two tokens of a line
+    make its flow, whatever follows."""
+    p = P.parse_models(_order_texts(spark, sf_dir))
+    return p["flows"].select(F.col("model_id").alias("l_orderkey"), "id", "sourceRef", "targetRef", "edge_label")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +105,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= slots:
         return df
     return df.repartition(slots, *keys) if keys else df.repartition(slots)
+
+
+def ship_by_value(*modules: str) -> None:
+    """Have task functions of these modules of this package sent by value."""
+    for name in modules:
+        if name.startswith("flowmatch") and name in sys.modules:
+            cloudpickle.register_pickle_by_value(sys.modules[name])

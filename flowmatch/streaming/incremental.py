@@ -1,36 +1,48 @@
 """Incremental scoring of newly arriving model texts.
 
-A file source streams model lines (text files whose partition folders name
-the model, or parquet rows carrying the model keys).  Every model is written
-whole into one file -- ``write_models`` co-locates a model's lines with
-``repartition`` on its keys -- and a file is never split across micro-batches,
-so no state crosses batches: each batch is parsed, labelled and scored against
-the (static) expected models with the same operators as the batch path.
-Each batch's result is written to ``<sink>/batch_id=<n>`` with overwrite,
-so a replayed batch (after a lost executor or driver restart) replaces its
-own output -- exactly-once results from an at-least-once ``foreachBatch``.
+``start_files`` streams whole text files, one model a file, whose paths name
+the model.  A model that is delivered again -- under another path, in the same
+batch or a later one -- is scored once: the sink is keyed by the model, and a
+batch leaves out what earlier batches have scored (W10).
+
+``start_lines`` streams model lines from Parquet rows that carry the model
+keys.  Every model is written whole into one file -- ``write_models``
+co-locates a model's lines with ``repartition`` on its keys.
+
+A file is never split across micro-batches, so no state crosses batches: each
+batch is parsed, labelled and scored against the (static) expected models with
+the same operators as the batch path.  Each batch's result is written to
+``<sink>/batch_id=<n>`` with overwrite, so a replayed batch (after a lost
+executor or driver restart) replaces its own output -- exactly-once results
+from an at-least-once ``foreachBatch``.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmatch.operators import labels as L
 from flowmatch.operators import parse as P
+from flowmatch.operators import reshape as R
 from flowmatch.operators import score as S
 
 
 def score_batch(batch: DataFrame, key_cols: list[str], assign: DataFrame,
                 expected_counts: DataFrame, method: str = "dice") -> tuple[DataFrame, list[DataFrame]]:
-    """Parse one batch of (keys..., line_no, value) lines and score its models.
+    """Parse one batch of (keys..., line_no, value) lines or of (keys..., text)
+    models and score its models.
 
     ``assign`` (keys..., pattern, m1) names each model's expected model;
     ``expected_counts`` holds the label counts of the expected models.
     Returns the scores and the intermediates it persisted (counts and flags
     feed several branches); the caller unpersists them after writing."""
     model = F.struct(*[F.col(k) for k in key_cols])
-    lns = batch.select(model.alias("model_id"), "line_no", F.col("value").alias("line"))
+    if "text" in batch.columns:
+        lns = P.lines(batch.select(model.alias("model_id"), "text"))
+    else:
+        lns = batch.select(model.alias("model_id"), "line_no", F.col("value").alias("line"))
     models = lns.select("model_id").distinct()
     p = P.parse_lines(lns, models, number=False)
     counts = S.label_counts(L.model_labels(p["elements"], L.parsed_flows(p["flows"]))).persist()
@@ -52,23 +64,59 @@ def write_models(lines: DataFrame, path: str, key_cols: list[str], partition_by:
     dealt.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def start(spark: SparkSession, in_dir: str, schema: str, key_cols: list[str], assign: DataFrame,
-          expected_counts: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
-          fmt: str = "parquet"):
-    """Start the stream; returns the StreamingQuery.
+def _write_batch(out: DataFrame, held: list[DataFrame], sink: str, batch_id: int) -> None:
+    out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+    for d in held:
+        d.unpersist()
+
+
+def _started(src: DataFrame, each, checkpoint: str, available_now: bool):
+    w = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+def start_lines(spark: SparkSession, in_dir: str, schema: str, key_cols: list[str], assign: DataFrame,
+                expected_counts: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
+    """Start a stream of model lines in Parquet; returns the StreamingQuery.
 
     ``assign`` and ``expected_counts`` are static: pass them materialised
     (``session.cut_lineage``) so micro-batches do not recompute them."""
-    r = spark.readStream.schema(schema).option("basePath", in_dir)
-    src = r.text(in_dir) if fmt == "text" else r.parquet(in_dir)
+    src = spark.readStream.schema(schema).option("basePath", in_dir).parquet(in_dir)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         b = batch.persist()  # the batch feeds several branches of the plan
         out, held = score_batch(b, key_cols, assign, expected_counts)
-        out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-        for d in held + [b]:
-            d.unpersist()
+        _write_batch(out, held + [b], sink, batch_id)
 
-    w = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    return _started(src, each, checkpoint, available_now)
+
+
+def start_files(spark: SparkSession, in_dir: str, key_pattern: str, keys: dict[str, str], assign: DataFrame,
+                expected_counts: DataFrame, sink: str, checkpoint: str, glob: str = "*.txt", available_now: bool = True):
+    """Start a stream of whole text files below ``in_dir``, nested folders
+    included; returns the StreamingQuery.
+
+    ``key_pattern`` is a regular expression whose groups are, in order, the
+    model keys in a file's path, ``keys`` their names and types.  Files whose
+    path does not match are left out.  Of several files of one model the one
+    that came in the earlier batch counts, in one batch the one whose path
+    sorts first.  ``assign`` and ``expected_counts`` as in ``start_lines``."""
+    src = spark.readStream.text(in_dir, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        models = batch.where(F.regexp_like("path", F.lit(key_pattern)))
+        models = models.select(*[F.regexp_extract("path", key_pattern, i + 1).cast(t).alias(k) for i, (k, t) in enumerate(keys.items())], "path", "text")
+        models = models.groupBy(*keys).agg(F.min_by("text", "path").alias("text"))
+        try:  # the batch's own folder is there if it is replayed
+            done = spark.read.parquet(sink).where(F.col("batch_id") != batch_id)
+        except AnalysisException:  # nothing scored yet
+            done = None
+        if done is not None:
+            models = R.skip_done(models, done, list(keys))
+        models = models.persist()
+        out, held = score_batch(models, list(keys), assign, expected_counts)
+        _write_batch(out, held + [models], sink, batch_id)
+
+    return _started(src, each, checkpoint, available_now)

@@ -175,3 +175,11 @@ def test_deeply_nested_diagram(spark):
     out = J.loads(D.to_json(tr, dg).first().json)
     assert sorted(out) == sorted(["tasks", "events", "gateways", "pools", "sequenceFlows", "messageFlows"])
     assert len(out["pools"]) == 20 and out["events"] == [] and {p["lanes"][0]["name"] for p in out["pools"]} == {f"lane {i}" for i in range(20)}
+
+
+def test_chained_lines(spark):
+    text = "graph LR\n1:task:(a)-->|x|2:task:(b)-->3:task:(c)\nplain-->4:task:(d)-->words-->more\n5:task:(e)\nno-->thing\n"
+    models = spark.createDataFrame([("m", text)], "model_id string, text string")
+    rows = lambda **kw: [(r.id, r.sourceRef, r.targetRef, r.edge_label) for r in P.parse_models(models, **kw)["flows"].orderBy("edge_no").collect()]
+    assert rows() == [("sf0", "1", "2", "x"), ("sf1", None, "4", None), ("sf2", "5", None, None)]
+    assert rows(chain=True) == [("sf0", "1", "2", "x"), ("sf1", "2", "3", None), ("sf2", None, "4", None), ("sf3", "4", None, None), ("sf4", "5", None, None)]

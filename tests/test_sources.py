@@ -87,6 +87,64 @@ def test_csv_pattern_and_index(spark):
     assert [(r.idx, r.meaning, r.pattern) for r in rows] == [("0", 'one\n"two"', "AP8.1"), ("0", 'one\n"two"', "AP9")]
 
 
+def write(folder, name, text):
+    os.makedirs(os.path.dirname(os.path.join(folder, name)), exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        f.write(text)
+
+
+def test_csv_files_with_unlike_headers(spark):
+    d = tempfile.mkdtemp(prefix="fm-csv-")
+    write(d, "a/x.csv", "ids,similarity\n7,0.25\n8,NA\n")
+    write(d, "a/b/y.csv", "similarity,ids\n0.5,9\n")
+    write(d, "z-AP3-e.csv", ',"a ""b"", c",ids\n0,"two\nlines",11\nids,similarity,x\n')
+    write(d, "one.csv", "ids\n12\n")
+    write(d, "empty.csv", "")
+    write(d, "only.csv", "similarity,ids\n")
+    df = SM.read_result_csv(spark, d)
+    assert set(df.columns) == {"ids", "similarity", "idx", 'a "b", c', "pattern", "_file"}
+    got = sorted((r["ids"], r["similarity"], r["idx"], r['a "b", c'], r["pattern"], r["_file"]) for r in df.collect())
+    assert got == [("11", None, "0", "two\nlines", "AP3", "z-AP3-e.csv"), ("12", None, None, None, None, "one.csv"), ("7", "0.25", None, None, None, "x.csv"),
+                   ("8", None, None, None, None, "x.csv"), ("9", "0.5", None, None, None, "y.csv"), ("x", None, "ids", "similarity", "AP3", "z-AP3-e.csv")]
+    typed = SM.read_result_csv(spark, d, schema="ids string, similarity double, missing int")
+    assert sorted((r.ids, r.similarity, r.missing) for r in typed.where("similarity is not null").collect()) == [("7", 0.25, None), ("9", 0.5, None)]
+
+
+def test_csv_of_a_partitioned_sink(spark):
+    d = tempfile.mkdtemp(prefix="fm-csv-")
+    rows = [(i, "gpt" if i % 2 else "gemini", f"AP{i % 3}", f"m {i}") for i in range(12)]
+    SM.write_partitioned(spark.createDataFrame(rows, "idx int, provider string, pattern string, meaning string"), d + "/out", fmt="csv")
+    got = SM.read_result_csv(spark, d + "/out", schema="idx int, meaning string").collect()
+    assert sorted((r.idx, r.pattern, r.meaning) for r in got) == [(i, p, m) for i, _, p, m in rows]
+
+
+def test_rows_of_many_survey_files_are_numbered_in_order(spark):
+    d = tempfile.mkdtemp(prefix="fm-survey-")
+    expected = []
+    for k in range(7):
+        rows = [f"{k}.{i}" for i in range(k * 13 % 10)]
+        expected += rows
+        write(d, f"sheet-{k}.csv", "a,b\n" + "".join(f"{r},x\n" for r in rows))
+    df = SM.read_survey(spark, d, 0, 2)
+    assert "Window" not in df._jdf.queryExecution().toString()
+    got = sorted((r.ordinal, r.a) for r in df.collect())
+    assert got == list(enumerate(expected))
+    big = tempfile.mkdtemp(prefix="fm-survey-") + "/s.parquet"
+    spark.range(5000, numPartitions=6).selectExpr("id a", "id b").write.option("parquet.block.size", 4096).parquet(big)
+    got = SM.read_survey(spark, big, 0, 2).collect()
+    assert sorted(r.ordinal for r in got) == list(range(5000)) and all(r.ordinal == r.a for r in got)
+
+
+def test_repeated_cells_get_rows_of_their_own(spark):
+    rows = [(1, "A", "x", 3), (1, "A", "y", 2), (1, "B", "z", 1), (2, "A", None, 1), (1, "A", "w", 9)]
+    long = spark.createDataFrame(rows, "id int, pattern string, text string, turn int")
+    wide = R.pivot_results(long, "id", "pattern", "text", order="turn")
+    assert wide.columns == ["id", "occurrence", "A", "B"]
+    assert sorted(map(tuple, wide.collect())) == [(1, 0, "y", "z"), (1, 1, "x", None), (1, 2, "w", None), (2, 0, None, None)]
+    back = R.unpivot_wordings(wide, ["id"], ["A", "B"])
+    assert sorted((r.id, r.pattern, r.text) for r in back.collect()) == [(1, "A", "w"), (1, "A", "x"), (1, "A", "y"), (1, "B", "z")]
+
+
 def test_survey_to_prompt(spark):
     d = tempfile.mkdtemp(prefix="fm-survey-")
     cols = [f"c{i}" for i in range(6)] + [p for p, _, _ in R.RULEBASE]
@@ -144,6 +202,83 @@ def test_pacing_and_chunks(spark):
     assert len(out) == 20 and all(r.reply == r.p for r in out) and time.time() - t >= 0.05 * 19
 
 
+def test_rate_holds_over_all_tasks(spark):
+    import time
+    d = tempfile.mkdtemp(prefix="fm-rate-")
+
+    def client():
+        def call(prompt, system):
+            import uuid
+            with open(os.path.join(d, uuid.uuid4().hex), "w") as f:
+                f.write(repr(time.time()))
+            if prompt == "p3":
+                raise RuntimeError("busy")  # its repeats count as calls, too
+            return prompt
+        return call
+    df = spark.createDataFrame([(f"p{i}",) for i in range(24)], "p string")
+    out = G.batch_generate(df, "p", client, partitions=8, min_interval=0.2, retry_wait=0.0).collect()
+    assert sum(r.reply == r.p for r in out) == 23
+    at = sorted(float(open(os.path.join(d, f)).read()) for f in os.listdir(d))
+    assert len(at) == 26
+    for k in range(len(at)):  # calls in any second
+        assert sum(at[k] <= t < at[k] + 1.0 for t in at) <= 6
+
+
+def test_a_killed_task_loses_no_reply(spark):
+    d = tempfile.mkdtemp(prefix="fm-replies-")
+    calls = os.path.join(d, "calls")
+    os.makedirs(calls)
+
+    def client():
+        import uuid
+
+        def call(prompt, system):
+            if prompt == "p7" and not os.path.exists(os.path.join(d, "killed")):
+                open(os.path.join(d, "killed"), "w").close()
+                os._exit(1)
+            with open(os.path.join(calls, uuid.uuid4().hex), "w") as f:
+                f.write(prompt)
+            return prompt + "!"
+        return call
+    df = spark.createDataFrame([(f"p{i}",) for i in range(20)], "p string")
+    kw = {"partitions": 2, "min_interval": 0.0, "retry_wait": 0.0}
+    try:  # a local session gives a task one attempt
+        G.generate_to_table(df, "p", client, d + "/replies", **kw)
+    except Exception:
+        pass
+    else:
+        raise AssertionError("the worker was killed")
+    assert 0 < len(os.listdir(calls)) < 20
+    out = G.generate_to_table(df, "p", client, "file://" + d + "/replies", **kw)
+    assert {r.p: r.reply for r in out.collect()} == {f"p{i}": f"p{i}!" for i in range(20)}
+    asked = [open(os.path.join(calls, f)).read() for f in os.listdir(calls)]
+    assert sorted(asked) == sorted(f"p{i}" for i in range(20))  # none twice
+
+
+def test_another_attempt_of_a_task_asks_the_rest(monkeypatch):
+    """The task function itself, run again as Spark does after a lost executor."""
+    import pandas as pd
+    import pytest
+    d = tempfile.mkdtemp(prefix="fm-replies-")
+    asked = []
+
+    def make():
+        def call(prompt, system):
+            if prompt == "c" and "c" not in asked:
+                asked.append("c")
+                raise SystemExit  # the end of the worker
+            asked.append(prompt)
+            return prompt.upper()
+        return call
+    prompts = [pd.DataFrame({"prompt": ["a", "b"]}), pd.DataFrame({"prompt": ["c", "d"]})]
+    with pytest.raises(SystemExit):
+        list(G._run(make, "", 0.0, 0, 0.0, 1, d)(iter(prompts)))
+    assert sorted(G.ReplyLog(d, 0).answered) == ["a", "b"] and G.ReplyLog(d, 1).answered == set()
+    got = pd.concat(G._run(make, "", 0.0, 0, 0.0, 1, d)(iter(prompts)))
+    assert list(got["prompt"]) == ["c", "d"] and asked == ["a", "b", "c", "c", "d"]
+    assert len(os.listdir(d)) == 1 and G.ReplyLog(d, 0).answered == {"a", "b", "c", "d"}
+
+
 def test_prompts_go_to_their_provider(spark):
     def make(name):
         return lambda: lambda prompt, system: f"{name}:{prompt}"
