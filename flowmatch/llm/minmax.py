@@ -38,7 +38,7 @@ PERMUTATIONS = 120    # hash evaluations a shingle: twice as many signature valu
 PER_BAND = 3          # permutations of a band: six values
 LEADER_ROUNDS = 2     # comparisons with the least class of a bucket, before the rest is compared
 BLOCK = 256           # classes of a bucket's block
-PARTS = 1024          # parts of a class that many pairs share
+AT_FIRST = 4          # pairs of two components that a block hands on at first; eight times as many each further time
 ID_BITS = 1_048_573   # remainders that tell wanted doc_ids from most others
 PIECE = 1 << 20       # shingles that a task hashes at a time
 
@@ -95,14 +95,42 @@ def bitmap(items: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def most_common(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
-    """Upper bound of the intersection of sets of ``n`` and ``m`` hashes with the bitmaps ``x`` and ``y``."""
-    while len(x) > len(y):
-        x = x[:len(x) // 2] | x[len(x) // 2:]  # remainders of half the power of two
-    while len(y) > len(x):
-        y = y[:len(y) // 2] | y[len(y) // 2:]
-    x, y = x.view(np.uint64), y.view(np.uint64)
-    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap cut down to ``size`` bytes: the remainders of a smaller power of two."""
+    while len(bits) > size:
+        bits = bits[:len(bits) // 2] | bits[len(bits) // 2:]
+    return bits
+
+
+def most_common(n: int, bits: np.ndarray, others_n: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Upper bounds of the intersections of one set with others, by their bitmaps of one size (64-bit words)."""
+    mine = np.bitwise_count(bits & ~others).sum(axis=1, dtype=np.int64)
+    theirs = np.bitwise_count(others & ~bits).sum(axis=1, dtype=np.int64)
+    return np.minimum(n - mine, others_n - theirs)
+
+
+def possible_pairs(n: np.ndarray, root: np.ndarray, maps: list[bytes], side: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Places ``(a, b)`` of a block's sets whose roots differ and whose bitmaps
+    allow the similarity, and the similarity at most.  ``side`` is 0 or 1 for
+    pairs between two blocks, 2 for all pairs of one."""
+    size = np.array([len(m) for m in maps])
+    found: list[tuple] = []
+    for s in np.unique(size):
+        rows = np.flatnonzero(size >= s)
+        bits = np.stack([folded(np.frombuffer(maps[r], np.uint8), int(s)) for r in rows]).view(np.uint64)
+        for k in np.flatnonzero(size[rows] == s):
+            r = rows[k]
+            other = (root[rows] != root[r]) & ((size[rows] > s) | (rows > r)) & ((side[rows] != side[r]) | (side[r] == 2))
+            other &= (100 * n[rows] >= percent * n[r]) & (100 * n[r] >= percent * n[rows])
+            at = np.flatnonzero(other)
+            if len(at):
+                both = most_common(n[r], bits[k], n[rows[at]], bits[at])
+                union = n[r] + n[rows[at]] - both
+                hit = 100 * both >= percent * union
+                found.append((np.full(hit.sum(), r), rows[at][hit], (both / union)[hit]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -158,49 +186,86 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return rows.groupBy("set_key").agg(F.first("items").alias("items")).join(wanted, "set_key").select("node", "items")
 
 
-def _with_items(pairs: DataFrame, values: DataFrame, end: str, other: str) -> DataFrame:
-    """``pairs`` with the ``items`` that ``values(node, items)`` has for the
-    class ``end``.  A class that many pairs share is met in parts, so that no
-    task gets all its pairs."""
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64(other), F.lit(PARTS)))
-    met = pairs.select(end, "part").distinct().join(values.select(F.col("node").alias(end), F.col("items").alias(f"{end}_items")), end)
-    return pairs.join(met, [end, "part"]).drop("part")
+def _checked(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
+    """Those of ``pairs(a, b, n_a, n_b)`` for which ``test`` holds of n_a, n_b
+    and the ``items`` that ``values(node, items)`` has for a and b, checkpointed.
 
-
-def _with_both(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    return _with_items(_with_items(pairs, values, "a", "b"), values, "b", "a").select("a", "b", "n_a", "n_b", "a_items", "b_items")
-
-
-def _checked(test):
-    """A task function that keeps the pairs ``(a, b, n_a, n_b, a_items,
-    b_items)`` for which ``test`` of the latter four holds."""
+    A class that many pairs share skews the join on it: adaptive execution
+    splits the pairs, whose rows are narrow at that join."""
     def run(batches):
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            hit = pa.array([test(*row) for row in zip(*columns[2:])], pa.bool_())
+            hit = pa.array([test(*row) for row in zip(*(c.to_pylist() for c in batch.columns[2:]))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(hit) for k in range(4)], ["a", "b", "n_a", "n_b"])
-    return run
+
+    both = pairs.join(values.select(F.col("node").alias("a"), F.col("items").alias("of_a")), "a")
+    both = both.join(values.select(F.col("node").alias("b"), F.col("items").alias("of_b")), "b")
+    return kept(both.select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInArrow(run, "a long, b long, n_a long, n_b long"))
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b, n_a, n_b)`` that the bitmaps don't exclude, checkpointed."""
+    """Those of ``pairs`` that the bitmaps don't exclude."""
     def test(n, m, x, y):
-        most = most_common(np.frombuffer(x, np.uint8), n, np.frombuffer(y, np.uint8), m)
+        x, y = (np.frombuffer(v, np.uint8) for v in (x, y))
+        size = min(len(x), len(y))
+        most = int(most_common(n, folded(x, size).view(np.uint64), np.array([m]), folded(y, size).view(np.uint64)[None])[0])
         return 100 * most >= percent * (n + m - most)
 
-    both = _with_both(pairs, classes.select("node", F.col("bitmap").alias("items")))
-    return kept(both.mapInArrow(_checked(test), "a long, b long, n_a long, n_b long"))
+    return _checked(pairs, classes.select("node", F.col("bitmap").alias("items")), test)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b, n_a, n_b)`` whose whole sets have the similarity, as ``(u, v)``, checkpointed."""
-    def test(n, m, a, b):
-        x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose whole sets have the similarity, as ``(u, v)``."""
+    def test(n, m, x, y):
+        x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
         both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
         return 100 * both >= percent * (n + m - both)
 
-    both = _with_both(_possible(pairs, classes, percent), sets)
-    return kept(both.mapInArrow(_checked(test), "a long, b long, n_a long, n_b long").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return _checked(pairs, sets, test).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _between_components(members: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
+    """``(a, b, n_a, n_b, withheld)``: pairs of classes that share a bucket, lie
+    in different components and may be alike.  A bucket is compared in blocks;
+    of two components a block hands on the ``most`` likeliest pairs and says
+    how many it withholds (on each pair's row), checkpointed."""
+    blocks = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = members.join(blocks, "band").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+    rows = rows.withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    rows = rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
+    rows = rows.withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("block") == F.col("i"), 0).otherwise(1))
+    rows = rows.join(classes.select("node", "bitmap"), "node").select("band", "i", "j", "side", "node", "root", "n", "bitmap")
+    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def compare(group):
+        node, root, n = (group.column(c).to_numpy() for c in ("node", "root", "n"))
+        a, b, alike = possible_pairs(n, root, group.column("bitmap").to_pylist(), group.column("side").to_numpy(), percent)
+        if not len(a):
+            return None
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        order = np.lexsort([-alike, high, low])  # the likeliest first within two components
+        a, b, low, high = a[order], b[order], low[order], high[order]
+        first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
+        take = rank < most
+        a, b, withheld = a[take], b[take], int(len(take) - take.sum())
+        swap = node[a] > node[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], n[a], n[b], np.full(len(a), withheld))], ["a", "b", "n_a", "n_b", "withheld"])
+
+    def run(batches):
+        left = None  # the last group of a batch may go on in the next one
+        for batch in batches:
+            part = pa.Table.from_batches([batch] if left is None else [left, batch]).combine_chunks()
+            keys = np.stack([part.column(c).to_numpy() for c in ("band", "i", "j")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for at, to in zip([0, *cuts[:-1]], cuts):
+                if (out := compare(part.slice(at, to - at))) is not None:
+                    yield out
+            (left,) = part.slice(cuts[-1] if len(cuts) else 0).to_batches() or [None]
+        if left is not None and (out := compare(pa.Table.from_batches([left]))) is not None:
+            yield out
+
+    return kept(dealt.mapInArrow(run, "a long, b long, n_a long, n_b long, withheld long"))
 
 
 def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -226,21 +291,17 @@ def near_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) ->
         near = members.join(heads, "band").where(F.col("root") != F.col("head.root")).select(
             F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b")).where(alike)
         pairs = near.groupBy("b").agg(F.min(F.struct("a", "n_a", "n_b")).alias("p")).select("p.a", "b", "p.n_a", "p.n_b")
-        found = _confirmed(pairs, classes, sets, percent)
+        found = _confirmed(_possible(pairs, classes, percent), sets, percent)
         links = found if links is None else links.unionByName(found)
         members = kept(_rooted(members, links))
-    blocks = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = members.join(blocks, "band").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
-    rows = rows.withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    rows = rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-    end = lambda e: [F.col(c).alias(f"{to}_{e}") for c, to in (("root", "root"), ("n", "n"))] + [F.col("node").alias(e)]
-    left = rows.where("block = i").select("band", "i", "j", *end("a"))
-    right = rows.where("block = j").select("band", "i", "j", *end("b"))
-    pairs = left.join(right, ["band", "i", "j"]).where(alike & F.expr("root_a <> root_b and (i < j or a < b)"))
-    swap = F.col("a") > F.col("b")
-    pairs = pairs.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(to) for x, y, to in
-                           (("a", "b", "a"), ("b", "a", "b"), ("n_a", "n_b", "n_a"), ("n_b", "n_a", "n_b"))])
-    return links.unionByName(_confirmed(pairs.distinct(), classes, sets, percent))
+    most = AT_FIRST
+    while True:
+        pairs = _between_components(members, classes, percent, most)
+        links = links.unionByName(_confirmed(pairs.drop("withheld").distinct(), sets, percent))
+        if not pairs.agg(F.max("withheld")).first()[0]:
+            return links
+        # what was withheld is moot where a pair linked the two components; elsewhere more pairs come
+        members, most = kept(_rooted(members, links)), 8 * most
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -85,6 +85,7 @@ def test_every_document_as_brute_force(spark):
 
 def test_large_group_and_boilerplate_as_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minmax, "BLOCK", 16)  # several blocks a bucket
+    monkeypatch.setattr(minmax, "AT_FIRST", 1)  # several turns
     rows = near_copies(400)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert as_rows(minmax.near_duplicates(docs, words=2)) == sorted(brute(rows, 2, 80), key=str)
@@ -101,6 +102,31 @@ def test_edges(spark):
     assert empty.collect() == [] and empty.columns == ["doc_id", "n_shingles", "component_id", "kept"]
 
 
+def test_without_leader_rounds(spark, monkeypatch):
+    monkeypatch.setattr(minmax, "BLOCK", 8)
+    monkeypatch.setattr(minmax, "LEADER_ROUNDS", 1)
+    rows = near_copies(120, seed=8) + [(9000 + i, "one two three " * (i % 5 + 1)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_rows(minmax.near_duplicates(docs, words=2)) == sorted(brute(rows, 2, 80), key=str)
+
+
+def test_bitmaps_never_exclude_a_link():
+    rnd = np.random.default_rng(11)
+    for _ in range(300):
+        n = int(rnd.integers(1, 400))
+        pool = rnd.integers(0, 1 << 63, n + n // 3 + 1, np.uint64)
+        sets = [np.unique(pool[rnd.random(len(pool)) < rnd.random()]) for _ in range(6)]
+        sets = [s for s in sets if len(s)]
+        sizes, roots = np.array([len(s) for s in sets]), np.arange(len(sets))
+        a, b, most = minmax.possible_pairs(sizes, roots, [minmax.bitmap(s) for s in sets], np.full(len(sets), 2), 80)
+        got = {(min(i, j), max(i, j)): m for i, j, m in zip(a.tolist(), b.tolist(), most)}
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                alike = both / (len(sets[i]) + len(sets[j]) - both)
+                assert alike < 0.8 or got[j, i] >= alike
+
+
 @pytest.mark.parametrize("size,other", [(5, 4), (10, 8), (300, 240), (3000, 2400)])
 def test_agreement_is_the_similarity(size, other):
     """Minima and maxima agree as often as the sets are alike, and a pair at the threshold shares a band."""
