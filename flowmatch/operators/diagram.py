@@ -1,13 +1,12 @@
 """Nested diagram JSON -> six-list element tables.
 
 A diagram is a recursive ``shape`` (resourceId, stencil.id, properties.name /
-tasktype, outgoing[], target, childShapes[]).  It is flattened level by level:
-each level is parsed with ``from_json`` where ``childShapes`` is read as an
-array of JSON *strings*, and those strings are exploded into the next level,
-so recursion depth (not data size) decides the number of steps.  Only
-Diagram children and children of lanes inside pools are descended into, as
-the flattener does.  ``pos`` is the child-index path, whose order is the
-depth-first visiting order.
+tasktype, outgoing[], target, childShapes[]).  Its text is parsed once, to a
+VARIANT; a recursive query explodes the child shapes level by level, so
+recursion depth (not data size) decides the number of steps, and no JSON is
+written again.  Only Diagram children and children of lanes inside pools are
+descended into, as the flattener does.  ``pos`` is the child-index path, whose
+order is the depth-first visiting order.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmatch.functions.text import strip
-from flowmatch.session import checkpoint_dir
+from flowmatch.session import cut_lineage
 
 # Stencil id -> category (66 entries).
 STENCIL_CATEGORY = {
@@ -60,62 +59,58 @@ LIST_ORDER = ["tasks", "events", "gateways", "pools", "messageFlows", "sequenceF
 CATEGORY_LIST = {"Activities": "tasks", "Events": "events", "Gateways": "gateways", "Pools": "pools",
                  "Sequence Flows": "sequenceFlows", "Message Flows": "messageFlows"}
 
-SHAPE_SCHEMA = ("resourceId string, stencil struct<id: string>, "
-                "properties struct<name: string, tasktype: string>, "
-                "outgoing array<struct<resourceId: string>>, target struct<resourceId: string>, "
-                "childShapes array<string>")
-
-
 def stencil_map(spark: SparkSession) -> DataFrame:
     rows = list(STENCIL_CATEGORY.items())
     return spark.createDataFrame(rows, "stencil string, category string")
 
 
-def flatten_shapes(diagrams: DataFrame, id_col: str = "diagram_id", json_col: str = "json") -> DataFrame:
+def _lookup(stencil: str) -> str:
+    """SQL of the category of a stencil; the fixed map as a literal: a lookup, not a join."""
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in STENCIL_CATEGORY.items())
+    return f"element_at(map({pairs}), {stencil})"
+
+
+# children of the diagram and of pools (their lanes), and of lanes that sit in
+# a pool; other children are counted but not kept
+_FLATTEN = f"""
+WITH RECURSIVE shape(diagram_id, pos, parent_category, parent_lane, stencil, category, v) AS (
+    SELECT diagram_id, CAST(array() AS ARRAY<INT>), CAST(NULL AS STRING), CAST(NULL AS STRING), stencil, {_lookup("stencil")}, v
+    FROM (SELECT diagram_id, try_variant_get(v, '$.stencil.id', 'string') AS stencil, v
+          FROM (SELECT diagram_id, try_parse_json(json) AS v FROM {{diagrams}}))
+  UNION ALL
+    SELECT diagram_id, pos, parent_category, parent_lane, stencil, {_lookup("stencil")}, v
+    FROM (SELECT s.diagram_id, concat(s.pos, array(c.pos)) AS pos, s.category AS parent_category,
+                 CASE WHEN s.category = 'Lanes' THEN try_variant_get(s.v, '$.resourceId', 'string') END AS parent_lane,
+                 try_variant_get(c.value, '$.stencil.id', 'string') AS stencil, c.value AS v
+          FROM shape s, LATERAL variant_explode(try_variant_get(s.v, '$.childShapes', 'variant')) c
+          WHERE (s.category IN ('Diagram', 'Pools') OR (s.category = 'Lanes' AND s.parent_category = 'Pools')) AND c.key IS NULL)
+)
+SELECT diagram_id, pos, size(pos) AS depth, parent_category, parent_lane, stencil, category,
+       try_variant_get(v, '$.resourceId', 'string') AS resourceId,
+       try_variant_get(v, '$.properties.name', 'string') AS name_raw,
+       try_variant_get(v, '$.properties.tasktype', 'string') AS tasktype,
+       coalesce(transform(try_variant_get(v, '$.outgoing', 'array<struct<resourceId: string>>'), o -> o.resourceId), CAST(array() AS ARRAY<STRING>)) AS outgoing,
+       try_variant_get(v, '$.target.resourceId', 'string') AS target,
+       coalesce(size(try_variant_get(v, '$.childShapes', 'array<variant>')), 0) AS n_children
+FROM shape"""
+
+
+def flatten_shapes(diagrams: DataFrame, id_col: str = "diagram_id", json_col: str = "json", keep: bool = True) -> DataFrame:
     """B1/B2: every shape reached by the flattener, one row each:
     (diagram_id, pos array<int>, depth, parent_category, parent_lane, resourceId,
     stencil, category, name_raw, tasktype, outgoing array<string>, target,
-    n_children).  One round for each level of nesting, until nothing is left
-    to descend into; a level's text is written once, for the next round only."""
-    checkpoint_dir(diagrams.sparkSession)
-    # the fixed 66-entry stencil map as a literal map: a lookup, not a join
-    cat = F.create_map(*[F.lit(x) for kv in STENCIL_CATEGORY.items() for x in kv])
-    level = diagrams.select(F.col(id_col).alias("diagram_id"), F.array().cast("array<int>").alias("pos"),
-                            F.lit(None).cast("string").alias("parent_category"),
-                            F.lit(None).cast("string").alias("parent_lane"),
-                            F.col(json_col).alias("_js"))
-    out, depth = None, 0
-    while True:
-        s = level.withColumn("_s", F.from_json("_js", SHAPE_SCHEMA))
-        s = s.select("diagram_id", "pos", "parent_category", "parent_lane",
-                     F.col("_s.resourceId").alias("resourceId"), F.col("_s.stencil.id").alias("stencil"),
-                     F.col("_s.properties.name").alias("name_raw"),
-                     F.col("_s.properties.tasktype").alias("tasktype"),
-                     F.transform(F.coalesce(F.col("_s.outgoing"), F.array().cast("array<struct<resourceId:string>>")),
-                                 lambda o: o["resourceId"]).alias("outgoing"),
-                     F.col("_s.target.resourceId").alias("target"),
-                     F.coalesce(F.col("_s.childShapes"), F.array().cast("array<string>")).alias("children"),
-                     F.lit(depth).alias("depth"))
-        s = s.withColumns({"category": cat[F.col("stencil")], "n_children": F.size("children")})
-        # descend: children of the diagram and of pools (their lanes), and of
-        # lanes that sit in a pool; other children are counted but not kept
-        into = (F.col("category").isin("Diagram", "Pools")
-                | ((F.col("category") == "Lanes") & (F.col("parent_category") == "Pools")))
-        s = s.withColumn("children", F.when(into & (F.col("n_children") > 0), F.col("children")))
-        # each level is written to the shared checkpoint folder: lineage stays
-        # one level deep and a lost executor does not replay earlier levels
-        s = s.checkpoint(eager=True)
-        rows = s.drop("children")
-        out = rows if out is None else out.unionByName(rows)
-        go = s.where(F.col("children").isNotNull())
-        if go.isEmpty():
-            return out
-        nxt = go.select("diagram_id", "pos", F.col("category").alias("parent_category"),
-                        F.when(F.col("category") == "Lanes", F.col("resourceId")).alias("parent_lane"),
-                        F.posexplode("children").alias("_i", "_js"))
-        level = nxt.select("diagram_id", F.concat("pos", F.array(F.col("_i").cast("int"))).alias("pos"),
-                           "parent_category", "parent_lane", "_js")
-        depth += 1
+    n_children).
+
+    One plan for any depth of nesting; text that is no JSON gives one row
+    without a stencil.  The query runs again for every branch of a plan that
+    reads it, so with ``keep`` its result is written once to the checkpoint
+    folder; without it nothing runs before the action.  The session's limits
+    of recursion depth and rows are lifted: every level is whole."""
+    spark = diagrams.sparkSession
+    for limit in ("Level", "Row"):
+        spark.conf.set(f"spark.sql.cteRecursion{limit}Limit", "-1")
+    shapes = spark.sql(_FLATTEN, diagrams=diagrams.select(F.col(id_col).alias("diagram_id"), F.col(json_col).alias("json")))
+    return cut_lineage(shapes) if keep else shapes
 
 
 def elements(shapes: DataFrame) -> DataFrame:

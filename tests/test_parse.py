@@ -183,3 +183,28 @@ def test_chained_lines(spark):
     rows = lambda **kw: [(r.id, r.sourceRef, r.targetRef, r.edge_label) for r in P.parse_models(models, **kw)["flows"].orderBy("edge_no").collect()]
     assert rows() == [("sf0", "1", "2", "x"), ("sf1", None, "4", None), ("sf2", "5", None, None)]
     assert rows(chain=True) == [("sf0", "1", "2", "x"), ("sf1", "2", "3", None), ("sf2", None, "4", None), ("sf3", "4", None, None), ("sf4", "5", None, None)]
+
+
+def test_deep_diagrams_in_one_plan(spark):
+    import json
+
+    from flowmatch.operators import diagram as D
+
+    def nest(depth, n=0):
+        kind = "BPMNDiagram" if n == 0 else "Pool" if n % 2 else "Lane"
+        inner = [nest(depth - 1, n + 1), {"resourceId": f"t{n}", "stencil": {"id": "Task"}, "childShapes": [{"resourceId": "deeper"}]}] if depth else []
+        return {"resourceId": f"r{n}", "stencil": {"id": kind}, "properties": {"name": f"n{n}"}, "outgoing": [{"resourceId": f"o{n}"}], "childShapes": inner}
+    texts = [("a", json.dumps(nest(40))), ("b", json.dumps(nest(1))), ("c", "{broken"), ("d", None), ("e", "[]"),
+             ("f", '{"resourceId": 7, "stencil": {"id": "BPMNDiagram"}, "childShapes": {"a": 1}}')]
+    df = spark.createDataFrame(texts, "diagram_id string, json string")
+    shapes = D.flatten_shapes(df, keep=False)
+    plan = shapes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and "from_json" not in plan
+    rows = shapes.collect()
+    deep = {r.resourceId: r for r in rows if r.diagram_id == "a"}
+    assert len(deep) == 81 and deep["r40"].depth == 40 and list(deep["r40"].pos) == [0] * 40
+    assert deep["r39"].parent_category == "Lanes" and deep["r39"].parent_lane == "r38" and deep["t3"].n_children == 1
+    assert list(deep["r5"].outgoing) == ["o5"] and deep["t5"].name_raw is None and "deeper" not in deep
+    rest = {r.diagram_id: (r.resourceId, r.category, r.n_children) for r in rows if r.diagram_id in "cdef"}
+    assert rest == {"c": (None, None, 0), "d": (None, None, 0), "e": (None, None, 0), "f": ("7", "Diagram", 0)}
+    assert sorted(map(str, D.flatten_shapes(df).collect())) == sorted(map(str, rows))
