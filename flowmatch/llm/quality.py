@@ -10,6 +10,13 @@ and the part in the last two terms, the risk on negatives, cannot be below
 zero: where the sample's estimate falls below it, the step goes the other way
 (the non-negative unbiased estimate).  The scorer is linear in fixed measures
 of a text's bytes, words and lines, so scoring is one pass over the texts.
+
+The class prior is estimated from the same two samples, without negatives.
+Whatever a scorer, the unlabelled texts above a threshold hold at least the
+positives among them, so their share is at least the prior times the share of
+trusted positives there: the least ratio of the two shares over all thresholds
+bounds the prior from above, and is near it if some threshold leaves out most
+negatives.  A scorer fitted on one half of the samples is read on the other.
 """
 
 from __future__ import annotations
@@ -28,6 +35,7 @@ THRESHOLD = 0.3      # scores from here on are predicted good
 POSITIVES = 8_000    # most trusted positives that the fit uses
 UNLABELLED = 16_000  # most unlabelled texts that the fit uses
 STEPS, RATE, DECAY = 200, 0.05, 1e-3
+ROUNDS = 4           # fits that the prior is estimated by, each with the estimate before
 
 _PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
 N_FEATURES = len(_PUNCTUATION) + 13
@@ -89,6 +97,34 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, theta[:-1], float(theta[-1]), prior)
 
 
+def least_ratio(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Upper bound of the class prior from scores of both samples.  Each share
+    is allowed its sampling error, so thresholds that few texts reach, whose
+    ratio is left to chance, don't set the bound."""
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    p, u = np.sort(positive), np.sort(unlabelled)
+    at = np.unique(p)
+    above_p = 1 - np.searchsorted(p, at, "left") / len(p)
+    above_u = 1 - np.searchsorted(u, at, "left") / len(u)
+    error = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    best = np.argmin((above_u + error) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of good texts among the unlabelled: the mean of both ways to fit on
+    one half and read the other, repeated with what the last round gave."""
+    prior = 0.5
+    for _ in range(ROUNDS):
+        found = []
+        for half in (0, 1):
+            model = fit(positive[half::2], unlabelled[half::2], prior) if len(positive) > 1 and len(unlabelled) > 1 else fit(positive, unlabelled, prior)
+            found.append(least_ratio(model.score(positive[1 - half::2]), model.score(unlabelled[1 - half::2])))
+        prior = float(np.mean(found))
+    return prior
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether labels of a document are kept from the fit."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
@@ -98,16 +134,15 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """Fit on the documents whose labels aren't held out.
 
     ``labels(doc_id, quality, ...)``; a document is a trusted positive if all
-    its labels are 1, and the class prior is the share of such documents.
-    Both samples are the ids of least hash, ``positives`` and ``unlabelled`` at
-    most, so they are the same however the tables are stored.  Without trusted
-    positives or texts every score is the prior (one half without labels).
+    its labels are 1; other labels are not read.  The class prior is estimated
+    from the two samples.  Both are the ids of least hash, ``positives`` and
+    ``unlabelled`` at most, so they are the same however the tables are stored;
+    of an id with several texts one is taken by the order of its measures.
+    Without trusted positives or texts every score is one half.
     """
     ship_code(docs.sparkSession)
     marked = labels.where("doc_id is not null and quality is not null").where(~held_out())
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    prior = marked.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    prior = 0.5 if prior is None else min(max(prior, 0.01), 0.99)
     ids = docs.where("doc_id is not null").where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"))
 
     def least(df, n, positive):
@@ -123,12 +158,13 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
             measured = [features(t).astype("<f4").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(measured, pa.binary())], ["_id", "_positive", "_x"])
 
-    rows = rows.mapInArrow(run, "_id long, _positive boolean, _x binary").dropDuplicates(["_id", "_positive"]).orderBy("_id").toPandas()
+    rows = rows.mapInArrow(run, "_id long, _positive boolean, _x binary").groupBy("_id", "_positive").agg(F.min("_x").alias("_x"))
+    rows = rows.orderBy(F.xxhash64("_id"), "_id", "_positive").toPandas()
     x = np.frombuffer(b"".join(rows["_x"]), "<f4").reshape(-1, N_FEATURES).astype(np.float64)
     positive = rows["_positive"].to_numpy(bool)
     if not positive.any() or positive.all():
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), float(np.log(prior / (1 - prior))), prior)
-    return fit(x[positive], x[~positive], prior)
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.5)
+    return fit(x[positive], x[~positive], estimate_prior(x[positive], x[~positive]))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
