@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmatch.llm.common import constant, kept, ship_code, slots, text_or_empty
 
-CELLS = 1 << 16        # numbers that a round brings to the driver, for all open intervals together
+CELLS = 1 << 16        # most cells that a round brings to the driver, for all intervals together
+INTERVALS = 1 << 12    # most intervals that a round counts; further ones wait for the next
 PIECE_TOLERANCE = 0.1  # of a piece's bytes, for splitters inside a shard
 _BIAS = 1 << 63        # longs plus this are 0 .. 2**64 - 1, in the same order
 _TOP = 1 << 64
@@ -46,12 +47,14 @@ def splitters(sizes: DataFrame, targets: list[int], tolerances: list[int]) -> li
     found: dict[int, tuple[int, int]] = {}
     open_ = {k: _Open(t, e) for k, (t, e) in enumerate(zip(targets, tolerances))}
     while open_:
-        spans = sorted({o.interval() for o in open_.values()}, key=lambda x: (x[0] is not None, x))
-        bits = max(4, (CELLS // len(spans)).bit_length() - 1)
+        spans = sorted({o.interval() for o in open_.values()}, key=lambda x: (x[0] is not None, x))[:INTERVALS]
+        place = {span: k for k, span in enumerate(spans)}
+        bits = (CELLS // len(spans)).bit_length() - 1
         shift = [max(0, (high - low - 1).bit_length() - bits) for _, low, high in spans]
         cells = _counts(sizes, spans, shift, bits)
         for k, o in list(open_.items()):
-            at = spans.index(o.interval())
+            if (at := place.get(o.interval())) is None:
+                continue
             if (key := _narrow(o, cells.get(at, []), shift[at])) is not None:
                 found[k] = key
                 del open_[k]
@@ -131,7 +134,7 @@ def _narrow(o: _Open, cells: list, shift: int) -> tuple[int, int] | None:
     return boundary(o.high)
 
 
-def _piece(cuts: list[tuple[int, int]]) -> Column:
+def _piece(cuts: list[tuple[int, int]], hash_: str = "_hash", id_: str = "_id") -> Column:
     """How many of the sorted cuts are at or below a row's key, found in two
     steps over blocks of cuts."""
     if not cuts:
@@ -143,7 +146,7 @@ def _piece(cuts: list[tuple[int, int]]) -> Column:
         return constant([{"h": h, "i": i} for h, i in rows], "array<struct<h:bigint,i:bigint>>")
 
     def reached(rows):
-        return F.size(F.filter(rows, lambda c: (c["h"] < F.col("_hash")) | ((c["h"] == F.col("_hash")) & (c["i"] <= F.col("_id")))))
+        return F.size(F.filter(rows, lambda c: (c["h"] < F.col(hash_)) | ((c["h"] == F.col(hash_)) & (c["i"] <= F.col(id_)))))
 
     block = reached(literal(cuts[::step]))
     return F.when(block == 0, 0).otherwise((block - 1) * step + reached(F.slice(literal(cuts), (block - 1) * step + 1, step)))
@@ -157,15 +160,19 @@ def shards(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.002, pieces
     ``tolerance`` of a shard's share of the bytes of its target, or else as
     near as a whole row allows; rows with equal doc_id and text are one key.
     Equal texts share a shard unless a splitter has to cut their group, which
-    it does by doc_id.  A null doc_id sorts first; other columns stay, but ones
-    named like the three new columns are replaced.  With
+    it does by doc_id.  A null doc_id sorts first; other columns stay, whatever
+    their names, but ones named like the three new columns are replaced.  With
     fewer rows than shards some shards have no row; an empty table gives an
     empty result.  ``pieces`` of a shard: from the session's shuffle partitions.
     """
     text = text_or_empty()
-    keyed = docs.withColumns({"_hash": F.xxhash64(text), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-_BIAS).cast("long")),
-                              "_size": (F.octet_length(text) + 1).cast("long")})
-    sizes = kept(keyed.select("_hash", "_id", "_size"))
+    tag = "_"
+    while any(c.lower().startswith(tag) for c in docs.columns):
+        tag += "_"
+    hash_, id_, size, at, rank = (f"{tag}{c}" for c in ("hash", "id", "size", "piece", "rank"))
+    keyed = docs.withColumns({hash_: F.xxhash64(text), id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(-_BIAS).cast("long")),
+                              size: (F.octet_length(text) + 1).cast("long")})
+    sizes = kept(keyed.select(F.col(hash_).alias("_hash"), F.col(id_).alias("_id"), F.col(size).alias("_size")))
     total = sizes.agg(F.sum("_size")).first()[0] or 0
     pieces = pieces or max(1, -(-4 * slots(docs.sparkSession) // n_shards))
     n = n_shards * pieces
@@ -173,13 +180,12 @@ def shards(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.002, pieces
     cuts = splitters(sizes, [total * k // n for k in range(1, n)], near) if total else []
 
     # the one exchange; slots follow from the exact row counts of the pieces
-    piece = _piece(cuts)
-    counts = {r["p"]: r["n"] for r in sizes.groupBy(piece.alias("p")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["p"]: r["n"] for r in sizes.groupBy(_piece(cuts).alias("p")).agg(F.count("*").alias("n")).collect()}
     before = [0] * n
     for p in range(n):
         if p % pieces:
             before[p] = before[p - 1] + counts.get(p - 1, 0)
-    rows = keyed.withColumn("_piece", piece).withColumn("_rank", F.expr("row_number() over (partition by _piece order by _hash, _id) - 1"))
-    slot = F.element_at(constant(before, "array<bigint>"), F.col("_piece") + 1) + F.col("_rank")
-    return rows.withColumns({"size": F.col("_size"), "shard": F.floor(F.col("_piece") / pieces).cast("int"), "slot": slot}) \
-        .drop("_hash", "_id", "_size", "_piece", "_rank")
+    rows = keyed.withColumn(at, _piece(cuts, hash_, id_))
+    rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy(at).orderBy(hash_, id_)) - 1)
+    slot = F.element_at(constant(before, "array<bigint>"), F.col(at) + 1) + F.col(rank)
+    return rows.withColumns({"size": F.col(size), "shard": F.floor(F.col(at) / pieces).cast("int"), "slot": slot}).drop(hash_, id_, size, at, rank)

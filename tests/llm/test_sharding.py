@@ -1,6 +1,8 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from flowmatch.llm import sharding
 from flowmatch.llm.queries import QUERIES
 
@@ -46,9 +48,23 @@ def test_small_groups_stay_whole(spark):
 
 def test_edge_rows(spark):
     rows = [(1, None, 5), (2, "", 6), (None, "x", 7), (None, "x", 7), (3, "y" * 200000, 8), (3, "same", 9), (3, "same", 9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, rank int")
-    got = sharding.shards(docs).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rank int").withColumns({c: F.col("rank") for c in ("_id", "_Hash", "_size", "_piece", "__rank")})
+    found = sharding.shards(docs)
+    assert found.columns == docs.columns + ["size", "shard", "slot"]
+    got = found.collect()
+    assert all(r._id == r._Hash == r._size == r._piece == r["__rank"] == r.rank for r in got)
     assert len(got) == len(rows) and sorted(r.rank for r in got) == sorted(r[2] for r in rows)
     held(got)
     assert sharding.shards(docs.limit(0)).count() == 0
     assert {r.shard for r in sharding.shards(docs, n_shards=1).collect()} == {0}
+
+
+def test_many_splitters_in_turns(spark, monkeypatch):
+    """More open intervals than a round counts, and few cells for each."""
+    monkeypatch.setattr(sharding, "INTERVALS", 8)
+    monkeypatch.setattr(sharding, "CELLS", 32)
+    rnd = random.Random(3)
+    docs = spark.createDataFrame([(i, "z" * rnd.randrange(1, 90)) for i in range(3000)], "doc_id long, text string")
+    sizes = held(sharding.shards(docs, pieces=6).collect())
+    total = sum(sizes)
+    assert all(abs(s - total / 16) <= 0.004 * total / 16 + 200 for s in sizes)
