@@ -1,18 +1,19 @@
 """Benchmark decontamination by winnowing.
 
-Of every ``window - gram + 1`` successive ``gram``-word hashes the smallest is
-kept, on both sides.  Two texts that share ``window`` words in a row share all
-hashes of that span, so they keep the same one of them: every shared span of
-that length leaves at least one common fingerprint.  Fingerprints are joined,
-and each hit is extended word by word; spans of ``window`` words or more count.
+Of the ``window - gram + 1`` hashes of ``gram`` words in each window of
+``window`` words the smallest is kept, on both sides: it is the window's
+fingerprint.  Two texts that share ``window`` words in a row keep the same hash
+there, so every shared span of that length leaves a common fingerprint.
+Fingerprints are joined and extended: a join row also needs the digest of the
+whole window, so a phrase that many texts and items share, but no longer span,
+joins nothing, and one that they do share joins one row of the items' windows,
+however many items hold it.  Windows that overlap make up the spans.
 An item with fewer words has no such window: it is one fingerprint of all its
 words, looked up at every position.
 
-Each fingerprint carries the few words round it that an extension can need,
-so neither texts nor items are joined a second time.  Before the join, a
-bitmap of fixed size (``CELLS`` bits, filled from the items' fingerprints)
-drops document fingerprints that no item can have; it never drops a hit, and
-with many items it only lets more rows through to the join.
+Before the join, a bitmap of fixed size (``CELLS`` bits, filled from the items'
+fingerprints) drops document fingerprints that no item can have; it never drops
+a hit, and with many items it only lets more rows through to the join.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ WINDOW, GRAM = 10, 5
 CELLS = 1 << 20
 # ASCII other than digits and lower-case letters parts words; capitals are lowered.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_CANDIDATE = "struct<pos:int,len:int,h:bigint,gram:string,left:array<string>,right:array<string>>"
-_CANDIDATE_ARROW = pa.struct([("pos", pa.int32()), ("len", pa.int32()), ("h", pa.int64()), ("gram", pa.string()),
-                              ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))])
+_CANDIDATE = "struct<pos:int,len:int,h:bigint,span:binary>"
+_CANDIDATE_ARROW = pa.struct([("pos", pa.int32()), ("len", pa.int32()), ("h", pa.int64()), ("span", pa.binary())])
 
 
 def words(text: str) -> list[bytes]:
@@ -69,7 +69,7 @@ def _grams(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def selected(h: np.ndarray, room: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes that winnowing keeps.
+    """Start of every window and its fingerprint, the least of its hashes.
 
     ``h``: word hashes of several texts in a row; ``room``: how many words of
     its own text each word has from itself on.
@@ -78,11 +78,10 @@ def selected(h: np.ndarray, room: np.ndarray, window: int, gram: int) -> tuple[n
     at = np.flatnonzero(room >= window)
     if not len(at):
         return at, g[:0]
-    best = at.copy()
+    least = g[at]
     for j in range(1, window - gram + 1):
-        best = np.where(g[at + j] < g[best], at + j, best)
-    best = np.unique(best)
-    return best, g[best]
+        least = np.minimum(least, g[at + j])
+    return at, least
 
 
 def _fingerprint_rows(window: int, gram: int, lengths: list[int], cells: bytes | None, whole: bool):
@@ -110,22 +109,17 @@ def _fingerprint_rows(window: int, gram: int, lengths: list[int], cells: bytes |
         begin = np.cumsum(counts) - counts
         found: list[list] = [[] for _ in parts]
 
-        def add(at, keys, size, around):
+        def add(at, keys, size):
             keep = possible(keys)
             for p, key in zip(at[keep].tolist(), keys[keep].view(np.int64).tolist()):
-                text, first, last = of[p], begin[of[p]], begin[of[p]] + counts[of[p]]
-                found[text].append({
-                    "pos": p - first, "len": window if around else size, "h": key,
-                    "gram": b" ".join(flat[p:p + size]).decode("utf-8", "replace"),
-                    "left": [w.decode("utf-8", "replace") for w in flat[max(first, p - around):p][::-1]],
-                    "right": [w.decode("utf-8", "replace") for w in flat[p + size:min(last, p + size + around)]]})
-
-        add(*selected(h, room, window, gram), gram, window - gram)
+                found[of[p]].append({"pos": p - begin[of[p]], "len": size, "h": key, "span": xxhash.xxh3_128_digest(b" ".join(flat[p:p + size]))})
+
+        add(*selected(h, room, window, gram), window)
         for size in lengths:
             at = np.flatnonzero(room >= size)
             if whole:
                 at = at[(at == begin[of[at]]) & (counts[of[at]] == size)]
-            add(at, _grams(h, size)[at], size, 0)
+            add(at, _grams(h, size)[at], size)
         return counts.tolist(), found
 
     def run(batches):
@@ -143,16 +137,12 @@ def _fingerprint_rows(window: int, gram: int, lengths: list[int], cells: bytes |
 
 
 def _candidates(df: DataFrame, id_column: str, *how) -> DataFrame:
+    """``(id, content, n_words, found)``; the id keeps its type, ``content`` is a digest of the text."""
     ship_code(df.sparkSession)
-    rows = df.select(F.col(id_column).cast("long").alias("id"), text_or_empty().alias("text"))
-    rows = rows.select("id", "text", F.xxhash64("id", "text").alias("content"))
-    return rows.mapInArrow(_fingerprint_rows(*how), f"id long, content long, n_words long, found array<{_CANDIDATE}>")
-
-
-def _equal_run(a: str, b: str):
-    """How many leading words two lists share."""
-    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
-    return (F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1).cast("int")
+    rows = df.select(F.col(id_column).alias("id"), text_or_empty().alias("text"))
+    rows = rows.select("id", "text", F.md5("text").alias("content"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_fingerprint_rows(*how), f"id {kind}, content string, n_words long, found array<{_CANDIDATE}>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -162,18 +152,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     ``items(item_id, text, ...)`` is the benchmark.  ``spans``: word ranges
     [start, end) covered by occurrences of item windows (``window`` words in
     a row of an item; all words of a shorter one); ``items``: sorted item_ids
-    (as strings) that have such an occurrence; ``content``: a hash of doc_id
-    and text, for joining the decision back.  Null texts have no words, texts
-    and items without words hit nothing; null ids stay null and a null
-    item_id isn't named; repeated items count once, repeated documents stay
-    repeated.  Empty tables give no hits or no rows.
+    (as strings) that have such an occurrence; ``content``: a digest of the
+    text, for joining the decision back.  Ids may be of any type.  Null texts
+    have no words, texts and items without words hit nothing; null ids stay
+    null and a null item_id isn't named; repeated items count once, repeated
+    documents stay repeated.  Empty tables give no hits or no rows.
     """
-    # one row for each context, however many items hold it
     marks = kept(_candidates(items, "item_id", window, gram, list(range(1, window)), None, True)
-                 .select("id", F.inline("found")))
-    marks = marks.withColumn("mark", F.xxhash64("len", "gram", F.concat_ws(" ", "left"), F.lit("|"), F.concat_ws(" ", "right")))
-    contexts = marks.select("mark", "len", "h", "gram", F.col("left").alias("ileft"), F.col("right").alias("iright")).dropDuplicates(["mark"])
-    named = marks.where("id is not null").select("mark", F.col("id").cast("string").alias("item")).distinct()
+                 .select(F.col("id").cast("string").alias("item"), F.inline("found")))
+    # windows held by the same items are one class: a text names the items of a class once
+    holders = marks.groupBy("len", "h", "span").agg(F.sort_array(F.collect_set("item")).alias("held"))
+    holders = kept(holders.withColumn("class", F.md5(F.to_json("held"))))
+    windows = holders.select("len", "h", "span", "class")
+    named = holders.select("class", "held").dropDuplicates(["class"]).select("class", F.explode("held").alias("item"))
 
     # at most CELLS numbers and window - 1 lengths come to the driver
     cells = np.zeros(CELLS // 8, np.uint8)
@@ -183,11 +174,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 
     rows = _candidates(docs, "doc_id", window, gram, lengths, cells.tobytes(), False)
     rows = kept(rows.withColumn("row", F.monotonically_increasing_id()))
-    hits = rows.select("row", F.inline("found")).join(contexts, ["len", "h", "gram"])
-    run = {"l": _equal_run("left", "ileft"), "r": _equal_run("right", "iright"),
-           "size": F.when(F.col("len") < window, F.col("len")).otherwise(gram)}
-    hits = hits.select("row", "mark", "len", "pos", *[c.alias(k) for k, c in run.items()]).where("l + size + r >= len")
-    hits = kept(hits.select("row", "mark", (F.col("pos") - F.col("l")).alias("start"), F.expr("pos + size + r").alias("end")))
+    hits = rows.select("row", F.inline("found")).join(windows, ["len", "h", "span"])
+    hits = kept(hits.select("row", "class", F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("end")))
 
     spans = hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("raw"))
     merged = F.expr("""aggregate(raw, cast(array() as array<struct<start:int,end:int>>), (out, s) ->
@@ -195,7 +183,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
            concat(slice(out, 1, size(out) - 1), array(struct(element_at(out, -1).start as start, greatest(element_at(out, -1).end, s.end) as end))),
            concat(out, array(s))))""")
     spans = spans.select("row", merged.alias("spans"))
-    found = hits.select("row", "mark").distinct().join(named, "mark").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = hits.select("row", "class").distinct().join(named, "class").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
     out = rows.select("row", F.col("id").alias("doc_id"), "content", "n_words").join(spans, "row", "left").join(found, "row", "left")
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
     return out.select("doc_id", "content", "n_words", F.coalesce(n_hit, F.lit(0)).alias("n_hit"),
@@ -206,9 +194,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` without the contaminated rows; all columns stay."""
-    bad = contamination(docs.select("doc_id", "text"), items, window, gram).where("contaminated").select(F.col("content").alias("_content")).distinct()
-    content = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(bad, content == bad["_content"], "left_anti")
+    bad = contamination(docs.select("doc_id", "text"), items, window, gram).where("contaminated")
+    bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("content").alias("_bad_content")).distinct()
+    same = docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))) == bad["_bad_content"])
+    return docs.join(bad, same, "left_anti")
 
 
 def contamination_sql(window: int = WINDOW) -> str:

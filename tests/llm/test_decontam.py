@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowmatch.llm import decontam
 from flowmatch.llm.queries import ORACLES, QUERIES
@@ -86,3 +87,35 @@ def test_whole_table_against_sql(spark):
     name = "op10_benchmark_decontamination"
     problems, *_ = compare(spark, duck(SF), QUERIES[name], ORACLES[name], SF)
     assert not problems
+
+
+def test_common_phrases_join_nothing(spark, monkeypatch):
+    """Texts and items that share a phrase, but no window, are not joined at all."""
+    rnd = random.Random(6)
+    phrase = "the quick brown fox jumps over the lazy"
+    text = lambda: " ".join(f"v{rnd.randrange(10 ** 6)}" for _ in range(15)) + f" {phrase} " + " ".join(f"v{rnd.randrange(10 ** 6)}" for _ in range(15))
+    docs = spark.createDataFrame([(i, text()) for i in range(600)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, text()) for i in range(600)], "item_id long, text string")
+    kept, written = decontam.kept, []
+    monkeypatch.setattr(decontam, "kept", lambda df: written.append(kept(df)) or written[-1])
+    rows = decontam.contamination(docs, items).collect()
+    assert len(rows) == 600 and not any(r.contaminated for r in rows)
+    hits = written[-1]
+    assert hits.columns == ["row", "class", "start", "end"] and hits.count() == 0
+    # the phrase made long: every item's windows hit, one joined row a window of a text
+    long = phrase + " dog and then some more"
+    a = docs.withColumn("text", F.concat("text", F.lit(" " + long)))
+    b = items.withColumn("text", F.concat("text", F.lit(" " + long)))
+    rows = decontam.contamination(a, b).collect()
+    assert all(len(r["items"]) == 600 for r in rows)
+    extra = sum(r.n_hit - len(long.split()) for r in rows)  # a random word before the phrase that an item has, too
+    assert 0 <= extra < 6 and written[-1].count() == 600 * (len(long.split()) - 9) + extra
+
+
+def test_ids_of_any_type(spark):
+    words = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([("d-1", words), ("d-2", "other"), (None, words)], "doc_id string, text string")
+    items = spark.createDataFrame([("a,b", words), ("x", words)], "item_id string, text string")
+    rows = {r.doc_id: list(r["items"]) for r in decontam.contamination(docs, items).collect()}
+    assert rows == {"d-1": ["a,b", "x"], "d-2": [], None: ["a,b", "x"]}
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == ["d-2"]
