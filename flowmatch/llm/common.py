@@ -56,6 +56,12 @@ def constant(values: list, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), schema)
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret key of surrogates: the session's ``spark.flowmatch.surrogate.key``.
+    Sessions that set none, such as tests, share a public one."""
+    return spark.conf.get("spark.flowmatch.surrogate.key", None) or "no secret"
+
+
 def slots(spark: SparkSession) -> int:
     """Shuffle partitions the session asks for (the unit of layout choices)."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,8 +5,12 @@ type, drawn from a hash of a secret key, the entity and an attempt number: the
 same length and punctuation, letters for letters and digits for digits, a valid
 check digit where the type has one, names of the same gender and script.  The
 same entity has the same surrogate wherever it stands, whatever its case or
-punctuation, so coreference holds.  A name is an entity only behind a title
-or a known given name: a surname that stands alone stays.
+punctuation, so coreference holds.  A name is an entity behind a title or a
+known given name; a surname found so is followed through its text, where it
+stands alone, too.  Known given names and initials go round a circle that the
+key orders, so distinct ones stay distinct.  A value behind a word such as
+``password`` is a secret by its make-up (a digit, or capitals within), so that
+prose is left alone.
 
 Distinct entities must have distinct surrogates, and no surrogate may be
 another entity of the corpus.  All distinct entities are therefore gathered
@@ -19,6 +23,8 @@ computed on the row.
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import itertools
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +41,8 @@ FEMALE_CYRILLIC = "Анна Мария Елена Ольга Наталья Та
 MALE_TITLES = "Mr Sir Herr Señor Monsieur".split()
 FEMALE_TITLES = "Mrs Ms Miss Madam Frau Señora Señorita Madame Mme Mlle".split()
 OTHER_TITLES = "Dr Prof".split()
+# Capital words that make a place or an institution of a given name before them.
+PLACES = "Street St Road Rd Avenue Ave Lane Drive Boulevard Square Park Bridge River Lake Creek Bay Island Islands Mountain Mount Hill Hills Valley County City Town Village Station Airport Harbour Harbor University College School Hospital Church Cathedral Abbey Castle Hall House Tower Museum Library Prize Award Day Act Company Inc Ltd".split()
 # Syllables of made-up surnames.
 LATIN = "ba be bo da de do fa fe ga go ha he ja jo ka ke la le lo ma me mo na ne pa ra re ro sa se ta te".split()
 CYRILLIC = "ба бе бо да де до фа фе га го ха хе жа жо ка ке ла ле ло ма ме мо на не па ра ре ро са се та те".split()
@@ -45,6 +53,7 @@ _TITLE = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})"
 _GIVEN = rf"(?:{'|'.join(n for names in _KNOWN.values() for n in names)})"
 _WORD = r"\p{Lu}[\p{L}\p{M}'’-]{0,40}\p{Ll}"
 _INITIAL = r"\p{Lu}\."
+_SURNAME = rf"(?!(?:{'|'.join(PLACES)})(?!\p{{L}})){_WORD}"
 # IBAN lengths by country.
 _IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -54,24 +63,33 @@ _IBAN = "|".join([rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n
                   for n, c in _IBAN_LENGTHS.items()] + [r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"])
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
+# Digits, or a capital after a small letter, as generated secrets have them: "required" is none.
+_MADE_UP = r"(?=[A-Za-z+/_.~-]*+[0-9]|[A-Za-z]*?[a-z][A-Z])"
+# How the keys of well-known services begin.
+_TOKEN_HEAD = r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ(?=[A-Za-z0-9_-]{6,}\.eyJ))"
+_PEM_HEAD, _PEM_END = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", r"-----END [A-Z ]{0,30}PRIVATE KEY-----"
+_HEX = "[0-9A-Fa-f]{1,4}"
 GROWS_AFTER = 8  # attempts that a surrogate keeps its length
 # In order: at one place the first that matches names the type.  Each starts
 # with a check of the character before it, so no text is scanned twice.
 TYPES = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
-    ("secret", rf"{_SECRET}(?=[+/_.~-]*+[A-Za-z0-9])[A-Za-z0-9+/_.~-]{{6,}}"),  # not the dashes of a form to fill in
+    ("email", r"(?<![\p{L}0-9._%+-])[\p{L}0-9][\p{L}0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
+    ("pem", rf"(?<![A-Za-z0-9]){_PEM_HEAD}[A-Za-z0-9+/=\s]{{20,}}?{_PEM_END}"),
+    ("secret", rf"{_SECRET}{_MADE_UP}[A-Za-z0-9+/_.~-]{{6,}}"),  # neither prose nor the dashes of a form to fill in
+    ("token", rf"(?<![A-Za-z0-9]){_TOKEN_HEAD}[A-Za-z0-9_.-]{{10,}}[A-Za-z0-9](?![A-Za-z0-9])"),
     ("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})"),
     ("ip", rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])"),
-    ("card", r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7})(?![0-9A-Za-z-])"),
+    ("ipv6", rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{2,6}})(?![0-9A-Za-z:])"),
+    ("card", r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7})(?![0-9A-Za-z-])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("phone", r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\(?[0-9]{3}(?:\)[ .-]?|[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])"),
-    ("name", rf"(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})(?:{_TITLE}\.? (?:(?:{_WORD}|{_INITIAL}) ){{0,3}}{_WORD}|{_GIVEN} (?:{_INITIAL} ){{0,3}}(?:{_WORD} )?{_WORD})(?![\p{{L}}\p{{M}}])"),
+    ("name", rf"(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})(?:{_TITLE}\.? (?:(?:{_WORD}|{_INITIAL}) ){{0,3}}{_WORD}|{_GIVEN} (?:{_INITIAL} ){{0,3}}(?:{_SURNAME} )?{_SURNAME})(?![\p{{L}}\p{{M}}])"),
 ]
 # All types but secrets start where no ASCII letter or digit stands before: one
 # check for all of them passes over most places of a text.
 _STARTS = "|".join(f"(?:{p})" for name, p in TYPES if name != "secret")
-ANY = rf"(?<![0-9A-Za-z])(?=[0-9A-Za-z+(\p{{Lu}}])(?:{_STARTS})|(?=[aApPsStT])(?:{dict(TYPES)['secret']})"
+ANY = rf"(?<![0-9A-Za-z])(?=[0-9+(\p{{L}}-])(?:{_STARTS})|(?=[aApPsStT])(?:{dict(TYPES)['secret']})"
 
 
 def _let(value: Column, body) -> Column:
@@ -92,7 +110,7 @@ def _alike(text: Column, h: Column, hexadecimal: Column | None = None) -> Column
     """Digits for digits, letters for letters of the same case, the rest kept."""
     among = F.lit(26) if hexadecimal is None else F.when(hexadecimal, 6).otherwise(26)
     return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike("[0-9]"), _letter(48, 10, _byte(h, i))).when(
-        c.rlike("[a-z]"), _letter(97, among, _byte(h, i))).when(c.rlike("[A-Z]"), _letter(65, among, _byte(h, i))).otherwise(c)), "")
+        c.rlike(r"\p{Ll}"), _letter(97, among, _byte(h, i))).when(c.rlike(r"\p{Lu}"), _letter(65, among, _byte(h, i))).otherwise(c)), "")
 
 
 def _luhn(digits: Column, first: int) -> Column:
@@ -145,7 +163,7 @@ def _norms(e: Column) -> Column:
     string, or for a name one for each word that isn't a title, initial or known name."""
     value, kind = e["value"], e["type"]
     return F.when(kind == "name", F.filter(F.split(value, " "), lambda w: ~_is_title(w) & ~_is_given(w) & ~_is_initial(w))).otherwise(F.array(
-        F.when(kind == "email", F.lower(value)).when(kind == "secret", F.regexp_replace(value, rf"\A{_SECRET}", ""))
+        F.when(kind.isin("email", "ipv6"), F.lower(value)).when(kind == "secret", F.regexp_replace(value, rf"\A{_SECRET}", ""))
         .when(kind == "phone", F.substring(F.regexp_replace(value, r"\A\+[0-9]{1,3}(?=[ .(-])|[^0-9]", ""), -10, 10))
         .when(kind.isin("card", "ssn", "iban"), _compact(value)).otherwise(value)))
 
@@ -189,29 +207,49 @@ def _drawn(kind: Column, norm: Column, attempt: Column, key: str, h: Column) ->
     return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn)
             .when(kind == "iban", iban).when(kind == "ip", ip)
             .when(kind == "aws_key", F.concat(F.substring(norm, 1, 4), _alike(F.substring(norm, F.lit(5), n), h)))
-            .when(kind == "name", _syllables(norm, h, attempt))
+            .when(kind == "name", _syllables(norm, h, attempt)).when(kind == "ipv6", _alike(norm, h, F.lit(True)))
+            .when(kind == "token", _let(F.regexp_extract(norm, rf"\A{_TOKEN_HEAD}", 0), lambda head: F.concat(head, _alike(F.substring(norm, F.length(head) + 1, n), h))))
+            .when(kind == "pem", _let(F.regexp_extract(norm, rf"\A{_PEM_HEAD}", 0), lambda head: _let(F.regexp_extract(norm, rf"{_PEM_END}", 0), lambda end: F.concat(
+                head, _alike(F.substring(norm, F.length(head) + 1, n - F.length(head) - F.length(end)), h), end))))
             .otherwise(_alike(norm, h, norm.rlike(r"\A[0-9a-f]+\z"))))
 
 
+def _circle(values: list[str], key: str) -> list[str]:
+    """What follows each value on a circle in an order drawn by the key: distinct for distinct values, itself for none."""
+    order = sorted(values, key=lambda v: hmac.new(key.encode(), v.encode(), hashlib.sha256).digest())
+    after = dict(zip(order, order[1:] + order[:1]))
+    return [after[v] for v in values]
+
+
+def _core_of(kind: Column, norm: Column, attempts: Column, key: str) -> Column:
+    attempt = F.coalesce(F.element_at(attempts, F.concat(kind, F.lit(" "), norm)), F.lit(0))
+    return _let(attempt, lambda a: _core(kind, norm, a, key))
+
+
+def _followed(entities: Column, pieces: Column, attempts: Column, key: str) -> Column:
+    """``pieces`` of a text between its entities, with the surnames among these replaced where they stand alone."""
+    names = F.array_distinct(F.flatten(F.transform(F.filter(entities, lambda e: e["type"] == "name"), _norms)))
+
+    def replaced(piece, name):
+        alone = F.concat(F.lit(r"(?<![\p{L}\p{M}'’-])"), name, F.lit(r"(?![\p{L}\p{M}]|-\p{L})"))
+        return F.when(F.contains(piece, name), F.regexp_replace(piece, alone, _core_of(F.lit("name"), name, attempts, key))).otherwise(piece)
+    return F.when(F.size(names) > 0, F.transform(pieces, lambda p: F.aggregate(names, p, replaced))).otherwise(pieces)
+
+
 def _rendered(e: Column, attempts: Column, key: str) -> Column:
     """An entity's surrogate in the form that the entity has in the text."""
     value, kind = e["value"], e["type"]
-
-    def core_of(norm):
-        attempt = F.coalesce(F.element_at(attempts, F.concat(kind, F.lit(" "), norm)), F.lit(0))
-        return _let(attempt, lambda a: _core(kind, norm, a, key))
+    core_of = lambda norm: _core_of(kind, norm, attempts, key)
 
     def initial(w):  # another letter of its alphabet
-        latin, cyrillic = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
-        turned = [a[n:] + a[:n] for a in (latin, cyrillic) for n in [sum(key.encode()) % (len(a) - 1) + 1]]
-        return F.translate(w, latin + cyrillic, "".join(turned))
+        alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ")
+        return F.translate(w, "".join(alphabets), "".join("".join(_circle(list(a), key)) for a in alphabets))
 
     def word(w):
         out = F.when(_is_title(w), w).when(_is_initial(w), initial(w))
-        for names in _KNOWN.values():  # the next name of the list but some: distinct for distinct names
-            shift = sum(key.encode()) % (len(names) - 1) + 1
+        for names in _KNOWN.values():
             at = F.array_position(F.lit(names), w).cast("int")
-            out = out.when(w.isin(names), F.element_at(F.lit(names[shift:] + names[:shift]), at))
+            out = out.when(w.isin(names), F.element_at(F.lit(_circle(names, key)), at))
         return out.otherwise(core_of(w))
 
     def other(norm, core):
@@ -225,7 +263,7 @@ def _laid_out(value: Column, kind: Column, norm: Column, core: Column) -> Column
     """A surrogate in normal form with the case and punctuation of the value."""
     more, at = F.length(core) - F.length(norm), F.instr(value, "@") - 1
     piece = lambda i: F.substring(core, F.when(i > at, i + more).otherwise(i) + 1, F.when(i == at, more + 1).otherwise(1))
-    email = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(piece(i))).otherwise(piece(i))), "")
+    email = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(piece(i))).otherwise(piece(i))), "")
     # the k-th digit or letter from the end takes the k-th of the surrogate, the
     # first one also what the surrogate is longer; a country code before them stays
     k = lambda i: F.length(F.regexp_replace(F.substring(value, i + 1, F.length(value)), "[^0-9A-Z]", ""))
@@ -283,6 +321,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         rows = rows.withColumn("_pii_text", F.xxhash64("text")).join(of, "_pii_text", "left")
         attempts = F.coalesce("_pii_attempts", attempts)
     drawn = F.transform("_pii_entities", lambda e: F.when(e["ok"], _rendered(e, attempts, key)).otherwise(e["value"]))
-    whole = F.zip_with(F.split("text", ANY, -1), drawn, lambda s, e: F.concat(s, F.coalesce(e, F.lit(""))))
+    between = _followed(F.col("_pii_entities"), F.split("text", ANY, -1), attempts, key)
+    whole = F.zip_with(between, drawn, lambda s, e: F.concat(s, F.coalesce(e, F.lit(""))))
     text = F.when(F.size(F.filter("_pii_entities", lambda e: e["ok"])) > 0, F.array_join(whole, "")).otherwise(F.col("text"))
     return rows.withColumn("text", text).select(docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowmatch.llm import (bpe, cws, decontam, licenses, minmax, negatives, pii, quality, sharding, simhash, spelling, token_files,
                            unigram)
-from flowmatch.llm.common import documents
+from flowmatch.llm.common import documents, surrogate_key
 from flowmatch.session import checkpoint_dir
 from flowmatch.sources.tables import table
 
@@ -81,7 +81,7 @@ def op7(spark, sf_dir):
 
 @_query("op8_pii_surrogates")
 def op8(spark, sf_dir):
-    return pii.pseudonymise(documents(spark, sf_dir, "doc_id", "text"), key="corpus key")
+    return pii.pseudonymise(documents(spark, sf_dir, "doc_id", "text"), key=surrogate_key(spark))
 
 
 @_query("op9_histogram_sort_shards")
