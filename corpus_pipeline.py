@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from flowmatch.llm import bpe, decontam, pii, quality, simhash
-from flowmatch.llm.common import documents
+from flowmatch.llm.common import documents, surrogate_key
 from flowmatch.session import checkpoint_dir
 from flowmatch.sources.tables import table
 
@@ -32,7 +32,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced."""
-    return pii.pseudonymise(docs, key="corpus key")
+    return pii.pseudonymise(docs, key=surrogate_key(spark))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
