@@ -44,10 +44,12 @@ def provider_average(counts: DataFrame, provider: str, keys: list[str], digits:
 def approach_compare(comp: DataFrame, keys: list[str], approach: str, success: Column,
                      approaches: list[str]) -> DataFrame:
     """Successes per approach side by side, with subtotals and a grand
-    total from ``rollup`` (NULL key = total)."""
+    total from ``rollup``.  ``total_level`` tells a total from a NULL key: 0 for
+    a group, else the bits of the keys that are summed over, the last key's
+    being 1."""
     c = comp.withColumn("_ok", success.cast("int"))
     agg = [F.sum(F.when(F.col(approach) == a, F.col("_ok")).otherwise(0)).cast("long").alias(f"{a}_success")
            for a in approaches]
     agg += [F.sum(F.when(F.col(approach) == a, 1).otherwise(0)).cast("long").alias(f"{a}_n")
             for a in approaches]
-    return c.rollup(*keys).agg(*agg)
+    return c.rollup(*keys).agg(F.grouping_id(*keys).cast("int").alias("total_level"), *agg)

@@ -38,8 +38,8 @@ def score_select(method: str = "dice", digits: int = 6, p: str = "",
         out.append(f"CASE WHEN {ok} THEN {r(comp[a][0])} END AS {SCORE_NAMES[a]}")
         out.append(f"CASE WHEN {ok} THEN {r(comp[b][0])} END AS {SCORE_NAMES[b]}")
     any_w = " OR ".join(f"({p}n1_{c} > 0 AND {p}n2_{c} > 0)" for c in CATEGORIES)
-    all_m = " AND ".join(f"(NOT ({p}n1_{c} > 0 AND {p}n2_{c} > 0) OR 2 * {p}i_{c} = {p}n1_{c} + {p}n2_{c})"
-                         for c in CATEGORIES)
+    whole = {"precision": "{p}i_{c} = {p}n2_{c}", "recall": "{p}i_{c} = {p}n1_{c}"}.get(method, "2 * {p}i_{c} = {p}n1_{c} + {p}n2_{c}")
+    all_m = " AND ".join(f"(NOT ({p}n1_{c} > 0 AND {p}n2_{c} > 0) OR {whole.format(p=p, c=c)})" for c in CATEGORIES)
     out.append(f"(({ok}) AND ({any_w}) AND ({all_m})) AS is_exact")
     return ", ".join(out)
 

@@ -253,7 +253,7 @@ def q_provider_average(spark, sf_dir):
 
 
 @register("q_approach_compare", _ov_sql() + _DOC_ROWS + "," + _DOC_SIM + """
-SELECT provider, pattern,
+SELECT provider, pattern, CAST(grouping_id(provider, pattern) AS INTEGER) AS total_level,
        CAST(sum(CASE WHEN NOT mapping AND coalesce(similarity, 0.0) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS baseline_success,
        CAST(sum(CASE WHEN mapping AND coalesce(similarity, 0.0) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS meaning_success,
        CAST(sum(CASE WHEN NOT mapping THEN 1 ELSE 0 END) AS BIGINT) AS baseline_n,
@@ -474,3 +474,53 @@ def q_incremental_files(spark, sf_dir):
         q.awaitTermination()
     return (spark.read.parquet(f"{root}/out")
             .select("pattern", "user_id", "week", F.col("overall").alias("similarity")))
+
+
+def _trace_models(spark, sf_dir):
+    """Whole trace texts as candidates (pattern, user_id, week, model_id, text)
+    and each pattern's expected text under an id of its own."""
+    ev, tr, up, pairs = _expected_pairs(spark, sf_dir)
+    texts = T.trace_lines(ev).groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    texts = cut_lineage(texts.select("model_id.*", F.array_join(F.col("l")["line"], "\n").alias("text")))
+    cands = texts.join(up, "user_id").select("pattern", "user_id", "week", F.concat_ws("/", F.col("user_id").cast("string"), F.col("week").cast("string")).alias("model_id"), "text")
+    first = pairs.select("pattern", F.col("m1")["user_id"].alias("user_id"), F.col("m1")["week"].alias("week")).distinct()
+    expected = first.join(texts, ["user_id", "week"]).select("pattern", F.concat(F.lit("expected/"), "pattern").alias("model_id"), "text")
+    return ev, cands, expected
+
+
+@register("q_expected_scores", _EXP_SQL + "SELECT pattern, user_id, week, overall AS similarity, is_exact FROM sc")
+def q_expected_scores(spark, sf_dir):
+    """M7/W11 by its operator: whole model texts, parsed and scored against
+    the expected text of their pattern."""
+    _, cands, expected = _trace_models(spark, sf_dir)
+    return B.score_against_expected(cands, expected).select("pattern", "user_id", "week", "similarity", "is_exact")
+
+
+@register("q_meaning_scores", _EXP_SQL + """,
+mg AS (SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week,
+              CASE WHEN bool_or(event_type = 'error') THEN ' NA'
+                   WHEN NOT bool_or(event_type = 'purchase') THEN 'False' ELSE 'valid' END AS meaning
+       FROM events GROUP BY user_id, CAST(date_trunc('week', ts) AS DATE)),
+j AS (SELECT grid.pattern, grid.user_id, CAST(grid.ordinal AS INTEGER) AS ordinal, mg.meaning, sc.overall
+      FROM grid LEFT JOIN mg ON mg.user_id = grid.user_id AND CAST(datediff('day', (SELECT w0 FROM mw), mg.week) / 7 AS BIGINT) = grid.ordinal
+      LEFT JOIN sc ON sc.pattern = grid.pattern AND sc.user_id = grid.user_id AND CAST(datediff('day', (SELECT w0 FROM mw), sc.week) / 7 AS BIGINT) = grid.ordinal)
+SELECT pattern, user_id, ordinal, meaning,
+       last_value(CASE WHEN meaning IS NOT NULL THEN trim(meaning) <> 'NA' AND lower(trim(meaning)) <> 'false' END IGNORE NULLS) OVER w AS meaning_status,
+       last_value(CASE WHEN meaning IS NOT NULL THEN coalesce(overall, 0.0) END IGNORE NULLS) OVER w AS similarity
+FROM j WINDOW w AS (PARTITION BY pattern, user_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def q_meaning_scores(spark, sf_dir):
+    """M8/W7/W9 by its operator: a derive row for every user and week, its
+    meaning NULL in a week without events, joined to the score of its model;
+    such a week repeats the row before."""
+    ev, cands, expected = _trace_models(spark, sf_dir)
+    lo, n = _week_ordinal(ev)
+    ordinal = (F.datediff("week", F.lit(lo)) / 7).cast("int").alias("ordinal")
+    mg = (T.trace_events(ev).groupBy("user_id", "week")
+          .agg(F.when(F.bool_or(F.col("event_type") == "error"), " NA")
+               .when(~F.bool_or(F.col("event_type") == "purchase"), "False").otherwise("valid").alias("meaning")))
+    users = cands.select("user_id", "pattern").distinct()
+    grid = users.withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    derived = grid.join(mg.select("user_id", ordinal, "meaning"), ["user_id", "ordinal"], "left")
+    cands = cands.withColumn("ordinal", ordinal).drop("week")
+    out = B.score_meanings(derived, cands, expected, keys=("user_id", "pattern"), carry=True)
+    return out.select("pattern", "user_id", "ordinal", "meaning", "meaning_status", "similarity")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowmatch.operators import labels as L
+from flowmatch.operators import parse as P
 from flowmatch.operators import validate as V
 from flowmatch.plans import traces as T
 from flowmatch.plans.registry import register
@@ -74,6 +76,64 @@ def q_validate_status(spark, sf_dir):
                      "status", "n_errors", F.concat_ws("; ", "errors").alias("errors"))
 
 
+# One kind of finding for each remainder of the customer's key: the line that
+# holds it, and the rule and message that it must give.
+KINDS = {
+    0: ("5:task:(lonely)", "V1", "There are less nodes than allowed in line #6"),
+    1: ("plain-->4:endevent:((endevent))", "V2", "There is a node than violate predefined structure in line #6"),
+    2: ("|if|x:task:(x)-->4:endevent:((endevent))", "V3", "There is a node than violate predefined structure in line #6"),
+    3: ("1:task:(task Z)-->4:endevent:((endevent))", "V4", "Node #1 has multiple labels"),
+    4: ("1:task:(12)-->4:endevent:((endevent))", "V5", "Node #1 has no label"),
+    5: ("6:task:(a|b)-->4:endevent:((endevent))", "V6", "Node #6 violates the predefined rules"),
+    6: ("6:timerevent:((timerevent))-->4:endevent:((endevent))", "V7", "Type of node #6 is not coresponding to the predefined format."),
+    7: ("6:endevent:(endevent)-->4:endevent:((endevent))", "V8", "The syntax of node #6 is not coresponding to the predefined format."),
+    8: ("6:eventbasedgateway:{x}-->4:endevent:((endevent))", "V7", "Type of node #6 is not coresponding to the predefined format."),
+    9: ("6:inclusivegateway:{x}-->4:endevent:((endevent))", "V9", "Type of node #6 is not coresponding to the predefined format."),
+    10: ("6:exclusivegateway:(x)-->4:endevent:((endevent))", "V10", "The syntax of node #6 is not coresponding to the predefined format."),
+    11: ("6:subprocess:(x)-->4:endevent:((endevent))", "V11", "Nodetype subprocess is not defined"),
+    12: ("7:startevent:((startevent))-->4:endevent:((endevent))", "V12", "There are multiple start events in the model."),
+}
+FINE = """flowchart LR
+
+0:startevent:((startevent))-->1:task:(task A)
+1:task:-->2:exclusivegateway:{x}
+2:exclusivegateway:-->|yes|3:task:(task B)
+3:task:(task B)-->4:endevent:((endevent))"""
+_KIND_VALUES = ", ".join(f"({k}, '{rule}', '{message}')" for k, (_, rule, message) in KINDS.items())
+
+
+def _customer_models(spark, sf_dir):
+    line = F.element_at(F.create_map(*[x for k, v in KINDS.items() for x in (F.lit(k), F.lit(v[0]))]), (F.col("c_custkey") % 14).cast("int"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", line.alias("line"))
+    return c.select(F.col("c_custkey").alias("model_id"), F.concat_ws("\n", F.lit(FINE), "line").alias("text"))
+
+
+@register("q_validate_kinds", f"""
+SELECT c_custkey, rule, message FROM customer JOIN (VALUES {_KIND_VALUES}) k(k, rule, message) ON c_custkey % 14 = k""")
+def q_validate_kinds(spark, sf_dir):
+    """A whole model text for each customer with a finding of one
+    kind (by ``c_custkey % 14``; 13: none) after lines with a gateway, an edge
+    label, a repeated label and nodes that are named by id alone."""
+    f = V.validate_lines(P.lines(_customer_models(spark, sf_dir)))
+    return f.select(F.col("model_id").alias("c_custkey"), "rule", "message")
+
+
+@register("q_names_by_id", """
+WITH n AS (SELECT c_custkey, unnest(['0', '1', '2', '3', '4', '6', '7', 'sf0', 'zz']) AS id FROM customer)
+SELECT c_custkey, id, CASE WHEN id = '0' THEN 'start' WHEN id = '4' THEN 'end' WHEN id = '3' THEN 'task B'
+    WHEN id = '1' THEN CASE c_custkey % 14 WHEN 3 THEN 'task Z' WHEN 4 THEN '12' ELSE 'task A' END
+    WHEN id = '6' AND c_custkey % 14 = 5 THEN 'a|b' WHEN id = '6' AND c_custkey % 14 = 7 THEN 'end'
+    WHEN id = '7' AND c_custkey % 14 = 12 THEN 'start' ELSE '' END AS name FROM n""")
+def q_names_by_id(spark, sf_dir):
+    """Names of ids of every kind in the customers' models; an item
+    without a name and an id that no list has give ''."""
+    models = _customer_models(spark, sf_dir)
+    p = P.parse_models(models)
+    ids = models.select("model_id", F.explode(F.array(*[F.lit(i) for i in ("0", "1", "2", "3", "4", "6", "7", "sf0", "zz")])).alias("id"))
+    flows = p["flows"].select("model_id", F.lit("sequenceFlows").alias("list"), F.col("edge_no").alias("pos"), "id")
+    return L.names_by_id(p["elements"], flows, ids).select(F.col("model_id").alias("c_custkey"), "id", "name")
+
+
 @register("q_schema_check", """
 SELECT CAST(event_id AS VARCHAR) AS id, 'type' AS field, 'not in enum' AS problem
 FROM events WHERE event_type NOT IN ('signup', 'purchase')
