@@ -5,7 +5,9 @@ and version dots only) and mapped to the identifier of the first known licence
 sentence whose pattern it matches; other sentences have none.  The identifiers
 of a text, in order, are then matched against the rules in order: a rule is a
 sequence of identifiers, finds all its occurrences, and takes them away from
-the rules after it.  What no rule takes is reported as unmatched.
+the rules after it.  What no rule takes is reported as unmatched.  Between two
+sentences of a rule at most ``GAP`` others may stand: known sentences that are
+further apart belong to different notices.
 
 All of it works on one row at a time: no shuffle, no join.
 """
@@ -81,6 +83,18 @@ SENTENCES = [
     ("cc-by-4.0-ref", r"(.* )?licensed under (a )?(cc by|creative commons attribution) 4.0.*"),
     ("cc0", r".*(cc0 1.0|dedicated to the public domain).*"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("apache-2.0-title", r"(.* )?apache license version 2[.]0 january 2004.*"),
+    ("gpl-3.0-title", r"(.* )?gnu general public license version 3 29 june 2007.*"),
+    ("gpl-2.0-title", r"(.* )?gnu general public license version 2 june 1991.*"),
+    ("lgpl-3.0-title", r"(.* )?gnu lesser general public license version 3 29 june 2007.*"),
+    ("lgpl-2.1-title", r"(.* )?gnu lesser general public license version 2[.]1 february 1999.*"),
+    ("agpl-3.0-title", r"(.* )?gnu affero general public license version 3 19 november 2007.*"),
+    ("mpl-2.0-title", r"mozilla public license version 2[.]0.*"),
+    ("bsl-1.0-title", r"boost software license version 1[.]0 august 17th 2003.*"),
+    ("bsl-1.0-grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation.*"),
+    ("isc-grant", r"permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted provided that.*"),
+    ("isc-as-is", r"the software is provided as is and .* disclaims all warranties.*"),
+    ("isc-no-liability", r"in no event shall .* be liable for any special direct indirect or consequential damages.*"),
     ("rights", r"(.* )?all rights reserved"),
     ("copyright", r"copyright (c )?[0-9].*"),
     ("other-licence", r".*\b(licensed under|license agreement|terms of the license|public license)\b.*"),
@@ -101,6 +115,13 @@ RULES = [
     ("BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "as-is", "no-liability"]),
     ("BSD-2-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary"]),
+    *[(licence, [f"{licence.lower()}-title"]) for licence in ("Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0", "MPL-2.0")],
+    ("BSL-1.0", ["bsl-1.0-title", "bsl-1.0-grant"]),
+    ("BSL-1.0", ["bsl-1.0-title"]),
+    ("BSL-1.0", ["bsl-1.0-grant"]),
+    ("ISC", ["isc-grant", "isc-as-is", "isc-no-liability"]),
+    ("ISC", ["isc-grant", "isc-as-is"]),
+    ("ISC", ["isc-grant"]),
     ("MIT", ["mit-grant", "mit-notice", "as-is", "no-liability"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("Apache-2.0", ["apache-2.0-ref", "apache-2.0-comply", "apache-2.0-copy", "apache-2.0-asis", "apache-2.0-see"]),
@@ -142,6 +163,7 @@ SPDX_EACH = (r"SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+:-]+)"
              r"|\G(?!\A)(?:[ \t]+|[ \t]*\)[ \t)]*)(?:OR|AND|WITH|or|and|with)(?:[ \t]*\([ \t(]*|[ \t]+)([A-Za-z0-9.+:-]+)")
 SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
 CUT = r"[.!?:;][ \t\r\n]+|\n[ \t\r]*\n"
+GAP = 8  # other sentences that may stand between two of a rule
 COMMENT = r"(^|\n)[ \t]*(//+|#+|\*+|/\*+|;+|--+)[ \t]*"
 
 
@@ -164,10 +186,13 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace(text_or_empty(), COMMENT, "$1"), SPDX_EACH, ". SPDX License Identifier $1$2 . ")
     sentence = F.transform(F.split(text, CUT), lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9.,]+", " "), r"[.,]+( |$)", " ")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(sentence, lambda s: s != "").alias("sentences"))
-    rows = rows.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"),
-                       F.filter(F.transform("sentences", _spark_id), lambda s: s.isNotNull()).alias("sentence_ids"))
-    # "<a><b>": a rule's sequence is found as a piece of it, and blanked out
-    rows = rows.withColumn("_left", F.concat(F.lit(""), F.concat_ws("", F.transform("sentence_ids", lambda s: F.concat(F.lit("<"), s, F.lit(">"))))))
+    named = F.transform("sentences", lambda s, i: F.struct(_spark_id(s).alias("id"), i.alias("at")))
+    rows = rows.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.filter(named, lambda s: s["id"].isNotNull()).alias("_named"))
+    rows = rows.withColumn("sentence_ids", F.transform("_named", lambda s: s["id"]))
+    # "<a><b>~<c>": a rule's sequence is found as a piece of it, and blanked out; "~" where sentences are too far apart
+    far = lambda s, i: (i > 0) & (s["at"] - F.get("_named", i - 1)["at"] > GAP + 1)
+    rows = rows.withColumn("_left", F.concat(F.lit(""), F.concat_ws("", F.transform("_named", lambda s, i: F.concat(
+        F.when(far(s, i), "~").otherwise(""), F.lit("<"), s["id"], F.lit(">"))))))
     rules = constant([["".join(f"<{s}>" for s in sequence), licence] for licence, sequence in RULES], "array<array<string>>")
 
     def apply(done, rule):
@@ -197,8 +222,9 @@ def scan_sql(table: str = "documents") -> str:
     lambda s: trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.,]+', ' ', 'g'), '[.,]+( |$)', ' ', 'g'))), lambda s: s <> '') AS ss FROM {table}),
 marked AS (
   SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_sentences,
-    list_filter(list_transform(ss, lambda s: CASE WHEN NOT regexp_matches(s, {q(KEYWORDS)}) THEN NULL {cases} END), lambda s: s IS NOT NULL) AS sids FROM cut),
-named AS (SELECT *, array_to_string(list_transform(sids, lambda s: '<' || s || '>'), '') AS ids FROM marked),
+    list_filter(list_transform(ss, lambda s, i: {{'id': CASE WHEN NOT regexp_matches(s, {q(KEYWORDS)}) THEN NULL {cases} END, 'at': i}}), lambda x: x.id IS NOT NULL) AS found FROM cut),
+named AS (SELECT doc_id, n_sentences, list_transform(found, lambda x: x.id) AS sids, array_to_string(list_transform(found, lambda x, i:
+    CASE WHEN i > 1 AND x.at - found[i - 1].at > {GAP + 1} THEN '~' ELSE '' END || '<' || x.id || '>'), '') AS ids FROM marked),
 {', '.join(steps)}
 SELECT doc_id, n_sentences, array_to_string(sids, ',') AS sentence_ids,
   array_to_string(list_sort(list_distinct(list_filter([{', '.join(found)}], lambda f: f IS NOT NULL))), ',') AS licences,

@@ -26,6 +26,18 @@ CASES = [
     (8, "A licence to speak of, and a driver's license.", []), (None, "This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
     (9, "Redistribution and use in source and binary forms, with or without modification, are permitted. Redistributions of source code must retain "
         "the above copyright notice. Redistributions in binary form must reproduce the above copyright notice.", ["BSD-2-Clause"]),
+    (11, "Linux is free software. " + "Stir the soup. " * 200 + "You can redistribute it and/or modify it under the terms of the GNU General Public License as published. "
+         + "Stir the soup. " * 200 + "Version 3 of the License is old.", []),
+    (12, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+         "the Free Software Foundation, either version 3 of the License. Stir. And again. Then this program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.", ["GPL-3.0"]),
+    (13, "Copyright 2024 A\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+         "notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE. IN NO EVENT SHALL "
+         "THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES.", ["ISC"]),
+    (14, "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+         "accompanying documentation covered by this license (the \"Software\") to use it.", ["BSL-1.0"]),
+    (15, "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS", ["Apache-2.0"]),
+    (16, "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", ["GPL-3.0"]),
+    (17, "GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999\n\n", ["LGPL-2.1"]), (18, "Mozilla Public License Version 2.0\n====\n\n1. Definitions", ["MPL-2.0"]),
     (10, "plain words. " * 20000 + "Released under the MIT License.", ["MIT"]),
 ]
 
