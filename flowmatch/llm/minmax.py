@@ -15,7 +15,9 @@ Documents with equal sets are one class and only its representative is
 banded.  A bucket may hold a large share of all classes, so its pairs are not
 listed: every class is first held against the least class of its buckets, what
 links is contracted, and only classes of a bucket that are still apart are
-compared with each other, in blocks of a bounded size.  No bucket is cut short.
+compared with each other, in blocks of a bounded size that hand on the likeliest
+pairs of each component.  This goes on, with more pairs each time, until no
+block withholds one: no bucket is cut short.
 
 A class also keeps a bitmap of its shingles, four bits or more to a shingle.
 A bit that only one of two sets has stands for a shingle that the other lacks,
@@ -38,7 +40,7 @@ PERMUTATIONS = 120    # hash evaluations a shingle: twice as many signature valu
 PER_BAND = 3          # permutations of a band: six values
 LEADER_ROUNDS = 2     # comparisons with the least class of a bucket, before the rest is compared
 BLOCK = 256           # classes of a bucket's block
-AT_FIRST = 4          # pairs of two components that a block hands on at first; eight times as many each further time
+AT_FIRST = 2          # pairs of a component that a block hands on at first; eight times as many each further time
 ID_BITS = 1_048_573   # remainders that tell wanted doc_ids from most others
 PIECE = 1 << 20       # shingles that a task hashes at a time
 
@@ -226,8 +228,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _between_components(members: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
     """``(a, b, n_a, n_b, withheld)``: pairs of classes that share a bucket, lie
     in different components and may be alike.  A bucket is compared in blocks;
-    of two components a block hands on the ``most`` likeliest pairs and says
-    how many it withholds (on each pair's row), checkpointed."""
+    a block hands on the ``most`` likeliest pairs of each component, so never
+    more than it has rows times ``most``, and says how many it withholds (on
+    each pair's row), checkpointed."""
     blocks = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     rows = members.join(blocks, "band").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
     rows = rows.withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
@@ -241,13 +244,12 @@ def _between_components(members: DataFrame, classes: DataFrame, percent: int, mo
         a, b, alike = possible_pairs(n, root, group.column("bitmap").to_pylist(), group.column("side").to_numpy(), percent)
         if not len(a):
             return None
-        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-        order = np.lexsort([-alike, high, low])  # the likeliest first within two components
-        a, b, low, high = a[order], b[order], low[order], high[order]
-        first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
-        take = rank < most
-        a, b, withheld = a[take], b[take], int(len(take) - take.sum())
+        end, pair = np.r_[root[a], root[b]], np.tile(np.arange(len(a)), 2)
+        order = np.lexsort([np.tile(-alike, 2), end])  # of each component the likeliest first
+        first = np.flatnonzero(np.diff(end[order], prepend=end[order[0]] - 1))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+        take = np.unique(pair[order[rank < most]])
+        a, b, withheld = a[take], b[take], len(a) - len(take)
         swap = node[a] > node[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], n[a], n[b], np.full(len(a), withheld))], ["a", "b", "n_a", "n_b", "withheld"])
@@ -300,7 +302,7 @@ def near_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) ->
         links = links.unionByName(_confirmed(pairs.drop("withheld").distinct(), sets, percent))
         if not pairs.agg(F.max("withheld")).first()[0]:
             return links
-        # what was withheld is moot where a pair linked the two components; elsewhere more pairs come
+        # what was withheld is moot where the pairs linked the components; elsewhere more pairs come
         members, most = kept(_rooted(members, links)), 8 * most
 
 
