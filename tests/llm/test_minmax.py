@@ -10,6 +10,19 @@ from flowmatch.sources.tables import table
 SF = "/root/testdata/sf0.01"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(request):
+    """Small tables: many short jobs, each with as few tasks as still shuffle."""
+    if "spark" not in request.fixturenames:
+        yield
+        return
+    conf = request.getfixturevalue("spark").conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    conf.set("spark.sql.shuffle.partitions", before)
+
+
 def words_of(text):
     return (text or "").encode("utf-8").lower().split()
 
