@@ -13,8 +13,8 @@ shares no band with a probability of 5e-6, one at 0.85 with 1e-8.
 
 Documents with equal sets are one class and only its representative is
 banded.  A bucket may hold a large share of all classes, so its pairs are not
-listed: every class is first held against the least class of its buckets, what
-links is contracted, and only classes of a bucket that are still apart are
+listed: every class is first held against one class of its buckets, drawn anew
+each time, what links is contracted, and only classes of a bucket that are still apart are
 compared with each other, in blocks of a bounded size that hand on the likeliest
 pairs of each component.  This goes on, with more pairs each time, until no
 block withholds one: no bucket is cut short.
@@ -38,9 +38,9 @@ from flowmatch.llm.components import components
 
 PERMUTATIONS = 120    # hash evaluations a shingle: twice as many signature values
 PER_BAND = 3          # permutations of a band: six values
-LEADER_ROUNDS = 2     # comparisons with the least class of a bucket, before the rest is compared
-BLOCK = 256           # classes of a bucket's block
-AT_FIRST = 2          # pairs of a component that a block hands on at first; eight times as many each further time
+LEADER_ROUNDS = 3     # comparisons with one class of each bucket, before the rest is compared
+BLOCK = 4_096         # classes of a bucket's block
+AT_FIRST = 1          # pairs of a component that a block hands on at first; eight times as many each further time
 ID_BITS = 1_048_573   # remainders that tell wanted doc_ids from most others
 PIECE = 1 << 20       # shingles that a task hashes at a time
 
@@ -288,11 +288,14 @@ def near_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) ->
     sets = kept(_sets(docs, wanted, words))
     alike = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")  # else the sizes alone exclude it
     links = None
-    for _ in range(LEADER_ROUNDS):
-        heads = members.groupBy("band").agg(F.min(F.struct("node", "n", "root")).alias("head"))
+    for turn in range(LEADER_ROUNDS):
+        drawn = F.struct(F.xxhash64(F.lit(turn), "band", "node").alias("draw"), "node", "n", "root")
+        heads = members.groupBy("band").agg(F.min(drawn).alias("head"))
         near = members.join(heads, "band").where(F.col("root") != F.col("head.root")).select(
             F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b")).where(alike)
-        pairs = near.groupBy("b").agg(F.min(F.struct("a", "n_a", "n_b")).alias("p")).select("p.a", "b", "p.n_a", "p.n_b")
+        # of the classes drawn in a class's buckets one
+        one = F.min(F.struct(F.xxhash64(F.lit(turn), "a", "b").alias("draw"), "a", "n_a", "n_b")).alias("p")
+        pairs = near.groupBy("b").agg(one).select("p.a", "b", "p.n_a", "p.n_b")
         found = _confirmed(_possible(pairs, classes, percent), sets, percent)
         links = found if links is None else links.unionByName(found)
         members = kept(_rooted(members, links))
