@@ -208,3 +208,22 @@ def test_deep_diagrams_in_one_plan(spark):
     rest = {r.diagram_id: (r.resourceId, r.category, r.n_children) for r in rows if r.diagram_id in "cdef"}
     assert rest == {"c": (None, None, 0), "d": (None, None, 0), "e": (None, None, 0), "f": ("7", "Diagram", 0)}
     assert sorted(map(str, D.flatten_shapes(df).collect())) == sorted(map(str, rows))
+
+
+def test_lines_of_one_row_group_go_to_many_tasks(spark):
+    texts = spark.range(200).coalesce(1).select(F.col("id").alias("model_id"), F.lit("1:task:(a)-->2:endevent:((endevent))\nx").alias("text"))
+    lns = P.lines(texts)
+    tasks = lns.groupBy(F.spark_partition_id()).count().count()
+    assert tasks >= spark.sparkContext.defaultParallelism and lns.count() == 400
+
+
+def test_json_of_models_in_one_pass(spark):
+    """Lists in order of place, missing ones empty; the elements are aggregated once, not once a list."""
+    models = spark.createDataFrame([("m", "0:startevent:((startevent))-->7:task:(b)\n7:task:(b)-->3:task:(a)\n3:task:(a)-->9:exclusivegateway:{x}"), ("none", "no model")], "model_id string, text string")
+    p = P.parse_models(models)
+    out = P.model_json(p["elements"], p["flows"], models)
+    got = {r.model_id: r.json for r in out.collect()}
+    assert got["none"] == '{"tasks":[],"events":[],"gateways":[],"pools":[],"sequenceFlows":[],"messageFlows":[]}'
+    assert got["m"].startswith('{"tasks":[{"id":"7","name":"b","type":"User"},{"id":"3","name":"a","type":"User"}],"events":[{"id":"0"')
+    assert '"gateways":[{"id":"9","type":"Exclusive"}],"pools":[],"sequenceFlows":[{"id":"sf0","sourceRef":"0","targetRef":"7"}' in got["m"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 4
