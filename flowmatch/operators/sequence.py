@@ -44,21 +44,27 @@ def _linked_heads(heads: DataFrame, group_cols: list[str], coarser: Callable[[Co
 
 
 def with_successor(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                   payload_cols: list[str], bucket: Column, prefix: str = "next_",
+                   payload_cols: list[str], bucket: Column | None, prefix: str = "next_",
                    coarser: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Add ``<prefix><payload>`` columns holding the next row's payload.
 
     Returns ``(rows, heads)``: rows with successor columns (NULL for the last
     row of a group) and, per (group, bucket), the bucket head with
     ``is_first_bucket`` so callers can find each group's first row without
-    another window.
+    another window.  Without a bucket (None) a group is one bucket, in one
+    window: for groups that end up in one row anyway.
     """
     b = "_bucket"
     keys = group_cols + [b]
     # dealt once: the window and the heads below read the same exchange
-    d = df.withColumn(b, bucket).repartition(*keys)
     fields = order_cols + [c for c in payload_cols if c not in order_cols]
     rec = F.struct(*[F.col(c) for c in fields])
+    if bucket is None:
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        d = df.repartition(*group_cols).withColumns({"_nxt": F.lead(rec).over(w), "_first": F.lag(F.lit(1)).over(w).isNull()})
+        heads = d.where("_first").select(*group_cols, F.lit(True).alias("is_first_bucket"), *fields)
+        return d.select(*df.columns, *[F.col("_nxt")[c].alias(prefix + c) for c in payload_cols]), heads
+    d = df.withColumn(b, bucket).repartition(*keys)
     w_in = Window.partitionBy(*keys).orderBy(*order_cols)
     d = d.withColumns({"_nxt": F.lead(rec).over(w_in), "_first": F.lag(F.lit(1)).over(w_in).isNull()})
     heads = d.where("_first").select(*keys, rec.alias("_head"))

@@ -220,9 +220,9 @@ def q_model_json(spark, sf_dir):
     """One six-list JSON document per order (line items as tasks,
     consecutive line numbers as flows, the last to an end marker without a
     node); an order without items has six empty lists."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    succ, _ = with_successor(li, ["l_orderkey"], ["l_linenumber"], ["l_linenumber"],
-                             bucket=F.col("l_linenumber"))
+    # an order is dealt once: its lines, elements and flows stay together, as its document is one row
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey").distinct()
+    succ, _ = with_successor(li, ["l_orderkey"], ["l_linenumber"], ["l_linenumber"], bucket=None)
     nxt = F.coalesce(F.col("next_l_linenumber").cast("string"), F.lit("0"))
     lns = succ.select(F.col("l_orderkey").alias("model_id"), F.col("l_linenumber").alias("line_no"),
                       F.concat(F.col("l_linenumber").cast("string"), F.lit(":task:(item "),

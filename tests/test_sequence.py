@@ -53,3 +53,12 @@ def test_levels_of_buckets_change_nothing(spark):
     b, hb = with_successor(df, ["g"], ["o"], ["o"], bucket=F.floor(F.col("o") / 4), coarser=lambda x: F.floor(x / 7))
     key = lambda d: sorted(map(str, d.collect()))
     assert key(a) == key(b) and key(ha) == key(hb)
+
+
+def test_successor_without_buckets(spark):
+    df = spark.createDataFrame(_rows(), "g int, ts timestamp, id long, v string, x double")
+    one, first = with_successor(df, ["g"], ["ts", "id"], ["id", "v"], bucket=None)
+    two, heads = with_successor(df, ["g"], ["ts", "id"], ["id", "v"], bucket=F.date_trunc("hour", "ts"))
+    assert sorted(one.collect(), key=str) == sorted(two.collect(), key=str)
+    cols = ["g", "ts", "id", "v"]
+    assert sorted(first.select(*cols).collect(), key=str) == sorted(heads.where("is_first_bucket").select(*cols).collect(), key=str)
