@@ -14,7 +14,7 @@ from flowmatch.functions.text import strip
 from flowmatch.operators import labels as L
 from flowmatch.operators import parse as P
 from flowmatch.operators import score as S
-from flowmatch.session import bounded_broadcast
+from flowmatch.session import counted_broadcast, cut_lineage
 
 # The comparison settings of both batch comparisons.
 DEFAULT_METHOD = "dice"
@@ -35,14 +35,17 @@ def score_against_expected(cands: DataFrame, expected: DataFrame, key: str = "pa
     """Each candidate (key, model_id, text, ...) against the expected
     model (key, model_id, text) of its key.  Adds ``similarity`` (= overall;
     0 for unscorable pairs) and ``is_exact``.  With ``vectors`` (label, vector)
-    labels also match by cosine similarity from ``threshold`` on."""
-    exp = bounded_broadcast(expected.select(key, F.col("model_id").alias("m1")))
+    labels also match by cosine similarity from ``threshold`` on.  The expected
+    models are read and parsed on their own first; many candidates share them."""
+    expected = cut_lineage(expected.select(key, "model_id", "text"))
+    exp = counted_broadcast(expected.select(key, F.col("model_id").alias("m1")))
+    truth = counted_broadcast(cut_lineage(model_counts(expected)[0]))
     pairs = (cands.drop("text").withColumnRenamed("model_id", "m2").join(exp, key))
     models = (cands.select("model_id", "text")
               .unionByName(expected.select("model_id", "text")))
     counts, flags = model_counts(models)
     out = S.score_pairs(pairs, counts, method=method, pairs_unique=True, model_flags=flags,
-                        digits=digits, vectors=vectors, threshold=threshold)
+                        digits=digits, vectors=vectors, threshold=threshold, truth=truth)
     return (out.withColumnRenamed("overall", "similarity")
             .select(*[c for c in pairs.columns if c != "m1"], "similarity", "is_exact")
             .withColumnRenamed("m2", "model_id"))
