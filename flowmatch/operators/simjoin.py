@@ -10,7 +10,9 @@ triangle inequality of angles two cells whose pivots are further apart than
 their radii and the threshold's angle together hold no pair.  In what is left
 the products are summed a block of dimensions at a time: what the remaining
 dimensions can add is at most the product of the remaining norms, so most
-pairs are dropped before their product is whole.
+pairs are dropped before their product is whole.  Cells go to tasks in bundles:
+a row is copied once for each bundle that it may meet, not for each cell, and
+there are no more bundles than the slots ask for or ``BUNDLE`` forces.
 
 ``by_edits`` compares strings by ``1 - edits / longer length``.  A string is
 indexed by its rarest q-grams, as many as the allowed edits can destroy and one
@@ -31,7 +33,8 @@ from flowmatch.session import cut_lineage, ship_by_value
 
 PIVOTS = 64          # most cells, and most rows that come to the driver
 CELL_ROWS = 2_048    # rows for each further cell
-CHUNK = 4_096        # rows of a side that one task compares
+CHUNK = 4_096        # rows of a side that are compared at a time, and least rows of a bundle
+BUNDLE = 65_536      # most rows of a side that one task holds
 STEP = 16            # dimensions summed at a time
 
 Similarity = Callable[[DataFrame, DataFrame, float], DataFrame]
@@ -95,6 +98,25 @@ def _cells(df: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
     return df.mapInPandas(run, "label string, v array<double>, norm double, cell int, angle double")
 
 
+def _bundles(rows: dict[int, int], between: np.ndarray, most: int) -> dict[int, list[int]]:
+    """The bundles of each cell: cells near each other fill one of ``most`` rows
+    together, a larger cell is dealt over several of its own."""
+    out, bundle, filled = {}, -1, most
+    left, at = dict(rows), None
+    while left:
+        at = min(left, key=lambda c: (0 if at is None else between[at, c], c))
+        n = left.pop(at)
+        if n > most:
+            parts = math.ceil(n / most)
+            out[at] = list(range(bundle + 1, bundle + 1 + parts))
+            bundle, filled = bundle + parts, most
+            continue
+        if filled + n > most:
+            bundle, filled = bundle + 1, 0
+        out[at], filled = [bundle], filled + n
+    return out
+
+
 def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """``(l1, l2, score, scored)`` of all pairs of ``left(label, vector)`` and
     ``right(label, vector)`` with a cosine of at least ``threshold`` (> -1).
@@ -115,19 +137,35 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
               for side in (left, right)]
     between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-    chunks = lambda n: math.ceil(n / CHUNK)
-    met = [(i, j, chunks(n), chunks(m)) for i, (a, n) in radius[0].items() for j, (b, m) in radius[1].items() if between[i, j] <= a + b + reach]
-    met = spark.createDataFrame(met, "i int, j int, n_i int, n_j int")  # PIVOTS x PIVOTS rows at most
-    deal = lambda n: F.pmod(F.xxhash64("label"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = left.join(F.broadcast(met), F.col("cell") == F.col("i")).withColumn("p", deal("n_i")).withColumn("q", every("n_j"))
-    two = right.join(F.broadcast(met.toDF(*met.columns)), F.col("cell") == F.col("j")).withColumn("q", deal("n_j")).withColumn("p", every("n_i"))
+    met = {(i, j) for i, (a, _) in radius[0].items() for j, (b, _) in radius[1].items() if between[i, j] <= a + b + reach}
+    wanted = math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism))  # bundles of a side, for enough tasks
+    rows_of = [{c: n for c, (_, n) in side.items()} for side in radius]
+    bundles = [_bundles(of, between, max(CHUNK, min(BUNDLE, math.ceil(sum(of.values()) / wanted)))) for of in rows_of]
+    meets = sorted({(g, h) for i, j in met for g in bundles[0][i] for h in bundles[1][j]})
+    dealt = []
+    for side, of, (mine, other) in zip((left, right), bundles, (("p", "q"), ("q", "p"))):
+        parts = spark.createDataFrame([(c, len(b), b) for c, b in of.items()], "cell int, n int, parts array<int>")  # a row for each cell
+        pairs = spark.createDataFrame(meets, "p int, q int").groupBy(mine).agg(F.collect_list(other).alias("others"))  # a row for each bundle
+        mined = side.join(F.broadcast(parts), "cell").withColumn(mine, F.get("parts", F.pmod(F.xxhash64("label"), F.col("n")).cast("int")))
+        dealt.append(mined.join(F.broadcast(pairs), mine).select("label", "v", "norm", "cell", mine, F.explode("others").alias(other)))
+    one, two = dealt
 
     def compare(a, b):
         empty = pd.DataFrame({"l1": pd.Series(dtype=str), "l2": pd.Series(dtype=str), "score": pd.Series(dtype=float), "scored": pd.Series(dtype="int64")})
         if not len(a) or not len(b):
             return empty
-        i, j, scored = near_products(_matrix(a, width), _matrix(b, width), threshold)
+        x, y = _matrix(a, width), _matrix(b, width)
+        cell_a, cell_b = a["cell"].to_numpy(), b["cell"].to_numpy()
+        found, scored = [], 0
+        for g in np.unique(cell_a):
+            mine, others = np.flatnonzero(cell_a == g), np.flatnonzero(np.isin(cell_b, [h for k, h in met if k == g]))
+            for r in range(0, len(mine), CHUNK):
+                for s in range(0, len(others), CHUNK):
+                    m, o = mine[r:r + CHUNK], others[s:s + CHUNK]
+                    near_i, near_j, n = near_products(x[m], y[o], threshold)
+                    found.append((m[near_i], o[near_j]))
+                    scored += n
+        i, j = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
         score = np.empty(len(i))
         for k, (r, s) in enumerate(zip(i, j)):  # the pairs found, summed from left to right as ``cosine`` does
             x, y = a["v"].iat[r], b["v"].iat[s]
@@ -136,7 +174,7 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
         hit = score >= threshold
         return pd.DataFrame({"l1": a["label"].to_numpy()[i[hit]], "l2": b["label"].to_numpy()[j[hit]], "score": score[hit], "scored": scored}) if hit.any() else empty
 
-    keys = ["i", "j", "p", "q"]
+    keys = ["p", "q"]
     return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(compare, "l1 string, l2 string, score double, scored long")
 
 

@@ -137,3 +137,18 @@ def test_labels_are_encoded_once_over_two_runs(spark):
     assert sorted(asked) == sorted(f"label {i}" for i in range(50))
     n = len(os.listdir(calls))
     assert encode_labels(first, encoder, d + "/store", label="name").count() == 30 and len(os.listdir(calls)) == n
+
+
+def test_rows_are_copied_once_a_bundle(spark, monkeypatch):
+    """Cells that all meet: a row goes to each bundle, not to each cell and chunk of it."""
+    monkeypatch.setattr(J, "CELL_ROWS", 20)
+    monkeypatch.setattr(J, "CHUNK", 10)
+    x = np.random.default_rng(5).normal(size=(400, 8))
+    df = spark.createDataFrame([(str(i), [float(z) for z in v]) for i, v in enumerate(x)], "label string, vector array<double>")
+    got = J.cosine_join(df, df, 0.6)
+    assert {(int(r.l1), int(r.l2)) for r in got.collect()} == brute_cosine(x, x, 0.6)
+    bundles = J._bundles({c: 20 for c in range(20)}, np.zeros((20, 20)), 100)
+    assert sorted(b for b, in bundles.values()) == sorted([0, 1, 2, 3] * 5)
+    assert sorted(map(len, J._bundles({0: 30, 1: 250, 2: 40}, np.zeros((3, 3)), 100).values())) == [1, 1, 3]
+    split = got._jdf.queryExecution().analyzed().toString()
+    assert split.count("explode(others") == 2  # one copy for each bundle that a row's own may meet
