@@ -141,6 +141,18 @@ dr AS (
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
+def _doc_status(spark, sf_dir):
+    """The rows of ``_doc_rows`` with the gate in the place of the meaning: texts
+    are gated where they are read, only the result is joined."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", B.meaning_ok(F.col("text")).alias("_ok"))
+    status = (F.when(F.col("quality").isNull(), F.lit(None).cast("boolean"))
+              .when(F.col("quality") == 0, B.meaning_ok(F.lit("NA\n"))).when(F.col("toxic") == 1, B.meaning_ok(F.lit("\tFalse\n")))
+              .otherwise(F.col("_ok")))
+    return d.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
+        "doc_id", F.col("source").alias("provider"), F.col("lang").alias("pattern"), (F.col("quality") == 1).alias("mapping"),
+        (F.col("toxic") == 0).alias("epap"), status.alias("meaning_status"))
+
+
 def _doc_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     lab = table(spark, sf_dir, "labels")
@@ -175,16 +187,15 @@ comp AS (
 
 def _doc_comp(spark, sf_dir):
     """Compare rows: gate plus the best overlap score of the document."""
-    d = _doc_rows(spark, sf_dir)
+    d = _doc_status(spark, sf_dir)
     # whether a score is 1 is decided on its integers, never on a rounded number
     best = doc_overlap(spark, sf_dir).groupBy("doc_id").agg(
         F.max("dice").alias("_sim"), F.bool_or(2 * F.col("i") == F.col("n1") + F.col("n2")).alias("_exact"))
     d = d.join(best, "doc_id", "left")
-    return d.select("doc_id", "provider", "pattern", "mapping", "epap", "meaning",
-                    B.meaning_ok(F.col("meaning")).alias("meaning_status"),
-                    F.when(F.col("meaning").isNull(), F.lit(None).cast("double"))
-                    .otherwise(F.coalesce("_sim", F.lit(0.0))).alias("similarity"),
-                    F.when(F.col("meaning").isNotNull(), F.coalesce("_exact", F.lit(False))).alias("is_exact"))
+    meant = F.col("meaning_status").isNotNull()  # the gate is NULL for no meaning, and for nothing else
+    return d.select("doc_id", "provider", "pattern", "mapping", "epap", "meaning_status",
+                    F.when(meant, F.coalesce("_sim", F.lit(0.0))).alias("similarity"),
+                    F.when(meant, F.coalesce("_exact", F.lit(False))).alias("is_exact"))
 
 
 def _ov_sql():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowmatch.operators import listsim as LS
 from flowmatch.plans.registry import register
-from flowmatch.session import bounded_broadcast, spread
+from flowmatch.session import counted_broadcast, cut_lineage, spread
 from flowmatch.sources.tables import table
 
 # Fixed values of the test set-up: vectors per model (two halves of 8), the
@@ -207,10 +207,11 @@ def doc_overlap(spark, sf_dir):
     raw = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     docs = raw.select("doc_id", words(F.col("text")).alias("w"))
     items = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("w"))
-    ig = bounded_broadcast(grams(items, "item_id").distinct())
-    cand = grams(docs, "doc_id").join(ig, ["g1", "g2"]).select("doc_id", "item_id").distinct()
+    # few grams of items and few candidates beside the documents: no text or gram of a document is shuffled for them
+    ig = counted_broadcast(cut_lineage(grams(items, "item_id").distinct()))
+    cand = cut_lineage(grams(docs, "doc_id").join(ig, ["g1", "g2"]).select("doc_id", "item_id").distinct())
     # words of candidate documents only: the semi join runs on the raw text
-    dwc = (raw.join(cand.select("doc_id").distinct(), "doc_id", "left_semi")
+    dwc = (raw.join(counted_broadcast(cand.select("doc_id").distinct(), 1 << 20), "doc_id", "left_semi")
            .select(F.col("doc_id").alias("model_id"), F.explode(words(F.col("text"))).alias("label"))
            .groupBy("model_id", "label").agg(F.count(F.lit(1)).alias("cnt")))
     iwc = (items.select(F.col("item_id").alias("model_id"), F.explode("w").alias("label"))
