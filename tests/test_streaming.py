@@ -54,3 +54,14 @@ def test_files_in_batches_equal_the_batch_result(spark):
     batch = spark.createDataFrame([(p, "AP6", i, t) for p, i, t in texts], "provider string, pattern string, ordinal int, text string")
     whole, _ = X.score_batch(batch, list(KEYS), assign, counts)
     assert sorted((r.provider, r.ordinal, round(r.overall, 6)) for r in whole.collect()) == sorted(r[:3] for r in rows)
+
+
+def test_small_files_are_read_many_in_a_task(spark, monkeypatch):
+    """The stream starts with settings for small files; the session has its own again after."""
+    names = ("spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    before, seen = [spark.conf.get(n) for n in names], []
+    monkeypatch.setattr(X, "_started", lambda *_: seen.extend(spark.conf.get(n) for n in names))
+    X.start_files(spark, tempfile.mkdtemp(prefix="fm-stream-"), PATTERN, KEYS, None, None, "", "")
+    number = lambda x: int(x.removesuffix("b"))
+    assert number(seen[0]) <= 1 << 16 < number(before[0]) and int(seen[1]) <= 64 < int(before[1])
+    assert [spark.conf.get(n) for n in names] == before
