@@ -15,9 +15,11 @@ Documents with equal sets are one class and only its representative is
 banded.  A bucket may hold a large share of all classes, so its pairs are not
 listed: every class is first held against one class of its buckets, drawn anew
 each time, what links is contracted, and only classes of a bucket that are still apart are
-compared with each other, in blocks of a bounded size that hand on the likeliest
-pairs of each component.  This goes on, with more pairs each time, until no
-block withholds one: no bucket is cut short.
+compared with each other, in blocks of a bounded size.  A block compares 32 bits
+of every shingle and hands on a forest that spans what it found alike.  If all
+of its pairs are confirmed, what it withheld joins nothing more; else this goes
+on, with more forests each time, until no block withholds a pair: no bucket is
+cut short.
 
 A class also keeps a bitmap of its shingles, four bits or more to a shingle.
 A bit that only one of two sets has stands for a shingle that the other lacks,
@@ -34,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmatch.llm.common import kept, ship_code, text_or_empty
-from flowmatch.llm.components import components
+from flowmatch.llm.components import contracted
 
 PERMUTATIONS = 120    # hash evaluations a shingle: twice as many signature values
 PER_BAND = 3          # permutations of a band: six values
-LEADER_ROUNDS = 3     # comparisons with one class of each bucket, before the rest is compared
+LEADER_ROUNDS = 1     # comparisons with one class of each bucket, before the rest is compared
 BLOCK = 4_096         # classes of a bucket's block
-AT_FIRST = 1          # pairs of a component that a block hands on at first; eight times as many each further time
+BLOCK_ITEMS = 1 << 22  # shingles of a bucket's block, unless one class has more
+AT_FIRST = 1          # spanning forests that a block hands on at first; eight times as many each further time
 ID_BITS = 1_048_573   # remainders that tell wanted doc_ids from most others
 PIECE = 1 << 20       # shingles that a task hashes at a time
 
@@ -111,12 +114,11 @@ def most_common(n: int, bits: np.ndarray, others_n: np.ndarray, others: np.ndarr
     return np.minimum(n - mine, others_n - theirs)
 
 
-def possible_pairs(n: np.ndarray, root: np.ndarray, maps: list[bytes], side: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """Places ``(a, b)`` of a block's sets whose roots differ and whose bitmaps
-    allow the similarity, and the similarity at most.  ``side`` is 0 or 1 for
-    pairs between two blocks, 2 for all pairs of one."""
+def _possible_with(n: np.ndarray, root: np.ndarray, maps: list[bytes], side: np.ndarray, percent: int):
+    """Of each set of a block its place, the places of the sets that its bitmap
+    allows to be alike, each pair once, and their similarities at most.  Roots
+    may be changed meanwhile: pairs of one root are skipped."""
     size = np.array([len(m) for m in maps])
-    found: list[tuple] = []
     for s in np.unique(size):
         rows = np.flatnonzero(size >= s)
         bits = np.stack([folded(np.frombuffer(maps[r], np.uint8), int(s)) for r in rows]).view(np.uint64)
@@ -129,12 +131,52 @@ def possible_pairs(n: np.ndarray, root: np.ndarray, maps: list[bytes], side: np.
                 both = most_common(n[r], bits[k], n[rows[at]], bits[at])
                 union = n[r] + n[rows[at]] - both
                 hit = 100 * both >= percent * union
-                found.append((np.full(hit.sum(), r), rows[at][hit], (both / union)[hit]))
+                yield r, rows[at][hit], (both / union)[hit]
+
+
+def possible_pairs(n: np.ndarray, root: np.ndarray, maps: list[bytes], side: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Places ``(a, b)`` of a block's sets whose roots differ and whose bitmaps
+    allow the similarity, and the similarity at most.  ``side`` is 0 or 1 for
+    pairs between two blocks, 2 for all pairs of one."""
+    found = [(np.full(len(b), a), b, most) for a, b, most in _possible_with(n, root, maps, side, percent)]
     if not found:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def spanning_pairs(n: np.ndarray, root: np.ndarray, short: list[np.ndarray], side: np.ndarray, percent: int,
+                   most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places ``(a, b)`` of a block's sets that are alike by 32 bits of each
+    shingle, and whether such pairs are withheld: of pairs whose roots differ a
+    forest that spans them, of the other pairs another one, up to ``most``."""
+    short = [np.unique(x) for x in short]
+    maps = [bitmap(x) for x in short]
+    length = np.array([len(x) for x in short])
+    start = np.cumsum([0, *length[:-1]])
+    values, item = np.unique(np.concatenate(short), return_inverse=True)
+    seen = np.zeros(len(values), bool)
+    taken: list[tuple] = []
+    for _ in range(most):
+        label, before, old = root.copy(), len(taken), set(taken)
+        for a, others, _ in _possible_with(n, label, maps, side, percent):
+            if not len(others):
+                continue
+            size = length[others]
+            first = np.cumsum(size) - size
+            seen[item[start[a]:start[a] + length[a]]] = True
+            both = np.add.reduceat(seen[item[np.arange(size.sum()) + np.repeat(start[others] - first, size)]], first, dtype=np.int64)
+            seen[item[start[a]:start[a] + length[a]]] = False
+            both = np.minimum(n[a] - length[a], n[others] - size) + both  # shingles of the same 32 bits may all be shared
+            for b in others[100 * both >= percent * (n[a] + n[others] - both)]:
+                if label[a] != label[b] and (a, b) not in old:
+                    taken.append((a, b))
+                    label[label == label[b]] = label[a]
+        if len(taken) == before:
+            break
+    pairs = np.array(taken, int).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1], len(taken) > before
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """``(doc_id, n_shingles, set_key, bands, bitmap)`` of every row of
     ``docs(doc_id, text, ...)``; ``set_key`` is a 128-bit digest of the set.  A
@@ -225,31 +267,31 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _checked(pairs, sets, test).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _between_components(members: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
+def _between_components(members: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
     """``(a, b, n_a, n_b, withheld)``: pairs of classes that share a bucket, lie
-    in different components and may be alike.  A bucket is compared in blocks;
-    a block hands on the ``most`` likeliest pairs of each component, so never
-    more than it has rows times ``most``, and says how many it withholds (on
-    each pair's row), checkpointed."""
-    blocks = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    in different components and are alike by 32 bits of each shingle.  A bucket
+    is compared in blocks; a block hands on ``most`` spanning forests, so never
+    more pairs than it has rows times ``most``, and says whether it withholds
+    any (on each pair's row), checkpointed."""
+    def shortened(batches):
+        for b in batches:
+            items = [np.frombuffer(x, np.uint64).astype(np.uint32).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.binary())], ["node", "short"])
+
+    blocks = members.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).alias("blocks"))
     rows = members.join(blocks, "band").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
     rows = rows.withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rows = rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
     rows = rows.withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("block") == F.col("i"), 0).otherwise(1))
-    rows = rows.join(classes.select("node", "bitmap"), "node").select("band", "i", "j", "side", "node", "root", "n", "bitmap")
-    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    rows = rows.join(sets.mapInArrow(shortened, "node long, short binary"), "node").select("band", "i", "j", "side", "node", "root", "n", "short")
+    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")  # by node: buckets choose the same pairs
 
     def compare(group):
         node, root, n = (group.column(c).to_numpy() for c in ("node", "root", "n"))
-        a, b, alike = possible_pairs(n, root, group.column("bitmap").to_pylist(), group.column("side").to_numpy(), percent)
+        short = [np.frombuffer(x, np.uint32) for x in group.column("short").to_pylist()]
+        a, b, withheld = spanning_pairs(n, root, short, group.column("side").to_numpy(), percent, most)
         if not len(a):
             return None
-        end, pair = np.r_[root[a], root[b]], np.tile(np.arange(len(a)), 2)
-        order = np.lexsort([np.tile(-alike, 2), end])  # of each component the likeliest first
-        first = np.flatnonzero(np.diff(end[order], prepend=end[order[0]] - 1))
-        rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
-        take = np.unique(pair[order[rank < most]])
-        a, b, withheld = a[take], b[take], len(a) - len(take)
         swap = node[a] > node[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], n[a], n[b], np.full(len(a), withheld))], ["a", "b", "n_a", "n_b", "withheld"])
@@ -267,12 +309,12 @@ def _between_components(members: DataFrame, classes: DataFrame, percent: int, mo
         if left is not None and (out := compare(pa.Table.from_batches([left]))) is not None:
             yield out
 
-    return kept(dealt.mapInArrow(run, "a long, b long, n_a long, n_b long, withheld long"))
+    return kept(dealt.mapInArrow(run, "a long, b long, n_a long, n_b long, withheld boolean"))
 
 
 def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` of buckets that still hold classes of several components, with their ``root``."""
-    roots = components(links).withColumnRenamed("root", "to")
+    roots = contracted(links).withColumnRenamed("root", "to")
     rows = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("to", "node")).drop("to")
     open_ = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     return rows.join(open_.select("band"), "band")
@@ -301,11 +343,13 @@ def near_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) ->
         members = kept(_rooted(members, links))
     most = AT_FIRST
     while True:
-        pairs = _between_components(members, classes, percent, most)
-        links = links.unionByName(_confirmed(pairs.drop("withheld").distinct(), sets, percent))
-        if not pairs.agg(F.max("withheld")).first()[0]:
+        pairs = _between_components(members, sets, percent, most)
+        asked = kept(pairs.drop("withheld").distinct())
+        found = _confirmed(asked, sets, percent)
+        links = links.unionByName(found)
+        # what a forest withholds is moot if all of it is confirmed; elsewhere more pairs come
+        if not pairs.agg(F.max("withheld")).first()[0] or found.count() == asked.count():
             return links
-        # what was withheld is moot where the pairs linked the components; elsewhere more pairs come
         members, most = kept(_rooted(members, links)), 8 * most
 
 
@@ -330,7 +374,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
         F.first("bitmap").alias("bitmap"))
     classes = kept(groups.withColumn("node", F.monotonically_increasing_id()))
-    roots = components(near_links(classes, docs, words, percent))
+    roots = contracted(near_links(classes, docs, words, percent))
     rooted = classes.select("node", "first", "set_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("set_key", "component_id")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from flowmatch.llm import minmax
+from flowmatch.llm import components, minmax
 from flowmatch.llm.queries import QUERIES
 from flowmatch.sources.tables import table
 
@@ -123,6 +123,65 @@ def test_without_leader_rounds(spark, monkeypatch):
     assert as_rows(minmax.near_duplicates(docs, words=2)) == sorted(brute(rows, 2, 80), key=str)
 
 
+def almost_alike(n):
+    """Pairs just below the threshold, which bitmaps don't exclude: 88 of 112 shingles in common."""
+    base = [f"w{i}" for i in range(101)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for k in range(3):
+            t[2 + 2 * ((16 * k + i) % 48)] = f"x{i}-{k}"
+        out.append((1000 + i, " ".join(t)))
+    return out
+
+
+def test_pairs_that_bitmaps_allow_take_no_further_turns(spark, monkeypatch):
+    turns, between = [], minmax._between_components
+    monkeypatch.setattr(minmax, "_between_components", lambda *args: turns.append(1) or between(*args))
+    rows = almost_alike(60) + near_copies(60, seed=5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_rows(minmax.near_duplicates(docs, words=2)) == sorted(brute(rows, 2, 80), key=str)
+    assert len(turns) == 1
+
+
+def test_more_forests_where_pairs_are_not_confirmed(spark, monkeypatch):
+    calls, confirmed = [], minmax._confirmed
+
+    def some(*args):
+        calls.append(1)
+        found = confirmed(*args)
+        return found.where("pmod(u + v, 3) > 0") if len(calls) == 2 else found  # of the first blocks' pairs
+
+    monkeypatch.setattr(minmax, "_confirmed", some)
+    rows = near_copies(120, seed=8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert as_rows(minmax.near_duplicates(docs, words=2)) == sorted(brute(rows, 2, 80), key=str)
+    assert len(calls) > 2
+
+
+@pytest.mark.parametrize("links", [5, 1 << 18])
+def test_links_contracted_in_one_task_or_many(spark, monkeypatch, links):
+    monkeypatch.setattr(components, "LINKS", links)
+    pairs = [(i, i + 1) for i in range(40)] + [(103, 101), (102, 103), (101, 103), (7, 7), (None, 3), (200, None)]
+    got = components.contracted(spark.createDataFrame(pairs, "u long, v long").repartition(4))
+    assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(41)] + [(i, 101) for i in (101, 102, 103)]
+    assert components.contracted(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_spanning_pairs_withhold_none_in_the_end():
+    rnd = np.random.default_rng(4)
+    pool = np.unique(rnd.integers(0, 1 << 63, 300, np.uint64))
+    sets = [pool[rnd.random(len(pool)) < 0.93] for _ in range(30)]
+    n, root, side = np.array([len(s) for s in sets]), np.arange(30) // 2, np.full(30, 2)
+    alike = {(i, j) for j in range(30) for i in range(j) if root[i] != root[j]
+             and 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (n[i] + n[j] - both)}
+    short = [s.astype(np.uint32) for s in sets]
+    a, b, withheld = minmax.spanning_pairs(n, root, short, side, 80, 1)
+    assert len(a) == 14 and withheld
+    a, b, withheld = minmax.spanning_pairs(n, root, short, side, 80, 1000)
+    assert not withheld and len(alike) == len(a) == 420 and {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} == alike
+
+
 def test_bitmaps_never_exclude_a_link():
     rnd = np.random.default_rng(11)
     for _ in range(300):
