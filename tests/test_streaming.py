@@ -1,5 +1,6 @@
 """Whole model files as a stream: each model scored once, batches replayed."""
 
+import gzip
 import os
 import tempfile
 
@@ -9,6 +10,7 @@ from flowmatch.operators import labels as L
 from flowmatch.operators import parse as P
 from flowmatch.operators import score as S
 from flowmatch.session import cut_lineage
+from flowmatch.sources import models as M
 from flowmatch.streaming import incremental as X
 from test_parse import EXPECTED_AP6, ONLY_SUBPROCESS
 
@@ -65,3 +67,42 @@ def test_small_files_are_read_many_in_a_task(spark, monkeypatch):
     number = lambda x: int(x.removesuffix("b"))
     assert number(seen[0]) <= 1 << 16 < number(before[0]) and int(seen[1]) <= 64 < int(before[1])
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_small_file_settings_last_beyond_the_start(spark, monkeypatch):
+    """The file source asks its session whenever a batch begins, when the settings at the start are gone."""
+    seen = []
+    monkeypatch.setattr(X, "_started", lambda src, *_: seen.append(src))
+    X.start_files(spark, tempfile.mkdtemp(prefix="fm-stream-"), PATTERN, KEYS, None, None, "", "")
+    conf = seen[0].sparkSession.conf
+    assert int(conf.get("spark.sql.files.openCostInBytes").removesuffix("b")) <= 1 << 16
+    assert int(conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 64
+    assert conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
+
+
+def test_texts_of_a_stream_are_the_bytes_of_the_files(spark, monkeypatch):
+    """Line ends, a byte order mark, an empty and a compressed file, as the reader of whole texts gives them."""
+    d = tempfile.mkdtemp(prefix="fm-stream-")
+    texts = {"a/x y.txt": "1\r\n2\n", "a/b/ä.txt": "\ufeffÄ\n\n", "c.txt": ""}
+    for name, text in texts.items():
+        os.makedirs(os.path.dirname(os.path.join(d, "in", name)), exist_ok=True)
+        with open(os.path.join(d, "in", name), "w", newline="", encoding="utf-8") as f:
+            f.write(text)
+    with gzip.open(os.path.join(d, "in", "z.txt.gz"), "wt") as f:
+        f.write("packed")
+    for glob in ("*.txt", "*.gz"):
+        out = f"{d}/out-{glob[2:]}"
+        q = X._whole_files(spark, d + "/in", glob).writeStream.format("parquet").option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        want = M.read_texts(spark, d + "/in", glob)
+        assert sorted(spark.read.parquet(out).collect()) == sorted(want.collect()) != []
+
+
+def test_text_files_are_written_whole(spark):
+    d = tempfile.mkdtemp(prefix="fm-texts-")
+    rows = [(f"user={i % 3}/week={i}/model.txt", f"line {i}\nÄ") for i in range(20)] + [(None, "no key"), ("top.txt", None)]
+    df = spark.createDataFrame(rows, "path string, text string").repartition(4)
+    assert M.write_texts(df, d) == M.write_texts(df, "file://" + d) == 21  # written again: replaced
+    found = {os.path.relpath(os.path.join(at, f), d): open(os.path.join(at, f), encoding="utf-8").read() for at, _, names in os.walk(d) for f in names}
+    assert found == {p: (t or "") + "\n" for p, t in rows if p}
+    assert M.write_texts(df.limit(0), d) == 0
