@@ -152,3 +152,33 @@ def test_rows_are_copied_once_a_bundle(spark, monkeypatch):
     assert sorted(map(len, J._bundles({0: 30, 1: 250, 2: 40}, np.zeros((3, 3)), 100).values())) == [1, 1, 3]
     split = got._jdf.queryExecution().analyzed().toString()
     assert split.count("explode(others") == 2  # one copy for each bundle that a row's own may meet
+
+
+def test_a_table_with_itself_is_compared_once(spark, monkeypatch):
+    """Half the products give the pairs of all, also for rows of one label."""
+    monkeypatch.setattr(J, "TILE", 64)
+    x = np.random.default_rng(6).normal(size=(300, 8))
+    df = spark.createDataFrame([(str(i % 298), [float(z) for z in v]) for i, v in enumerate(x)], "label string, vector array<double>")
+    got, other = J.cosine_join(df, df, -0.5).collect(), J.cosine_join(df, df.select("*"), -0.5).collect()
+    assert sorted((r.l1, r.l2, r.score) for r in got) == sorted((r.l1, r.l2, r.score) for r in other)
+    assert len(got) == len(brute_cosine(x, x, -0.5))
+    assert max(r.scored for r in got) <= 0.65 * 300 * 300 == 0.65 * max(r.scored for r in other)
+
+
+@pytest.mark.parametrize("n, m, d, t", [(700, 600, 64, 0.45), (513, 20, 65, 0.2), (30, 600, 7, -0.5), (1, 9, 1, 1.0), (0, 5, 8, 0.5)])
+def test_near_products_in_single_precision(n, m, d, t):
+    """Tiles with edges, pairs at the threshold itself, and few pairs beyond the margin."""
+    rnd = np.random.default_rng(n)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rnd.normal(size=(k, d)) for k in (n, m)))
+    if n and d > 1:  # a pair that is at the threshold
+        x[0], y[0] = np.eye(1, d), 0
+        y[0, :2] = t, (1 - t * t) ** 0.5
+    found = [(i, j) for part in J.near_products(x, y, t) for i, j in zip(part[0].tolist(), part[1].tolist())]
+    want = set(zip(*(k.tolist() for k in np.nonzero(x @ y.T >= t))))
+    assert len(set(found)) == len(found) and want <= set(found)
+    assert all(x[i] @ y[j] >= t - 1e-4 for i, j in found) and (not n or d == 1 or (0, 0) in found)
+
+
+def test_pairs_of_bundles_are_dealt_evenly(spark):
+    keys = spark.createDataFrame([(k,) for k in J._even_keys(spark, 40)], "k int").repartition(40, "k")
+    assert keys.select(F.spark_partition_id()).distinct().count() == 40
